@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from segmentry.llm import minhash, packing, tokenfiles
+from segmentry.llm import chat, minhash, packing, tokenfiles, topk
 from segmentry.llm.oracles import SQL  # noqa: F401
 
 QUERIES = {
     "op3_minhash_dedup": minhash.op3_minhash_dedup,
     "op7_token_files": tokenfiles.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_chat_format": chat.op9_chat_format,
+    "op10_exact_topk": topk.op10_exact_topk,
 }
