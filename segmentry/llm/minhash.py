@@ -6,8 +6,10 @@ the similarity by bit counts, which sifts the candidates; links are confirmed on
 
 No bucket is expanded into its pairs. Texts with one shingle set are one class. In each bucket all
 classes are compared with one hub, the class that meets most others over all its buckets (in a group of
-copies of one text: that text). What a bucket then still holds in other components than its
-hub's is compared with the rest of the bucket, the estimate being part of the join condition.
+copies of one text: that text). What a hub's group then still holds in other components than the hub's is compared
+with the rest of the group, block by block inside tasks: signatures first, whole sets where the estimate allows a link; a
+block gives links that connect it, not all its links. The cost is that of bit counts over the classes left over times
+those of the group; rows that leave a task grow with the classes alone.
 Components come from alternating star contractions, each step written to the shared folder.
 
 Nulls and empty texts have no shingles and are linked with nothing. Rows that repeat a doc_id give a row
@@ -30,6 +32,8 @@ K, BITS, BANDS, ROWS = 128, 4, 32, 4
 LONGS = K * BITS // 64
 #: The estimate's standard deviation near the threshold is 0.033; six of them.
 MARGIN = 0.2
+#: Classes on a side of a block that is compared inside one task.
+BLOCK = 256
 _RNG = np.random.default_rng(77)
 _MUL = _RNG.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 64, K, dtype=np.uint64)
@@ -94,38 +98,89 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(work, "id long, n long, sid binary, sig array<long>, keys array<long>")
 
 
-def _named(texts: DataFrame, words: int) -> DataFrame:
-    """(sid, text) of (id, text): the name of each text's shingle set."""
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(sid, set) of (id, text): the name of each text's shingle set and its sorted hashes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw in pieces_of(batches):
-            sids = [set_id(s) if len(s) else None for s in shingles(raw, words)]
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), part.column(1)], names=["sid", "text"])
+        for _, raw in pieces_of(batches):
+            sets = [s for s in shingles(raw, words) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([f(s) for s in sets], pa.binary()) for f in (set_id, np.ndarray.tobytes)], names=["sid", "set"])
 
-    return texts.mapInArrow(work, "sid binary, text string")
+    return texts.mapInArrow(work, "sid binary, set binary")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of (a, b) whose whole shingle sets have 100 * intersection >= percent * union."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                raw = [[x or b"" for x in part.column(i).cast(pa.binary()).to_pylist()] for i in (2, 3)]
-                distinct = list(dict.fromkeys(raw[0] + raw[1]))
-                sets = dict(zip(distinct, shingles(distinct, words)))
-                good = []
-                for x, y in zip(*raw):
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    good.append(100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
-                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    left, right = (texts.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = (sets.select(F.col("sid").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
     return joined.mapInArrow(work, "a binary, b binary")
 
 
+def block_links(left: list[tuple[bytes, bytes, np.ndarray, bytes]], right: list[tuple[bytes, bytes, np.ndarray, bytes]], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links (sid, sid) that join the components of two blocks of (sid, root, signature, set) as far as confirmed links do."""
+    signs = [np.stack([r[2] for r in rows]) for rows in (left, right)]
+    differing = np.zeros((len(left), len(right)), np.int32)
+    for i in range(LONGS):
+        x = signs[0][:, None, i] ^ signs[1][None, :, i]
+        x = x.view(np.uint64)
+        fold = x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)
+        differing += np.bitwise_count(fold & np.uint64(0x1111111111111111))
+    chance = 1 / (1 << BITS)
+    likely = (1 - differing / K - chance) / (1 - chance) >= percent / 100 - MARGIN
+    group: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while group.setdefault(x, x) != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    roots = [np.array([r[1] for r in rows], object) for rows in (left, right)]
+    likely &= roots[0][:, None] != roots[1][None, :]
+    rows, columns = (np.flatnonzero(likely.any(axis=k)) for k in (1, 0))
+    if not len(rows):
+        return []
+    sets = [[np.frombuffer(x[i][3], np.uint64) for i in some.tolist()] for x, some in ((left, rows), (right, columns))]
+    sizes = [np.array([len(x) for x in some]) for some in sets]
+    linked = []
+    for at in range(0, len(rows), 64):  # intersections are products of 0-1 matrices over the shingles of both sides
+        some = sets[0][at : at + 64]
+        common = np.intersect1d(np.unique(np.concatenate(some)), np.unique(np.concatenate(sets[1])), assume_unique=True)
+        both = np.zeros((len(some), len(columns)), np.float32)
+        for cut_at in range(0, len(common), 4096):
+            part = common[cut_at : cut_at + 4096]
+            both += _marks(some, part) @ _marks(sets[1], part).T
+        union = sizes[0][at : at + 64, None] + sizes[1][None, :] - both
+        linked.append(100 * both >= percent * union)
+    out = []
+    for i, j in zip(*np.nonzero(np.concatenate(linked) & likely[np.ix_(rows, columns)])):
+        a, b = left[rows[i]], right[columns[j]]
+        x, y = top(a[1]), top(b[1])
+        if x != y:
+            group[x] = y
+            out.append((a[0], b[0]))
+    return out
+
+
+def _marks(sets: list[np.ndarray], shingle_hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(shingle_hashes)), np.float32)
+    for row, x in zip(out, sets):
+        place = np.searchsorted(shingle_hashes, x)
+        inside = place < len(shingle_hashes)
+        row[place[inside][shingle_hashes[place[inside]] == x[inside]]] = 1
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node that it reaches.
 
@@ -173,22 +228,37 @@ def _links(docs: DataFrame, sigs: DataFrame, words: int, percent: int) -> DataFr
     hubs = cut(members.join(weight, "sid").groupBy("key").agg(F.max(F.struct("weight", "sid")).alias("hub")).select("key", F.col("hub.sid").alias("hub")), "hubs")
     likely = similarity_estimate("sig_a", "sig_b") >= percent / 100 - MARGIN
     one, two = (sigs.select(F.col("sid").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-    met = members.join(hubs, "key").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
+    met = cut(members.join(hubs, "key").where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct(), "met")
     pairs = cut(met.join(one, "a").join(two, "b").where(likely).select("a", "b"), "pairs")
     wanted = sigs.join(members.select("sid").distinct(), "sid", "left_semi").select("id").distinct()
-    named = _named(docs.join(wanted, "id", "left_semi"), words).where("sid is not null")
-    texts = cut(named.dropDuplicates(["sid"]), "texts")
-    links = cut(_confirmed(pairs, texts, words, percent), "links")
-
-    found = components(links).withColumnRenamed("node", "sid")
-    placed = cut(members.join(hubs, "key").join(found, "sid", "left").select("key", "sid", "hub", F.coalesce("root", "sid").alias("root")), "placed")
-    mixed = cut(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.when(F.col("sid") == F.col("hub"), F.col("root"))).alias("main")).where("x <> y").select("key", "main"), "mixed")
-    rest = cut(placed.where("sid <> hub").join(mixed, "key").join(sigs.select("sid", "sig"), "sid").select("key", "sid", "root", "sig", (F.col("root") == F.col("main")).alias("inside")), "rest")
-    a = rest.where("not inside").select("key", F.col("sid").alias("a"), F.col("root").alias("root_a"), F.col("sig").alias("sig_a"))
-    b = rest.select("key", F.col("sid").alias("b"), F.col("root").alias("root_b"), F.col("sig").alias("sig_b"), "inside")
-    crossing = (F.col("root_a") != F.col("root_b")) & (F.col("inside") | (F.col("a") < F.col("b"))) & likely
-    more = cut(a.join(b, (a["key"] == b["key"]) & crossing).select("a", "b").distinct(), "more")
-    return links.unionByName(_confirmed(more, texts, words, percent))
+    sets = cut(_sets(docs.join(wanted, "id", "left_semi"), words).dropDuplicates(["sid"]), "sets")
+    links = cut(_confirmed(pairs, sets, percent), "links")
+    return links.unionByName(_links_left_over(met, sigs, sets, links, percent))
+
+
+def _links_left_over(met: DataFrame, sigs: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links inside the hubs' groups (a: member, b: hub) between classes that links don't connect yet."""
+    found = cut(components(links), "found")
+    group = met.join(found.select(F.col("node").alias("a"), "root"), "a", "left").join(found.select(F.col("node").alias("b"), F.col("root").alias("main")), "b", "left")
+    group = cut(group.select(F.col("b").alias("hub"), F.col("a").alias("sid"), F.coalesce("root", "a").alias("root"), F.coalesce("main", "b").alias("main")), "group")
+    outside = F.count(F.when(F.col("root") != F.col("main"), 1))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = group.groupBy("hub").agg(blocks(outside).alias("lefts"), blocks(F.count("*")).alias("rights"), F.count("*").alias("n")).where("lefts > 0 and n > 1")
+    rest = group.join(cut(mixed.drop("n"), "mixed"), "hub").join(sigs.select("sid", "sig"), "sid").join(sets, "sid")
+    rest = cut(rest.select("hub", "sid", "root", "main", "lefts", "rights", "sig", "set"), "rest")
+    share = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "sid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rest.where("root <> main").select("hub", share("lefts", 1).alias("l"), every("rights").alias("r"), F.lit(True).alias("is_left"), "sid", "root", "sig", "set")
+    right = rest.select("hub", every("lefts").alias("l"), share("rights", 2).alias("r"), F.lit(False).alias("is_left"), "sid", "root", "sig", "set")
+
+    def work(table: pa.Table) -> pa.Table:
+        sides: dict[bool, list] = {True: [], False: []}
+        for row in table.select(["is_left", "sid", "root", "sig", "set"]).to_pylist():
+            sides[row["is_left"]].append((row["sid"], row["root"], np.array(row["sig"], np.int64), row["set"]))
+        found = block_links(sides[True], sides[False], percent) if all(sides.values()) else []
+        return pa.table({k: pa.array([x[i] for x in found], pa.binary()) for i, k in enumerate("ab")})
+
+    return left.unionByName(right).groupBy("hub", "l", "r").applyInArrow(work, "a binary, b binary")
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

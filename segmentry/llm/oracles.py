@@ -42,4 +42,17 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-SQL = {"op3_minhash_dedup": _OP3, "op9_chat_format": _OP9, "op10_exact_topk": _OP10}
+_OP5 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, row_number() OVER () AS q, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+n AS (SELECT item_id, q, w, least(len(w), 5) AS k FROM i WHERE len(w) > 0),
+b AS MATERIALIZED (SELECT item_id, q, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' ')))) AS g FROM n),
+size AS (SELECT q, count(*) AS n_item FROM b GROUP BY q),
+s AS MATERIALIZED (SELECT doc_id, r, kk.k, unnest(list_distinct(list_transform(range(1, len(w) - kk.k + 2), lambda x: array_to_string(w[x:x + kk.k - 1], ' ')))) AS g
+  FROM d, (SELECT DISTINCT k FROM b) kk WHERE len(w) >= kk.k)
+SELECT s.doc_id, b.item_id, CAST(count(*) AS INTEGER) AS n_shared, CAST(n_item AS INTEGER) AS n_item
+FROM s JOIN b ON s.k = b.k AND s.g = b.g JOIN size ON size.q = b.q
+GROUP BY s.doc_id, s.r, b.item_id, b.q, n_item HAVING count(*) * 100 >= n_item * 80
+"""
+
+SQL = {"op3_minhash_dedup": _OP3, "op5_decontamination": _OP5, "op9_chat_format": _OP9, "op10_exact_topk": _OP10}

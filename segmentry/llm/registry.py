@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from segmentry.llm import chat, minhash, packing, tokenfiles, topk
+from segmentry.llm import chat, decontam, licenses, minhash, packing, tokencounts, tokenfiles, topk
 from segmentry.llm.oracles import SQL  # noqa: F401
 
 QUERIES = {
+    "op1_token_counts": tokencounts.op1_token_counts,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_minhash_dedup": minhash.op3_minhash_dedup,
+    "op5_decontamination": decontam.op5_decontamination,
     "op7_token_files": tokenfiles.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_chat_format": chat.op9_chat_format,
