@@ -95,8 +95,11 @@ def hopeful_lines(texts: list[bytes], known: np.ndarray, percent: int, least: in
     if not len(few):
         return few, few
     several = np.isin(line, few)
-    distinct = np.unique(np.stack((line[several].astype(np.uint64), pair[several])), axis=1)[0].astype(np.int64)
-    sizes = np.bincount(distinct, minlength=len(hits))
+    line, pair = line[several], pair[several]
+    order = np.lexsort((pair, line))
+    line, pair = line[order], pair[order]
+    new = np.append(True, (line[1:] != line[:-1]) | (pair[1:] != pair[:-1]))
+    sizes = np.bincount(line[new], minlength=len(hits))
     few = few[200 * hits[few] >= percent * (sizes[few] + least)]
     first = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
     text = np.searchsorted(first, few, side="right") - 1

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from segmentry.llm import chat, decontam, licenses, minhash, packing, tokencounts, tokenfiles, topk
+from segmentry.llm import chat, decontam, langid, licenses, minhash, packing, quality, tokencounts, tokenfiles, topk
 from segmentry.llm.oracles import SQL  # noqa: F401
 
 QUERIES = {
     "op1_token_counts": tokencounts.op1_token_counts,
     "op2_license_scan": licenses.op2_license_scan,
     "op3_minhash_dedup": minhash.op3_minhash_dedup,
+    "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_decontamination": decontam.op5_decontamination,
+    "op6_language_id": langid.op6_language_id,
     "op7_token_files": tokenfiles.op7_token_files,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_chat_format": chat.op9_chat_format,
