@@ -1 +1,65 @@
-"""The corpus pipeline: language, quality, near duplicates, benchmark leaks, packing."""
+"""The corpus pipeline: documents are sifted by language, quality, near duplicates and benchmark leaks, and what stays is packed.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns of
+documents. `run` writes each stage's result as Parquet in the shared folder and reads it again.
+
+Texts that are null or empty have no language and go in the first stage. Rows that repeat a document are one group of copies: one
+stays. Documents without doc_id are sifted by their texts like any other, but are no part of a group of near duplicates.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from segmentry.llm import decontam, langid, minhash, packing, quality
+from segmentry.llm.shared import cut, filtered, hinted
+
+#: The main language of a document has at least this share of its words.
+LEAST_SHARE = 1 / 3
+#: Least probability of the best grade.
+LEAST_QUALITY = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language."""
+    model = spark.sparkContext.broadcast(langid.learned_from(docs))
+    return filtered(docs, lambda texts: model.value.shares([t.decode() for t in texts]).max(axis=1, initial=0) >= LEAST_SHARE)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are neither toxic nor of low quality, as the labels of those that are left teach it."""
+    model = spark.sparkContext.broadcast(quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return filtered(docs, lambda texts: model.value.tails(texts)[:, -1] >= LEAST_QUALITY)
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest doc_id."""
+    kept = cut(minhash.near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    ones = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return ones.unionByName(docs.where(docs["doc_id"].isNull()))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item. The search depends on the text alone, so that a hash of it stands for its documents."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    found = cut(decontam.contaminated(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_hash")).distinct(), "leaks")
+    return docs.join(hinted(found, decontam.BROADCAST_ROWS), F.xxhash64(docs["text"]) == F.col("_hash"), "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents left, with their places in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, 4096)
+
+
+STAGES = [("language", language), ("quality", good), ("near_duplicates", unique), ("decontamination", clean), ("packing", packed)]
+
+#: Two stages are learned and one is encoded by a tokenizer; tests compare the stages with plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from segmentry.llm import chat, decontam, langid, licenses, minhash, packing, quality, tokencounts, tokenfiles, topk
 from segmentry.llm.oracles import SQL  # noqa: F401
 
@@ -16,4 +17,5 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_chat_format": chat.op9_chat_format,
     "op10_exact_topk": topk.op10_exact_topk,
+    "pipeline": corpus_pipeline.run,
 }

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -115,5 +115,11 @@ def shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def id_column(df: DataFrame, name: str) -> Column:
-    return df[name].cast("long")
+def filtered(docs: DataFrame, decide: Callable[[list[bytes]], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose texts `decide` keeps; it gets runs of texts in UTF-8."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in pieces_of(batches, text_col):
+            yield part.filter(pa.array(decide(texts), pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
