@@ -1 +1 @@
-
+"""Jobs over trajectories, pairs, labels, metrics, particles and frames."""

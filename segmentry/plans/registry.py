@@ -1,4 +1,6 @@
-"""The queries of the library by operator, and their SQL."""
+"""All queries of the library, and the SQL of those that SQL can express."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from segmentry.plans import trajectories  # noqa: F401
+from segmentry.plans.views import QUERIES, SQL  # noqa: F401

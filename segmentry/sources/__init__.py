@@ -1 +1 @@
-
+"""Readers and writers of logs, label batches, frames and checkpoint lists."""
