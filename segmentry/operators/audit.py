@@ -36,7 +36,7 @@ CATEGORIES = ("correct", "incorrect", "no_preference")
 def difficulty_histogram(log: DataFrame, bins: int, label: str = "label", s1: str = "score_1", s2: str = "score_2") -> DataFrame:
     """(bin, n, and the percentage of each category) for every bin, empty ones at 0. At most bins x 3 groups are shuffled."""
     placed = assign_bins(log, bins, s1, s2).withColumn("category", category(F.col(label), F.col(s1), F.col(s2)))
-    counts = placed.groupBy("bin").pivot("category", list(CATEGORIES)).agg(F.count("*"))
+    counts = placed.groupBy("bin").pivot("category", list(CATEGORIES)).agg(F.count(F.lit(1)))
     every = log.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     n = sum((F.coalesce(c, F.lit(0)) for c in CATEGORIES), F.lit(0))
     share = lambda c: F.coalesce(F.try_divide(100.0 * F.coalesce(c, F.lit(0)), n), F.lit(0.0)).alias(c)

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from segmentry.plans import trajectories  # noqa: F401
+from segmentry.plans import labels, measures, models, trajectories  # noqa: F401
 from segmentry.plans.views import QUERIES, SQL  # noqa: F401
