@@ -72,7 +72,8 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int
     seen = [_exploded(rows, n, "doc").join(hinted(minima.where(F.col("width") == n).drop("width"), BROADCAST_ROWS), "g").select("doc") for n in widths]
     # A document with any of the minima is a candidate; its text's whole shingle set then meets the items.
     candidates = cut(reduce(DataFrame.unionByName, seen).distinct(), "candidates")
-    chosen = rows.join(hinted(candidates.withColumnRenamed("doc", "found"), BROADCAST_ROWS), F.col("doc").eqNullSafe(F.col("found")), "left_semi").withColumn("r", F.monotonically_increasing_id())
+    chosen = rows.join(hinted(candidates.withColumnRenamed("doc", "found"), BROADCAST_ROWS), F.col("doc").eqNullSafe(F.col("found")), "left_semi")
+    chosen = cut(chosen, "chosen").withColumn("r", F.monotonically_increasing_id())  # of a written table: a task that runs again numbers its rows alike
     met = [_exploded(chosen, n, "doc", "r").join(hinted(whole.where(F.col("width") == n).drop("width"), BROADCAST_ROWS), "g") for n in widths]
     shared = reduce(DataFrame.unionByName, met).groupBy("doc", "r", "n", "item", "n_item").agg(F.count("*").alias("n_shared"))
     return shared.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("n_shared").cast("int"), "n_item")

@@ -158,6 +158,8 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         if out is not None:
             writer.close()
             out.close()
+            if system.get_file_info(name).is_file:  # of a task that runs again
+                system.delete_file(name)
             system.move(attempt, name)
             tokens = sum(k for _, k, _ in writer.index)
             yield pa.RecordBatch.from_pylist([{"file": os.path.basename(name), "documents": len(writer.index), "tokens": tokens}], pa.schema([("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
