@@ -13,7 +13,7 @@ FRAME = "h int, w int, c int, data binary"
 
 
 def transform_frames(frames: DataFrame, ops: list[tuple], frame: str = "frame") -> DataFrame:
-    """frames with the operations applied in turn: flip, crop a b c d, stride n, resize h w, left, right, crop_to_colour low high size."""
+    """frames with the operations applied in turn: flip, crop a b c d, stride n, resize h w, left, right, reverse_channels, crop_to_colour low high size."""
 
     @F.pandas_udf(FRAME)
     def change(f: pd.DataFrame) -> pd.DataFrame:

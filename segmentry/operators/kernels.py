@@ -94,6 +94,7 @@ FRAME_OPS = {
     "resize": resize,
     "left": lambda x: x[:, : x.shape[1] // 2],
     "right": lambda x: x[:, x.shape[1] // 2 :],
+    "reverse_channels": lambda x: x[:, :, ::-1],
     "crop_to_colour": crop_to_colour,
 }
 

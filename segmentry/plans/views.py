@@ -71,9 +71,8 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     key = [F.col("l_orderkey") % 7, F.col("l_orderkey") % 50]
-    place = F.xxhash64(*rows.columns)  # rows have no key; the place only has to be the same in every run
     return rows.select(
-        F.lit(0).cast("long").alias("run"), key[0].alias("episode"), key[1].cast("int").alias("t"), (F.col("l_partkey") % 20).alias("particle_id"), place.alias("place"),
+        F.lit(0).cast("long").alias("run"), key[0].alias("episode"), key[1].cast("int").alias("t"), (F.col("l_partkey") % 20).alias("particle_id"),
         F.col("l_quantity").alias("x"), F.round(F.col("l_discount") * 100).alias("y"), F.round(F.col("l_tax") * 100).alias("z"),
     )
 
@@ -119,8 +118,13 @@ LOG = f"""log AS (SELECT o_orderkey AS pair_id, CAST(o_custkey % 10 AS INT) AS t
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the folder that driver and executors share; a temporary one where none is set, as in tests."""
+    import re
     import tempfile
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -83,7 +83,7 @@ def frame_keys(path: Column) -> list[Column]:
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """(keys, frame): decoded PNG files, blue-green-red as the image source gives them, turned to red-green-blue by the reader of `data`."""
+    """(path, keys, frame) of decoded image files. Channels are blue, green, red, as Spark's image source has them; reverse_channels turns them."""
     images = spark.read.format("image").option("recursiveFileLookup", True).load(path)
     frame = F.struct(F.col("image.height").alias("h"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("c"), F.col("image.data").alias("data"))
     return images.select(F.col("image.origin").alias("path"), *frame_keys(F.col("image.origin")), frame.alias("frame"))
