@@ -207,7 +207,7 @@ def _streamed(spark, rows, build, mode: str = "append", files: int = 4):
 @query("T1_stream_episodes", f"WITH {STEPS}, e AS (SELECT run, episode, sum(reward) AS reward, count(*) AS length, bool_or(done) AS ended FROM steps GROUP BY run, episode) SELECT run, episode, reward, length FROM e WHERE ended")
 def _(spark, d):
     rows = V.raw_steps(spark, d).select("run", "step", F.col("ts").cast("timestamp").alias("ts"), "reward", "done", F.col("step").alias("order"))
-    return _streamed(spark, rows, streams.stream_episodes).where("ended").select("run", "episode", "reward", "length")
+    return _streamed(spark, rows, lambda s: streams.stream_episodes(s, idle_ms=90 * 86_400_000)).where("ended").select("run", "episode", "reward", "length")
 
 
 @query("T2_stream_meters", """WITH w AS (SELECT to_timestamp(floor(epoch(ts) / 21600) * 21600) AS start, event_type AS key, round(value * 100) AS value, max(ts) OVER () AS newest FROM events)
