@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmentry.functions import draws
-from segmentry.operators.trajectory import last_rows
+from segmentry.operators.trajectory import dense_index, last_rows
 
 
 def trajectory_index(steps: DataFrame, run: str = "run") -> DataFrame:
-    """(traj, run, episode, length): a dense number for each episode. One row an episode; its ranking is one small task."""
-    return steps.groupBy(run, "episode").agg(F.count("*").alias("length")).withColumn("traj", F.row_number().over(Window.orderBy(run, "episode")) - 1)
+    """(traj, run, episode, length): a dense number for each episode, in order of run and episode."""
+    return dense_index(steps.groupBy(run, "episode").agg(F.count("*").alias("length")), [run, "episode"], "traj")
 
 
 def sample_pairs(trajectories: DataFrame, n: int, seg_len: int, seed: int, run: str = "run", one_step: bool = False) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segmentry.sources.shared import written
+
 
 
 def assemble_episodes(steps: DataFrame, run: str = "run", order: str = "step", done: str = "done", chunk: int = 100_000) -> DataFrame:
@@ -119,14 +121,14 @@ def sample_transitions(steps: DataFrame, n: int, seed: int, index: str = "idx",
     return picks.join(steps, index)
 
 
-def dense_index(rows: DataFrame, order: list[str], name: str = "idx", buckets: int | None = None) -> DataFrame:
-    """rows with a dense index from 0 in the order given: rank inside range partitions plus the sizes of those before.
+def dense_index(rows: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
+    """rows with a dense index from 0 in a unique order: the rank inside a range partition plus the sizes of those before.
 
-    The order's first column deals rows out by range; the sizes are one small row a partition.
+    The partitions are written first, so that ranks and sizes are of the same ones; the sizes are one small row a partition.
     """
-    dealt = rows.repartitionByRange(*([buckets] if buckets else []), *order).withColumn("_part", F.spark_partition_id())
+    dealt = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     within = Window.partitionBy("_part").orderBy(*order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1)
-    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return ranked.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from segmentry.operators import pairs as P
 from segmentry.operators import trajectory as T
+from segmentry.sources.shared import scratch  # noqa: F401
 
 SEG, HORIZON, SEED, GAMMA = 8, 40, 7, 0.9
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,17 +115,3 @@ EMB = "emb AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, label FR
 PARTS = """parts AS (SELECT CAST(0 AS BIGINT) AS run, l_orderkey % 7 AS episode, CAST(l_orderkey % 50 AS INT) AS t, l_partkey % 20 AS particle_id, l_quantity AS x, round(l_discount * 100) AS y, round(l_tax * 100) AS z FROM lineitem)"""
 LOG = f"""log AS (SELECT o_orderkey AS pair_id, CAST(o_custkey % 10 AS INT) AS train_iter, round(o_totalprice * 100) AS score_1, round(o_totalprice * 100 * (o_orderkey % 5 + 1) / 3) AS score_2,
   CAST(floor({u('label', 'o_orderkey')} * 3) - 1 AS INT) AS label FROM orders)"""
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one where none is set, as in tests."""
-    import re
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -68,6 +68,11 @@ def read_label_batches(spark: SparkSession, path: str) -> DataFrame:
     return numbered_rounds(spark.read.parquet(path))
 
 
+def stream_label_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Label batches as a stream, one file a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def frame_keys(path: Column) -> list[Column]:
     """Keys in a frame's file name: side and number of a pair's frame, or step, episode and success of a run's."""
     part = lambda pattern: F.regexp_extract(path, pattern, 1)
