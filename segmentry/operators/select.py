@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from segmentry.functions.preference import bt_entropy, bt_probability
 from segmentry.operators.kernels import block_distances, smallest
+from segmentry.sources.shared import written
 
 #: Vectors of a block of the sample. A block is what each task holds; the blocks are rows dealt to the tasks of the other side.
 SAMPLE_BLOCK = 1_024
 FULL_BLOCK = 8_192
+#: Picks of k_center between two writings of its table.
+PICKS = 8
 
 
 def _blocks(vectors: DataFrame, size: int, name: str, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
@@ -90,26 +93,27 @@ def k_center(candidates: DataFrame, labelled: DataFrame, n: int, id_col: str = "
     """(rank, id, distance) of n candidates, each the one furthest from all labelled and picked so far; ties to the smaller id.
 
     One pass against the labelled set gives each candidate's distance to it. Each pick then takes the largest, one row, to the
-    driver and lowers the others' distances by their distance to it alone: n small jobs over a table cut at intervals.
-    With nothing labelled the first pick is the smallest id.
+    driver and lowers the others' distances by their distance to it alone: n small jobs over a table that is written again every
+    few picks. With nothing labelled the first pick is the smallest id.
     """
     from segmentry.functions.vectors import distance
 
     rows = candidates.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     first = nearest_neighbour(candidates, labelled, id_col, vec_col).select("id", F.col("distance").alias("d"))
-    state = rows.join(first, "id", "left").withColumn("d", F.coalesce("d", F.lit(float("inf")))).persist()
-    picked = []
-    for rank in range(n):
-        best = state.orderBy(F.desc("d"), "id").limit(1).collect()
+    state = written(rows.join(first, "id", "left").withColumn("d", F.coalesce("d", F.lit(float("inf")))), "k-center")
+    picked: list[tuple] = []
+    since: list[tuple] = []
+    while len(picked) < n:
+        nearer = [distance(F.col("v"), F.array(*map(F.lit, v))) for _, v in since]
+        now = state.where(~F.col("id").isin([i for i, _ in since])).withColumn("d", F.least("d", *nearer)) if since else state
+        if len(since) == PICKS:
+            state, since = written(now, "k-center"), []
+            continue
+        best = now.orderBy(F.desc("d"), "id").limit(1).collect()
         if not best:
             break
-        picked.append((rank, best[0]["id"], best[0]["d"]))
-        centre = F.array(*map(F.lit, best[0]["v"]))
-        lower = state.where(F.col("id") != best[0]["id"]).withColumn("d", F.least("d", distance(F.col("v"), centre))).persist()
-        lower.count()
-        state.unpersist()
-        state = lower
-    state.unpersist()
+        picked.append((len(picked), best[0]["id"], best[0]["d"]))
+        since.append((best[0]["id"], best[0]["v"]))
     return candidates.sparkSession.createDataFrame(picked, "rank int, id long, distance double")
 
 

@@ -23,6 +23,18 @@ def test_k_center(spark):
     assert select.k_center(vectors(spark, [4, 4]), vectors(spark, [0]).limit(0), 1).first()["id"] == 0
 
 
+def test_k_center_is_greedy(spark):
+    rng = np.random.default_rng(4)
+    few, many = rng.normal(size=(4, 3)), rng.normal(size=(40, 3))
+    frame = lambda x, start: spark.createDataFrame([(start + i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    d, want = np.sqrt(((many[:, None] - few[None]) ** 2).sum(2)).min(1), []
+    for _ in range(20):
+        want.append(int(d.argmax()))
+        d = np.minimum(d, np.sqrt(((many - many[want[-1]]) ** 2).sum(1)))
+        d[want] = -1
+    assert [r.id for r in select.k_center(frame(many, 0), frame(few, 100), 20).orderBy("rank").collect()] == want
+
+
 def test_core_set_picks_from_the_candidates(spark):
     got = select.core_set(vectors(spark, range(50)), vectors(spark, [0], 100), 4, 3).collect()
     assert len({r.id for r in got}) == 4
