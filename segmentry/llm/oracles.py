@@ -1,5 +1,7 @@
 """DuckDB SQL of the operators that SQL can express."""
 
+from segmentry.llm.licenses import TEMPLATES
+
 _OP3 = r"""
 WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -55,4 +57,23 @@ FROM s JOIN b ON s.k = b.k AND s.g = b.g JOIN size ON size.q = b.q
 GROUP BY s.doc_id, s.r, b.item_id, b.q, n_item HAVING count(*) * 100 >= n_item * 80
 """
 
-SQL = {"op3_minhash_dedup": _OP3, "op5_decontamination": _OP5, "op9_chat_format": _OP9, "op10_exact_topk": _OP10}
+_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BIGRAMS = "list_distinct(list_transform(list_zip(w[1:len(w) - 1], w[2:len(w)]), lambda z: z[1] || ' ' || z[2]))"
+_OP2 = f"""
+WITH tpl AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))}) t(i, name, text)),
+tw AS (SELECT i, name, regexp_extract_all({_AZ.format("text")}, '[a-z0-9]+') AS w FROM tpl),
+tl AS MATERIALIZED (SELECT i, name, {_BIGRAMS} AS b FROM tw),
+tb AS MATERIALIZED (SELECT i, name, len(b) AS n, unnest(b) AS g FROM tl),
+d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {_AZ.format("coalesce(text, '')")} AS text FROM documents),
+u AS (SELECT r, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS u FROM d UNION ALL SELECT r, -1, text FROM d WHERE contains(text, chr(10))),
+uw AS (SELECT r, line, regexp_extract_all(u, '[a-z0-9]+') AS w FROM u),
+ul AS MATERIALIZED (SELECT r, line, {_BIGRAMS} AS b FROM uw WHERE len(w) > 1),
+ub AS MATERIALIZED (SELECT r, line, len(b) AS n, unnest(b) AS g FROM ul),
+hit AS MATERIALIZED (SELECT r, line, i, name, count(*) AS shared, ub.n + tb.n AS total FROM ub JOIN tb ON ub.g = tb.g GROUP BY r, line, i, name, ub.n, tb.n HAVING 200 * count(*) >= 80 * (ub.n + tb.n)),
+best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY 2.0 * shared / total DESC, i, line) AS k FROM hit),
+units AS (SELECT r, count(DISTINCT line) AS n FROM hit GROUP BY r)
+SELECT doc_id, name AS license, 2 * shared / CAST(total AS DOUBLE) AS dice, line, CAST(coalesce(units.n, 0) AS INTEGER) AS n_units
+FROM d LEFT JOIN best ON best.r = d.r AND best.k = 1 LEFT JOIN units ON units.r = d.r
+"""
+
+SQL = {"op2_license_scan": _OP2, "op3_minhash_dedup": _OP3, "op5_decontamination": _OP5, "op9_chat_format": _OP9, "op10_exact_topk": _OP10}
