@@ -1,9 +1,12 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Units are the lines of a text and the text as a whole, so that a notice inside a long document and a licence over many lines are both
-found. Words are runs of a-z and 0-9 after lower-casing A-Z. The Dice coefficient of bigram sets A and B is
+Units are the lines of a text, the text as a whole, and windows of as many words as a template has, over lines and inside them, so that a
+notice wrapped over lines of a long document and one between other sentences of a line are found too. A window that touches lines
+which hold a licence by themselves is a unit only if it goes over several lines and its coefficient is above theirs; of windows that overlap
+the best is a unit, the others are none. Words are runs of a-z and 0-9 after lower-casing A-Z. The Dice coefficient of bigram sets A and B is
 2|A n B| / (|A| + |B|); at threshold t only templates with |A| t / (2 - t) <= |B| <= |A| (2 - t) / t can reach it, which
-prunes templates by size, and units whose bigrams in common with any template are too few for their size are passed over.
+prunes templates by size, and units whose bigrams in common with any template are too few for their size are passed over. A window has to
+hold |B| t / (2 - t) bigrams of its template at least.
 
 Null and empty texts have no licence. Ties go to the template first in order, then to the earlier unit. A row
 without doc_id gives a row without doc_id; rows that repeat one give a row each. Columns besides id and text are ignored.
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -72,28 +76,37 @@ def best_template(unit: frozenset, templates: list[tuple[str, frozenset]], perce
     return best
 
 
-def hopeful_lines(texts: list[bytes], known: np.ndarray, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, line number in it) of the lines with enough bigrams in common with some template to reach the threshold.
+def hopeful(texts: list[bytes], known: np.ndarray, percent: int, least: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]:
+    """(text, line number in it) of the lines with enough bigrams in common with some template to reach the threshold; and of each known
+    bigram its number, text, place in the text's words, and the lines of its two words.
 
     A line with d distinct bigrams, h of them (repeats counted) known, reaches at most 2h / (d + least), least being the smallest template's size.
     """
+    none = np.zeros(0, np.int64)
     buffer = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
     if not len(buffer):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (none, none), (none,) * 5
     edge = np.diff(np.concatenate(([0], _KEEP[buffer].view(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(starts) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (none, none), (none,) * 5
     words = span_hashes(buffer, starts, ends)
     line = np.cumsum(buffer == 10)[starts]
     pair = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
-    inside = line[:-1] == line[1:]
-    pair, line = pair[inside], line[:-1][inside]
     place = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-    hits = np.bincount(line[known[place] == pair], minlength=int(line.max(initial=0)) + 1)
+    met = known[place] == pair
+    first = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
+    at = np.flatnonzero(met)
+    text = np.searchsorted(first, line[at], side="right") - 1
+    one = line[at + 1] < first[text + 1]  # both words are of one text
+    at, text = at[one], text[one]
+    bits = place[at], text, at - np.searchsorted(line, first[text]), line[at] - first[text], line[at + 1] - first[text]
+    inside = line[:-1] == line[1:]
+    hits = np.bincount(line[:-1][inside & met], minlength=int(line.max(initial=0)) + 1)
     few = np.flatnonzero(200 * hits >= percent * (least + 1))
     if not len(few):
-        return few, few
+        return (none, none), bits
+    pair, line = pair[inside], line[:-1][inside]
     several = np.isin(line, few)
     line, pair = line[several], pair[several]
     order = np.lexsort((pair, line))
@@ -101,13 +114,60 @@ def hopeful_lines(texts: list[bytes], known: np.ndarray, percent: int, least: in
     new = np.append(True, (line[1:] != line[:-1]) | (pair[1:] != pair[:-1]))
     sizes = np.bincount(line[new], minlength=len(hits))
     few = few[200 * hits[few] >= percent * (sizes[few] + least)]
-    first = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
     text = np.searchsorted(first, few, side="right") - 1
-    return text, few - first[text]
+    return (text, few - first[text]), bits
+
+
+def hopeful_windows(bits: tuple[np.ndarray, ...], taken: list[tuple[int, int]], owns: np.ndarray, widths: list[int], needs: list[int]) -> list[tuple[int, int, int]]:
+    """(text, template, first word) of the windows with enough of the template's bigrams, away from the (text, line) taken, which no window can better.
+
+    owns has a row a template and a column a known bigram. Repeats count, so that no window that reaches the threshold is left out.
+    """
+    number, text, word, line, next_line = bits
+    if taken and len(text):
+        span = int(next_line.max()) + 2
+        used = np.array([t * span + x for t, x in taken if x < span])
+        free = ~(np.isin(text * span + line, used) | np.isin(text * span + next_line, used))
+        number, text, word = number[free], text[free], word[free]
+    found: set[tuple[int, int, int]] = set()
+    for i, (width, need) in enumerate(zip(widths, needs)):
+        own = owns[i, number]
+        t, w = text[own], word[own]
+        low, high = np.arange(max(0, len(t) - need + 1)), np.arange(need - 1, len(t))
+        near = (t[low] == t[high]) & (w[high] - w[low] <= width - 2)
+        for x, a, b in zip(t[low][near].tolist(), w[low][near].tolist(), w[high][near].tolist()):
+            found.update((x, i, start) for start in range(max(0, b + 2 - width), a + 1))
+    return sorted(found)
+
+
+def windows(text: bytes, held: dict[int, float], hopes: list[tuple[int, int]], sets: list[tuple[str, frozenset]], widths: list[int], percent: int) -> Iterator[tuple[int, int, int, int]]:
+    """(template, shared, sizes, line of the first word) of the best windows that don't overlap, ties to the template first in order, then to the earlier one. held: coefficients of lines."""
+    spans = [m.span() for m in WORD.finditer(text.lower())]
+    words = [text[a:b].lower() for a, b in spans]
+    ends = [m.start() for m in re.finditer(b"\n", text)]
+    lines = np.searchsorted(ends, [a for a, _ in spans])
+    bar = [held.get(x, 0.0) for x in lines.tolist()]
+    reached = []
+    for i, start in hopes:
+        stop = start + widths[i]
+        if stop > len(words):
+            continue
+        least = max(bar[start:stop])
+        if least and lines[start] == lines[stop - 1]:
+            continue
+        unit, other = frozenset(zip(words[start : stop - 1], words[start + 1 : stop])), sets[i][1]
+        shared, both = len(unit & other), len(unit) + len(other)
+        if 200 * shared >= percent * both and 2 * shared / both > least:
+            reached.append((-shared / both, i, start, stop, shared, both))
+    chosen: list[tuple[int, int]] = []
+    for _, i, start, stop, shared, both in sorted(reached):
+        if all(stop <= a or b <= start for a, b in chosen):
+            chosen.append((start, stop))
+            yield i, shared, both, int(lines[start])
 
 
 def scan(docs: DataFrame, percent: int = 80, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, license (null: none), dice, line (from 0; -1: the whole text) of the best unit, and n_units that hold a licence, for each row."""
+    """doc_id, license (null: none), dice, line (from 0, of a window that of its first word; -1: the whole text) of the best unit, and n_units that hold a licence, for each row."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     kinds = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("dice", pa.float64()), ("line", pa.int64()), ("n_units", pa.int32())])
 
@@ -117,14 +177,23 @@ def scan(docs: DataFrame, percent: int = 80, templates: tuple[tuple[str, str], .
         buffer = np.frombuffer(b" ".join(w for p in pairs for w in p), np.uint8)
         blank = np.flatnonzero(buffer == 32)
         hashes = span_hashes(buffer, np.concatenate(([0], blank + 1)), np.concatenate((blank, [len(buffer)])))
-        known = np.unique(hashes[::2] * np.uint64(0x9E3779B97F4A7C15) + hashes[1::2])
+        mixed = hashes[::2] * np.uint64(0x9E3779B97F4A7C15) + hashes[1::2]
+        known = np.unique(mixed)
+        owns = np.array([np.isin(known, mixed[[p in s for p in pairs]]) for _, s in sets])
+        widths = [len(WORD.findall(text.lower().encode())) for _, text in templates]
+        needs = [max(1, -(-percent * len(s) // (200 - percent))) for _, s in sets]
         least = min(len(s) for _, s in sets)
         for part, texts in pieces_of(batches):
             found: list[list[tuple]] = [[] for _ in texts]
-            for t, line in zip(*(x.tolist() for x in hopeful_lines(texts, known, percent, least))):
+            hopes, bits = hopeful(texts, known, percent, least)
+            for t, line in zip(*(x.tolist() for x in hopes)):
                 unit = bigrams(texts[t].split(b"\n")[line])
                 if hit := best_template(unit, sets, percent):
                     found[t].append((*hit, line))
+            held = [{line: 2 * shared / both for _, shared, both, line in f} for f in found]
+            taken = [(t, line) for t, h in enumerate(held) for line, dice in h.items() if dice == 1]
+            for t, group in groupby(hopeful_windows(bits, taken, owns, widths, needs), lambda x: x[0]):
+                found[t].extend(windows(texts[t], held[t], [x[1:] for x in group], sets, widths, percent))
             for t, text in enumerate(texts):
                 if b"\n" in text and (hit := best_template(bigrams(text), sets, percent)):
                     found[t].append((*hit, -1))

@@ -112,6 +112,22 @@ def test_licences_over_lines_and_odd_rows(spark, odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licences_wrapped_inside_longer_texts(spark):
+    fill = "\n".join("some prose about boats and rivers stands here" for _ in range(6))
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    texts = [f"{fill}\n{wrap(t, n)}\n{fill}" for _, t in licenses.TEMPLATES for n in (3, 7)]
+    texts += [f"We made boats for years. {t} The rivers are long and wide." for _, t in licenses.TEMPLATES]
+    names = [n for n, _ in licenses.TEMPLATES for _ in range(2)] + [n for n, _ in licenses.TEMPLATES]
+    mit = licenses.TEMPLATES[4][1].replace("documentation files,", 'documentation files (the "Software"),')
+    texts.append("MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrap(mit, 11) + "\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n" + fill)
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, texts)).collect()}
+    assert [got[i].license for i in range(len(texts))] == [*names, "mit"]
+    assert all(got[i].dice == 1 for i in range(2 * len(licenses.TEMPLATES)))
+    both = licenses.TEMPLATES[10][1] + "\n" + fill + "\n" + wrap(licenses.TEMPLATES[6][1], 9)
+    row = licenses.scan(documents(spark, [both])).first()
+    assert (row.n_units, row.dice) == (2, 1) and row.license == "gpl-3.0"
+
+
 # 3 near duplicates
 
 
