@@ -9,6 +9,7 @@ stays. Documents without doc_id are sifted by their texts like any other, but ar
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,14 @@ LEAST_QUALITY = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language."""
+    """Documents of a known language: likely enough in the known ones, and with a main one."""
     model = spark.sparkContext.broadcast(langid.learned_from(docs))
-    return filtered(docs, lambda texts: model.value.shares([t.decode() for t in texts]).max(axis=1, initial=0) >= LEAST_SHARE)
+
+    def keeps(texts: list[bytes]) -> np.ndarray:
+        shares, known = model.value.judged([t.decode() for t in texts])
+        return known & (shares.max(axis=1, initial=0) >= LEAST_SHARE)
+
+    return filtered(docs, keeps)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ product of their trigrams'; EM finds the proportions of languages that make the
 chosen among the m most frequent for m = 1, 2, ..., refitting each and penalising each language by half the log of the number of words.
 The prediction is the language with the largest share in the chosen set, the score that share.
 
+Shares are among the known languages whatever the text. Whether a text is in any of them is told by its mean log likelihood a trigram:
+texts of a language average what its own table expects of itself, those without a language that of uniform buckets, and the floor lies halfway.
+
 A text that is null or without letters, and any text if nothing could be learned, is `und` with score 0. Ties go to the language first in
 order. Rows that repeat a doc_id are predicted each; a row without doc_id is predicted, but never held out or
 learned from. lang, source and doc_id are no inputs of a prediction. Other columns are ignored.
@@ -54,15 +57,32 @@ class LanguageModel:
     languages: tuple[str, ...]
     table: np.ndarray  # log probability, (buckets, languages)
 
+    def floor(self) -> tuple[float, float]:
+        """The least mean log likelihood a trigram of a known language, and what it falls by for a text of one trigram: two deviations."""
+        table = self.table.astype(float)
+        p = np.exp(table)
+        p -= p.min(axis=0)  # what was learned, without the smoothing
+        p /= np.maximum(p.sum(axis=0), 1e-300)
+        mean = (p * table).sum(axis=0)
+        deviation = np.sqrt((p * (table - mean) ** 2).sum(axis=0))
+        return float(mean.min() - np.log(BUCKETS)) / 2, 2 * float(deviation.max())
+
     def shares(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): proportions in the chosen set, 0 elsewhere; all 0 for a text without letters."""
-        out = np.zeros((len(texts), len(self.languages)))
+        return self.judged(texts)[0]
+
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """shares, and whether each text, its words each in the language likeliest for it, is likely enough to be in known languages."""
+        out, known = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool)
         buckets, word, text = trigrams([t.lower() for t in texts])
         if not len(buckets) or not self.languages:
-            return out
+            return out, known
         first = np.flatnonzero(np.diff(word, prepend=-1))
         like = np.add.reduceat(self.table[buckets], first, axis=0)
         top = like.max(axis=1, keepdims=True)
+        letters = np.bincount(text, np.diff(np.append(first, len(buckets))), len(texts))
+        least, slack = self.floor()
+        known = (letters > 0) & (np.bincount(text, top[:, 0], len(texts)) >= letters * least - slack * np.sqrt(letters))
         like, top = np.exp(like - top), top[:, 0]
         begin = np.flatnonzero(np.diff(text, prepend=-1))  # the first word of each text that has any
         present, words = text[begin], np.diff(np.append(begin, len(text)))
@@ -88,7 +108,7 @@ class LanguageModel:
             better = score > best_score
             best, best_score = np.where(better[:, None], tried, best), np.where(better, score, best_score)
         out[present] = best
-        return out
+        return out, known
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageModel:

@@ -259,6 +259,23 @@ def test_language_mixture_and_odd_rows(spark, odd, empty):
     assert {r.lang_pred for r in langid.identify(odd, langid.learn(empty)).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_was_not_learned(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    planted = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(60)),
+    ]
+    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(planted)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(rows, allowMissingColumns=True), SF).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 # 7 and 8 tokens
 
 
