@@ -137,7 +137,8 @@ def core_set(candidates: DataFrame, labelled: DataFrame, n: int, parts: int, id_
 
 
 def two_stage_select(preds: DataFrame, candidates: DataFrame, labelled: DataFrame, n: int, score: str = "disagreement", pool: int | None = None, key: str = "pair_id", vec_col: str = "vec") -> DataFrame:
-    """The pool (half of the candidates unless given) by disagreement or entropy, then n of it by k-center."""
+    """The pool (half of the candidates unless given) by disagreement or entropy, then n of it by k-center. Predictions of others than candidates don't count."""
     pool = candidates.count() // 2 if pool is None else pool
-    top = {"disagreement": disagreement_topk, "entropy": entropy_topk}[score](preds, pool, key)
+    own = preds.join(candidates.select(key), key, "left_semi")
+    top = {"disagreement": disagreement_topk, "entropy": entropy_topk}[score](own, pool, key)
     return k_center(candidates.join(top.select(key), key, "left_semi"), labelled, n, key, vec_col)

@@ -125,3 +125,15 @@ def test_plans_have_no_product(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     plan = QUERIES["K2_disagreement"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_two_stage_pool_is_of_candidates(spark):
+    rng = np.random.default_rng(3)
+    preds = [(i, m, float(a), float(b)) for i in range(200) for m, (a, b) in enumerate(rng.uniform(0, 4, (3, 2)))]
+    table = spark.createDataFrame(preds, "id long, member int, r1 double, r2 double")
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(40)], "id long, vec array<double>")
+    candidates, labelled = vectors.where("id >= 4"), vectors.where("id < 4")
+    spread = {i: round(float(np.std([round(1 / (1 + np.exp(b - a)), 9) for j, _, a, b in preds if j == i])), 6) for i in range(4, 40)}
+    pool = sorted(spread, key=lambda i: (-spread[i], i))[:18]
+    want = select.k_center(candidates.where(F.col("id").isin(pool)), labelled, 18).collect()
+    assert select.two_stage_select(table, candidates, labelled, 18, key="id").collect() == want and len(want) == 18
