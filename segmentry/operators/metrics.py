@@ -66,20 +66,16 @@ def normalise_obs(steps: DataFrame, stats: DataFrame, obs: str = "obs", eps: flo
 
 
 def merge_moments(rows: DataFrame, batch: str, value: str, prior: tuple[float, float, float] = (0.0, 1.0, 1e-4)) -> DataFrame:
-    """(n, mean, var): moments of each batch, folded in order of batch into the prior (mean, variance, count) by Chan's rule.
+    """(n, mean, var): moments of all batches, merged with the prior (mean, variance, count) by Chan's rule.
 
-    What is folded is a row a batch. Variances are those of the population, as the prior's.
+    The rule is associative, so Spark's own partial moments of any rows stand for those of the batches, which give no other result: a task
+    sends one row. Rows without a batch count too. Variances are those of the population, as the prior's.
     """
     mean, var, count = prior
-    by_batch = rows.groupBy(batch).agg(F.count(value).cast("double").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
-    ordered = by_batch.where("n > 0").agg(F.sort_array(F.collect_list(F.struct(batch, "n", "m", "v"))).alias("b"))
-    start = F.struct(F.lit(count).alias("n"), F.lit(mean).alias("m"), F.lit(var * count).alias("m2"))
-
-    def fold(a: Column, x: Column) -> Column:
-        n, d = a["n"] + x["n"], x["m"] - a["m"]
-        return F.struct(n.alias("n"), (a["m"] + d * x["n"] / n).alias("m"), (a["m2"] + x["v"] * x["n"] + d * d * a["n"] * x["n"] / n).alias("m2"))
-
-    return ordered.select(F.aggregate("b", start, fold).alias("s")).select("s.n", F.col("s.m").alias("mean"), (F.col("s.m2") / F.col("s.n")).alias("var"))
+    whole = rows.agg(F.count(value).cast("double").alias("n"), F.coalesce(F.avg(value), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop(value), F.lit(0.0)).alias("v"))
+    n, d = F.col("n") + count, F.col("m") - mean
+    merged = F.lit(var * count) + F.col("v") * F.col("n") + F.try_divide(d * d * count * F.col("n"), n)
+    return whole.select(n.alias("n"), F.coalesce(mean + F.try_divide(d * F.col("n"), n), F.lit(float(mean))).alias("mean"), F.try_divide(merged, n).alias("var"))
 
 
 def distinct_goals(tasks: DataFrame) -> DataFrame:

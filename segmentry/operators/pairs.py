@@ -116,8 +116,17 @@ def scheduled_size(base: int, step: Column, total: int, schedule: str = "constan
     return F.lit(base).cast("long")
 
 
-def apply_budget(rounds: DataFrame, most: int, order: str = "round", requested: str = "requested") -> DataFrame:
-    """rounds (one row a feedback round) with `granted` and `used`: the batch that would pass `most` is cut, later ones are 0."""
-    before = F.coalesce(F.sum(requested).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def apply_budget(rounds: DataFrame, most: int, order: str = "round", requested: str = "requested", chunk: int = 10_000) -> DataFrame:
+    """rounds (one row a feedback round) with `granted` and `used`: the batch that would pass `most` is cut, later ones are 0.
+
+    The running sum is taken inside chunks of `chunk` values of the order column, and chunks start from the totals of those before.
+    """
+    rows = rounds.withColumn("_chunk", F.coalesce(F.floor(F.col(order) / chunk), F.lit(-(2**63))))
+    inside = Window.partitionBy("_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_chunk").agg(F.sum(requested).alias("_sum")).select("_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_inside", F.coalesce(F.sum(requested).over(inside), F.lit(0))).join(totals, "_chunk")
+    before = F.col("_inside") + F.col("_before")
     granted = F.greatest(F.lit(0), F.least(F.col(requested), most - before))
-    return rounds.withColumn("granted", granted.cast("long")).withColumn("used", F.least(F.lit(most), before + F.col(requested)).cast("long"))
+    out = placed.withColumn("granted", granted.cast("long")).withColumn("used", F.least(F.lit(most), before + F.col(requested)).cast("long"))
+    return out.drop("_chunk", "_inside", "_before")

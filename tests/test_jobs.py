@@ -137,3 +137,16 @@ def test_two_stage_pool_is_of_candidates(spark):
     pool = sorted(spread, key=lambda i: (-spread[i], i))[:18]
     want = select.k_center(candidates.where(F.col("id").isin(pool)), labelled, 18).collect()
     assert select.two_stage_select(table, candidates, labelled, 18, key="id").collect() == want and len(want) == 18
+
+
+def test_budget_runs_over_chunks_and_moments_keep_no_batches(spark):
+    asked = [i % 3 for i in range(50)]
+    rows = spark.createDataFrame(list(enumerate(asked)), "round long, requested long")
+    got = pairs.apply_budget(rows, 30, chunk=7).orderBy("round").collect()
+    assert [(r.granted, r.used) for r in got] == [(max(0, min(n, 30 - sum(asked[:i]))), min(30, sum(asked[: i + 1]))) for i, n in enumerate(asked)]
+    moments = metrics.merge_moments(spark.range(1000).selectExpr("id div 10 as b", "cast(id as double) as v"), "b", "v", (5.0, 2.0, 10.0))
+    assert "collect_list" not in moments._jdf.queryExecution().toString()
+    x = np.arange(1000.0)
+    mean = (50 + x.sum()) / 1010
+    var = (10 * (2 + (5 - mean) ** 2) + ((x - mean) ** 2).sum()) / 1010
+    assert tuple(moments.first()) == pytest.approx((1010, mean, var))
