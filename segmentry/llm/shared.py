@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,38 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: later stages start from the files, whichever executor is lost."""
+#: Paths of the tables cut inside each open `scratch`, innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
+
+
+def cut(df: DataFrame, what: str = "cut", keep: bool = False) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again: later stages start from the files, whichever executor is lost.
+
+    Inside `scratch` the files go at its end, unless they are kept: then at the end of the one around it, if there is one.
+    """
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
+    around = _open.get()[:-1] if keep else _open.get()
+    if around:
+        around[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is cut inside, and not kept, is deleted at the end, on whichever file system the shared folder is."""
+    paths: list[str] = []
+    token = _open.set((*_open.get(), paths))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     """df and whether it has at most so many rows, found by counting no further than one more."""
     return df, df.limit(rows + 1).count() <= rows
@@ -48,19 +74,58 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+#: Rows of one key beyond which a join deals them over several tasks, and the keys of that kind that are broadcast at most.
+HOT_ROWS, HOT_KEYS = 50_000, 500_000
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str, n: str = "n", most: int | None = None, top: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows and table, a written table of one row a key whose column n says how many rows have that key, both with `_salt`.
+
+    The rows of a key that has more than `most` are dealt over several salts by a hash of all they hold, and its row of table is repeated
+    for each of those; all others have salt 0. Only the names of such keys are broadcast, after they were counted; if they are too many, no key is dealt.
+    Nothing is counted where it is known that no key has more than `top` rows and that is few enough.
+    """
+    most = HOT_ROWS if most is None else most
+    if top is not None and top <= most:
+        return rows.withColumn("_salt", F.lit(0)), table.withColumn("_salt", F.lit(0))
+    hot = table.where(F.col(n) > most).select(key, F.ceil(F.col(n) / most).cast("int").alias("_salts"))
+    count = hot.limit(HOT_KEYS + 1).count()
+    if not 0 < count <= HOT_KEYS:
+        return rows.withColumn("_salt", F.lit(0)), table.withColumn("_salt", F.lit(0))
+    salt = F.pmod(F.col("_all"), F.coalesce("_salts", F.lit(1))).cast("int")
+    dealt = rows.withColumn("_all", F.xxhash64(*rows.columns)).join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_all", "_salts")
+    last = F.when(F.col(n) > most, F.ceil(F.col(n) / most).cast("int") - 1).otherwise(0)
+    return dealt, table.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+
+
+def met_by_key(rows: DataFrame, table: DataFrame, key: str, n: str = "n", most: int | None = None, top: int | None = None) -> DataFrame:
+    """rows joined with table on key, keys of very many rows over several tasks (see spread)."""
+    left, right = spread(rows, table, key, n, most, top)
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_runs(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, end, texts in UTF-8) of runs of rows with about `most` bytes of text at most, one row at least (null: empty)."""
+    if len(column):
+        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist(), len(column)]
+        for a, b in zip(edges, edges[1:]):
+            yield a, b, [x or b"" for x in column.slice(a, b - a).cast(pa.binary()).to_pylist()]
+
+
 def pieces_of(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows with about `most` bytes of text at most (one row at least), with their texts in UTF-8 (null: empty)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
-        run = np.cumsum(sizes) // most
-        edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(edges, edges[1:]):
-            part = batch.slice(a, b - a)
-            texts = part.column(part.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-            yield part, [x or b"" for x in texts]
+        for a, b, texts in text_runs(batch.column(batch.schema.get_field_index(text)), most):
+            yield batch.slice(a, b - a), texts
 
 
 _RNG = np.random.default_rng(20240607)
@@ -119,10 +184,12 @@ def shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
 
 
 def filtered(docs: DataFrame, decide: Callable[[list[bytes]], np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose texts `decide` keeps; it gets runs of texts in UTF-8."""
+    """The rows of docs, all columns as they are, whose texts `decide` keeps; it gets runs of texts in UTF-8, and only texts go to Python."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces_of(batches, text_col):
-            yield part.filter(pa.array(decide(texts), pa.bool_()))
+    @F.arrow_udf("boolean")
+    def keeps(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            kept = [np.asarray(decide(raw), bool) for _, _, raw in text_runs(texts)]
+            yield pa.array(np.concatenate(kept) if kept else np.zeros(0, bool))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.where(keeps(docs[text_col].cast("string")))
