@@ -3,10 +3,11 @@
 One vector of weights over hashed text features gives a text's position; ordered thresholds cut it into grades:
 P(grade >= k) = sigmoid(position - threshold_k). The expected grade is the sum of these tail probabilities over k, and
 the tail of the best grade decides what is kept. Features are the words and the runs of symbols that a text holds (each
-once), and how much of it is symbols, repeats and distinct words.
+once, whole), the symbol that each run begins with and the power of two that its length reaches, and how much of the text is symbols,
+repeats and distinct words.
 
 Grades of the labels: 0 toxic, 1 of low quality, 2 neither. The model is fitted on a bounded sample of labelled rows (`most`,
-the labelled documents least by a hash of their id); every document is scored.
+the labelled documents least by a hash of their id, and of rows that repeat a doc_id the text first in order); every document is scored.
 
 Null and empty texts have no feature but those of emptiness. Labels that are null or repeat a document count by their worst grade.
 Without labels, every text has the best grade and is kept. Rows that repeat a doc_id, or have none, are scored each. Other columns
@@ -23,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentry.llm.shared import pieces_of, span_hashes
+from segmentry.llm.shared import mix64, pieces_of, span_hashes
 
 BITS = 20
 GRADES = 3
 #: Labelled rows that the fit takes at most.
 SAMPLE = 12_000
-#: Texts of a sample of n that must hold a feature for it to have a weight: n / 600, three at least.
-LEAST_TEXTS, LEAST_SHARE = 3, 600
+#: Texts of the sample that must hold a feature for it to have a weight.
+LEAST_TEXTS = 3
 STEPS, RATE, DECAY = 300, 0.1, 1e-4
 _KIND = np.full(256, 2, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -46,7 +47,8 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     shown = kind[starts] > 0
     starts, ends = starts[shown], ends[shown]
     symbol = kind[starts] == 2
-    hashes = span_hashes(buffer, starts, np.where(symbol, np.minimum(ends, starts + 3), ends)) if len(starts) else np.zeros(0, np.uint64)
+    hashes = span_hashes(buffer, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    shape = mix64(buffer[starts[symbol]].astype(np.uint64) << np.uint64(8) | np.log2(ends[symbol] - starts[symbol]).astype(np.uint64)) if len(starts) else hashes
     begin = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
     text = np.searchsorted(begin, starts, side="right") - 1
     n = len(texts)
@@ -55,8 +57,10 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     symbols = np.bincount(text[symbol & ~plain], minlength=n)
     word, owner = hashes[~symbol], text[~symbol]
     same = np.bincount(owner[1:][(word[1:] == word[:-1]) & (owner[1:] == owner[:-1])], minlength=n) if len(word) else np.zeros(n)
-    key = np.unique(text << BITS | (hashes >> np.uint64(64 - BITS)).astype(np.int64))
+    of = lambda owner, h: owner << BITS | (h >> np.uint64(64 - BITS)).astype(np.int64)
+    key = np.unique(of(text, hashes))
     distinct = np.bincount(key >> BITS, minlength=n)
+    key = np.unique(np.concatenate((key, of(text[symbol], shape))))
     whole = np.maximum(words, 1)
     bins = [np.minimum(10 * x / whole, 10).astype(np.uint64) for x in (symbols, 4 * same, distinct)] + [np.minimum(np.log2(whole), 15).astype(np.uint64)]
     shares = [(((b + np.uint64(16 * i + 1)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)) for i, b in enumerate(bins)]
@@ -85,7 +89,7 @@ def fit(rows: np.ndarray, feature: np.ndarray, grades: np.ndarray) -> OrdinalMod
     n = len(grades)
     if not n or len(np.unique(grades)) < 2:
         return OrdinalModel(np.zeros(1 << BITS, np.float32), np.full(GRADES - 1, -10.0))
-    used = np.flatnonzero(np.bincount(feature, minlength=1 << BITS) >= max(LEAST_TEXTS, n // LEAST_SHARE))
+    used = np.flatnonzero(np.bincount(feature, minlength=1 << BITS) >= LEAST_TEXTS)
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
     known = place[feature] >= 0
@@ -117,15 +121,16 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> OrdinalMode
     grade = F.when(F.coalesce("toxic", F.lit(0)) != 0, 0).when(F.coalesce("quality", F.lit(1)) == 0, 1).otherwise(GRADES - 1)
     graded = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(grade).alias("grade"))
     sample = graded.orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text")).join(F.broadcast(sample), "id").select("grade", "text")
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text")).join(F.broadcast(sample), "id")
+    rows = rows.groupBy("id", "grade").agg(F.min("text").alias("text")).select("grade", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces_of(batches):
             text, feature = features(texts)
-            lists = [feature[text == k] for k in range(len(texts))] if len(texts) < 8 else np.split(feature[np.argsort(text, kind="stable")], np.cumsum(np.bincount(text, minlength=len(texts)))[:-1])
+            lists = np.split(feature[np.argsort(text, kind="stable")], np.cumsum(np.bincount(text, minlength=len(texts)))[:-1])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype("<i4").tobytes() for x in lists], pa.binary())], names=["grade", "features"])
 
-    found = rows.mapInArrow(work, "grade int, features binary").limit(2 * most).toArrow()
+    found = rows.mapInArrow(work, "grade int, features binary").toArrow()  # `most` rows at most
     lists = [np.frombuffer(x, "<i4") for x in found.column("features").to_pylist()]
     text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     return fit(text, np.concatenate(lists).astype(np.int64) if lists else text, np.array(found.column("grade").to_pylist(), np.int64))
