@@ -1,9 +1,12 @@
 """Language identification as a mixture: expectation-maximisation of each text's language proportions from n-gram likelihoods.
 
 Learning counts hashed letter trigrams by language over all rows to learn from, as Spark sums of what each task counted; the
-table of log probabilities (buckets x languages) is all that reaches the driver. A text's words have a likelihood in each language, the
-product of their trigrams'; EM finds the proportions of languages that make the words likeliest. The set of languages is then
-chosen among the m most frequent for m = 1, 2, ..., refitting each and penalising each language by half the log of the number of words.
+table of log probabilities (buckets x languages) is all that reaches the driver. So that it is bounded, at most `most` languages are learned, those of
+most documents, ties to the first in order. A text's words have a likelihood in each language, the
+product of their trigrams'; EM finds the proportions of languages that make the words likeliest. A few rounds over all languages leave those with a share
+that counts; their proportions are then followed until a round adds less than TOLERANCE to the log likelihood. The set of languages is
+chosen among the m most frequent for m = 1, 2, ..., each fitted to the same tolerance and penalised for each language by half the log of the number of words;
+the search of a text ends where one more language gains nothing.
 The prediction is the language with the largest share in the chosen set, the score that share.
 
 Shares are among the known languages whatever the text. Whether a text is in any of them is told by its mean log likelihood a trigram:
@@ -29,7 +32,12 @@ from segmentry.llm.shared import pieces_of
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
-ROUNDS, REFITS = 8, 4
+#: Languages that a model knows at most.
+LANGUAGES = 256
+#: Rounds over all languages, and the share of the words that a language must have after them to be followed further.
+WARM, LEAST_SHARE = 3, 1e-3
+#: A fit ends where a round adds less to the log likelihood of the whole text.
+TOLERANCE = 1e-2
 
 
 @lru_cache(1)
@@ -83,37 +91,82 @@ class LanguageModel:
         letters = np.bincount(text, np.diff(np.append(first, len(buckets))), len(texts))
         least, slack = self.floor()
         known = (letters > 0) & (np.bincount(text, top[:, 0], len(texts)) >= letters * least - slack * np.sqrt(letters))
-        like, top = np.exp(like - top), top[:, 0]
+        like = np.exp(like - top)
         begin = np.flatnonzero(np.diff(text, prepend=-1))  # the first word of each text that has any
-        present, words = text[begin], np.diff(np.append(begin, len(text)))
-        which = np.repeat(np.arange(len(present)), words)
-
-        def fit(shares: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-            for _ in range(rounds):
-                part = like * shares[which]
-                part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-                shares = np.add.reduceat(part, begin, axis=0) / words[:, None]
-            fitted = np.log(np.maximum((like * shares[which]).sum(axis=1), 1e-300)) + top
-            return shares, np.add.reduceat(fitted, begin)
-
-        n = len(self.languages)
-        whole, score = fit(np.full((len(present), n), 1 / n), ROUNDS)
-        best, best_score = whole, score - 0.5 * (n - 1) * np.log(words)
-        order = np.argsort(-whole, axis=1, kind="stable")
-        for m in range(1, n):
-            kept = np.zeros_like(whole)
-            np.put_along_axis(kept, order[:, :m], np.take_along_axis(whole, order[:, :m], axis=1), axis=1)
-            tried, score = fit(kept / kept.sum(axis=1, keepdims=True), REFITS if m > 1 else 0)
-            score = score - 0.5 * (m - 1) * np.log(words)
-            better = score > best_score
-            best, best_score = np.where(better[:, None], tried, best), np.where(better, score, best_score)
-        out[present] = best
+        out[text[begin]] = mixtures(like, np.diff(np.append(begin, len(text))))
         return out, known
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageModel:
-    """Trigram tables of every language named in docs, from all their texts."""
+def run_sums(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, np.concatenate(([0], np.cumsum(words)[:-1])), axis=0)
+
+
+def rounds(like: np.ndarray, words: np.ndarray, shares: np.ndarray, n: int) -> np.ndarray:
+    """Shares after n rounds of EM. like: (words, languages) of texts one after the other; words: their numbers."""
+    for _ in range(n):
+        part = like * np.repeat(shares, words, axis=0)
+        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
+        shares = run_sums(part, words) / words[:, None]
+    return shares
+
+
+def converged(like: np.ndarray, words: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shares, log likelihood) of each text when a round of EM adds less than TOLERANCE; texts that are done leave."""
+    shares, score = shares.copy(), np.full(len(words), -np.inf)
+    at, own, count = np.arange(len(words)), like, words
+    while len(at):
+        part = own * np.repeat(shares[at], count, axis=0)
+        total = np.maximum(part.sum(axis=1), 1e-300)
+        now = run_sums(np.log(total), count)
+        gain, score[at] = now - score[at], now
+        moving = gain >= TOLERANCE
+        if not moving.all():
+            rows = np.repeat(moving, count)
+            at, own, part, total, count = at[moving], own[rows], part[rows], total[rows], count[moving]
+            if not len(at):
+                break
+        shares[at] = run_sums(part / total[:, None], count) / count[:, None]
+    return shares, score
+
+
+def mixtures(like: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """(texts, languages): proportions in the chosen set of each text, 0 elsewhere."""
+    n, languages = len(words), like.shape[1]
+    shares = rounds(like, words, np.full((n, languages), 1 / languages), WARM)
+    order = np.argsort(-shares, axis=1, kind="stable")
+    wide = max(1, int((shares >= LEAST_SHARE).sum(axis=1).max()))
+    order = order[:, :wide]
+    own = np.take_along_axis(like, np.repeat(order, words, axis=0), axis=1)
+    shares = np.take_along_axis(shares, order, axis=1)
+    shares[shares < LEAST_SHARE] = 0
+    shares[:, 0] += shares.sum(axis=1) == 0
+    shares, _ = converged(own, words, shares / shares.sum(axis=1, keepdims=True))
+    again = np.argsort(-shares, axis=1, kind="stable")
+    order, shares = np.take_along_axis(order, again, axis=1), np.take_along_axis(shares, again, axis=1)
+    own = np.take_along_axis(own, np.repeat(again, words, axis=0), axis=1)
+    best, best_score = np.zeros_like(shares), np.full(n, -np.inf)
+    at, count = np.arange(n), words
+    for m in range(1, wide + 1):
+        some = shares[at, :m]
+        tried, score = converged(own[:, :m], count, some / some.sum(axis=1, keepdims=True))
+        score -= 0.5 * (m - 1) * np.log(count)
+        better = (score > best_score[at]) & (some[:, -1] > 0)
+        won = at[better]
+        best[won], best_score[won] = 0, score[better]
+        best[won, :m] = tried[better]
+        at, own, count = won, own[np.repeat(better, count)], count[better]
+        if not len(at):
+            break
+    out = np.zeros((n, languages))
+    np.put_along_axis(out, order, best, axis=1)
+    return out
+
+
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = LANGUAGES) -> LanguageModel:
+    """Trigram tables of the languages named in docs (`most` at most), from all their texts."""
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where("lang is not null and text is not null")
+    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
+    rows = rows.where(F.col("lang").isin(names))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
