@@ -8,18 +8,16 @@ loses no pair. The candidates are confirmed on whole shingle sets. No document s
 are broadcast after their number is counted, or joined by shuffle where they are too many.
 
 Words are runs of letters and digits, lower-cased. Items with fewer words than the shingle width are one shingle, looked up among
-the documents' shingles of that width, partition by partition. Null or wordless items and texts meet nothing. Rows that repeat
+the documents' shingles of that width. Null or wordless items and texts meet nothing. Rows that repeat
 an item or a document are found each; ids may be null. Columns besides id and text are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentry.llm.shared import cut, hinted
+from segmentry.llm.shared import cut, hinted, scratch
 
 #: Rows of kept minima, and of benchmark shingles, up to which they are broadcast (some 20 bytes a row).
 BROADCAST_ROWS = 500_000
@@ -54,29 +52,39 @@ def item_minima(items: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.withColumn("minima", F.transform(F.slice(scattered, F.lit(1), k), lambda s: s["x"]))
 
 
-def _exploded(texts: DataFrame, width: int, *keep: str) -> DataFrame:
-    """A row for each distinct shingle hash `g` of that width of each text."""
+def _exploded(texts: DataFrame, widths: list[int], *keep: str) -> DataFrame:
+    """A row for each distinct shingle hash `g` of each of these widths of each text, split into words once."""
     words = texts.select(*keep, words_of(F.col("text")).alias("w"))  # a column of its own, so that it is computed once a row
-    return words.select(*keep, F.explode(F.array_distinct(shingle_hashes(F.col("w"), width))).alias("g"))
+
+    def of(n: int) -> Column:
+        return F.array_distinct(shingle_hashes(F.col("w"), n))
+
+    def tagged(n: int) -> Column:
+        return F.transform(of(n), lambda g: F.struct(F.lit(n).alias("width"), g.alias("g")))
+
+    if len(widths) == 1:
+        return words.select(*keep, F.lit(widths[0]).alias("width"), F.explode(of(widths[0])).alias("g"))
+    return words.select(*keep, F.explode(F.concat(*map(tagged, widths))).alias("s")).select(*keep, "s.width", "s.g")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item) of each document and item with at least percent of the item's distinct shingles in the document."""
     rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].cast("string").alias("text"))
-    tests = cut(item_minima(items.select(items[item_col].cast("long").alias("item"), items[item_text].cast("string").alias("text")), words, percent).withColumn("n", F.monotonically_increasing_id()), "items")
-    widths = sorted(r[0] for r in tests.select("width").distinct().collect())  # at most `words` of them
-    if not widths:
-        return rows.select(F.col("doc").alias("doc_id"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("n_shared"), F.lit(0).alias("n_item")).limit(0)
-    minima = tests.select(F.explode("minima").alias("g"), "width").distinct()
-    whole = tests.select("n", "item", "width", F.size("shingles").alias("n_item"), F.explode("shingles").alias("g"))
-    seen = [_exploded(rows, n, "doc").join(hinted(minima.where(F.col("width") == n).drop("width"), BROADCAST_ROWS), "g").select("doc") for n in widths]
-    # A document with any of the minima is a candidate; its text's whole shingle set then meets the items.
-    candidates = cut(reduce(DataFrame.unionByName, seen).distinct(), "candidates")
-    chosen = rows.join(hinted(candidates.withColumnRenamed("doc", "found"), BROADCAST_ROWS), F.col("doc").eqNullSafe(F.col("found")), "left_semi")
-    chosen = cut(chosen, "chosen").withColumn("r", F.monotonically_increasing_id())  # of a written table: a task that runs again numbers its rows alike
-    met = [_exploded(chosen, n, "doc", "r").join(hinted(whole.where(F.col("width") == n).drop("width"), BROADCAST_ROWS), "g") for n in widths]
-    shared = reduce(DataFrame.unionByName, met).groupBy("doc", "r", "n", "item", "n_item").agg(F.count("*").alias("n_shared"))
-    return shared.where(F.col("n_shared") * 100 >= F.col("n_item") * percent).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("n_shared").cast("int"), "n_item")
+    items = items.select(items[item_col].cast("long").alias("item"), items[item_text].cast("string").alias("text"))
+    with scratch(docs.sparkSession):
+        tests = cut(item_minima(items, words, percent).withColumn("n", F.monotonically_increasing_id()), "items")
+        widths = sorted(r[0] for r in tests.select("width").distinct().collect())  # at most `words` of them
+        if not widths:
+            return rows.select(F.col("doc").alias("doc_id"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("n_shared"), F.lit(0).alias("n_item")).limit(0)
+        minima = tests.select(F.explode("minima").alias("g"), "width").distinct()
+        whole = tests.select("n", "item", "width", F.size("shingles").alias("n_item"), F.explode("shingles").alias("g"))
+        # A document with any of the minima is a candidate; its text's whole shingle set then meets the items.
+        candidates = cut(_exploded(rows, widths, "doc").join(hinted(minima, broadcast_rows), ["width", "g"]).select("doc").distinct(), "candidates")
+        chosen = rows.join(hinted(candidates.withColumnRenamed("doc", "found"), broadcast_rows), F.col("doc").eqNullSafe(F.col("found")), "left_semi")
+        chosen = cut(chosen, "chosen").withColumn("r", F.monotonically_increasing_id())  # of a written table: a task that runs again numbers its rows alike
+        met = _exploded(chosen, widths, "doc", "r").join(hinted(whole, broadcast_rows), ["width", "g"])
+        shared = met.groupBy("doc", "r", "n", "item", "n_item").agg(F.count("*").alias("n_shared")).where(F.col("n_shared") * 100 >= F.col("n_item") * percent)
+        return cut(shared.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("n_shared").cast("int"), "n_item"), "found", keep=True)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
