@@ -20,16 +20,24 @@ FROM s LEFT JOIN c ON list_sort(s.sh) = c.sh LEFT JOIN comp ON comp.rep = c.rep
 """
 
 _OP9 = r"""
-WITH t AS (
+WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+own AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER (PARTITION BY conv_id) ELSE 0 END AS alone FROM rows),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS k, lag(role) OVER w AS before FROM own
+  WINDOW w AS (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text)),
+t AS (
+  SELECT *, CASE role WHEN 'system' THEN k = 0 WHEN 'user' THEN k = 0 OR before IN ('system', 'assistant', 'tool') WHEN 'assistant' THEN coalesce(before IN ('user', 'tool'), false)
+    WHEN 'tool' THEN coalesce(before = 'assistant', false) ELSE false END AS allowed FROM placed)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(24 + length(replace(replace(replace(role, chr(92), '..'), '<', '..'), chr(10), '..'))
-    + length(replace(replace(text, chr(92), '..'), '<', '..'))) AS BIGINT) AS formatted_chars
-FROM t GROUP BY conv_id
+    + length(replace(replace(text, chr(92), '..'), '<', '..'))) AS BIGINT) AS formatted_chars,
+  min(k) FILTER (NOT allowed) AS bad_turn
+FROM t GROUP BY conv_id, alone
 """
 
 _OP10 = """

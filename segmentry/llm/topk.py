@@ -64,15 +64,19 @@ def integers(column: Column) -> Column:
     return F.transform(column, lambda x: F.floor(x.cast("double") * 256).cast("long"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score of the k best candidates of each query; is_query is a condition on `id`."""
+def top_k(
+    vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = CANDIDATES, query_block: int = QUERIES
+) -> DataFrame:
+    """query_id, rank, vec_id, score of the k best candidates of each query; is_query is a condition on `id`. block, query_block: rows of a block."""
     value = vectors[vector_col].cast("array<double>")
     usable = value.isNotNull() & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & vectors[id_col].isNotNull()
     rows = vectors.where(usable).select(vectors[id_col].cast("long").alias("id"), integers(value).alias("v"))
     asked = rows.where(is_query).groupBy("id").agg(F.max("v").alias("v"))
+    # Of rows that are equal in id and vector no more than k can be among the best, so that no block is larger than the others for their sake.
+    rows = rows.groupBy("id", "v").count().select("id", "v", F.explode(F.sequence(F.lit(1), F.least("count", F.lit(k)))).alias("copy"))
     n, m = rows.count(), asked.count()
-    c_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
-    dealt = F.pmod(F.xxhash64("id", "v"), F.lit(c_blocks))
+    c_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-m // query_block))
+    dealt = F.pmod(F.xxhash64("id", "v", "copy"), F.lit(c_blocks))
     left = rows.select("id", "v", dealt.cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"))
     right = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("c"))
 
