@@ -9,16 +9,15 @@ A file holds documents in ascending id order:
                         the flag byte 0x80 and the magic number 0x8F92EAB1
 
 Any zstandard tool decompresses the whole file; `TokenFile` fetches the seek table and the index from the
-end and then only the frames that hold the documents asked for. Writers are Spark tasks, one file each, written under
-the name of the attempt and then renamed, so that a lost executor leaves no half file under a final name.
+end and then only the frames that hold the documents asked for. Writers are Spark tasks, one file each, under a name of the attempt's own that the
+result lists: an attempt that fails, or loses to another, touches no file but its own, and what it leaves is removed when the job has ended.
 
 Null and empty texts give the end id alone. Documents without an id come first and keep a null id. Rows that
-repeat an id stay apart, ordered by their text. Columns besides id and text are ignored.
+repeat an id stay apart, in the order of a hash of their texts, and may be spread over files. Columns besides id and text are ignored.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -136,9 +135,14 @@ class TokenFile:
 
 
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
-    """Write docs in ascending id order to one file a task in folder (a URI); (file, first, documents, tokens) of each file, file names in order."""
+    """Write docs in ascending id order to one file a task in folder (a URI); (part, file, documents, tokens) of each file, parts in order.
+
+    Rows are ranged by id, a hash of the text and the part of the input they come from, so that no id, and no row that is repeated very often, has to fit one task.
+    """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    keys = ["id", "hash", "source"]
+    ordered = rows.withColumn("hash", F.xxhash64("text")).withColumn("source", F.spark_partition_id()).repartitionByRange(*keys).sortWithinPartitions(*keys, "text").select("id", "text")
+    kinds = pa.schema([("part", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -148,30 +152,39 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             if out is None:
                 context, (system, at) = TaskContext.get(), opened(folder)
                 system.create_dir(at, recursive=True)
-                name = f"{at}/tokens-{context.partitionId():06d}.zst"
-                attempt = f"{at}/_{uuid.uuid4().hex}"
+                name = f"tokens-{context.partitionId():06d}-{uuid.uuid4().hex}.zst"
                 enc = encoder(tokenizer)
-                out = system.open_output_stream(attempt)
+                out = system.open_output_stream(f"{at}/{name}", compression=None)  # else the name would have it compress once more
                 writer = TokenFileWriter(out, 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4)
             for doc_id, text in zip(part.column(0).to_pylist(), texts):
                 writer.add(doc_id, np.append(enc.encode(text), np.uint32(end_id)))
         if out is not None:
             writer.close()
             out.close()
-            if system.get_file_info(name).is_file:  # of a task that runs again
-                system.delete_file(name)
-            system.move(attempt, name)
             tokens = sum(k for _, k, _ in writer.index)
-            yield pa.RecordBatch.from_pylist([{"file": os.path.basename(name), "documents": len(writer.index), "tokens": tokens}], pa.schema([("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"part": context.partitionId(), "file": name, "documents": len(writer.index), "tokens": tokens}], kinds)
+
+    files = cut(ordered.mapInArrow(work, "part int, file string, documents long, tokens long"), "token-files")
+    _remove_others(folder, {r["file"] for r in files.select("file").collect()})  # a row for each file
+    return files
+
+
+def _remove_others(folder: str, listed: set[str]) -> None:
+    """Delete the files of attempts that the job didn't take."""
+    from pyarrow import fs
 
-    return cut(ordered.mapInArrow(work, "file string, documents long, tokens long"), "token-files")
+    system, at = opened(folder)
+    if system.get_file_info(at).type == fs.FileType.Directory:
+        for found in system.get_file_info(fs.FileSelector(at)):
+            if found.is_file and found.base_name not in listed:
+                system.delete_file(found.path)
 
 
 def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of all documents, read from the files by their seek tables; ids are little-endian unsigned 32-bit integers."""
-    listed = sorted(tuple(r) for r in files.select("file", "tokens").collect())  # a row for each file, not for each document
-    totals = np.concatenate(([0], np.cumsum([n for _, n in listed], dtype=np.int64))).tolist()
-    plan = spark.createDataFrame([(name, start) for (name, _), start in zip(listed, totals)], "file string, start long")
+    listed = sorted(tuple(r) for r in files.select("part", "file", "tokens").collect())  # a row for each file, not for each document
+    totals = np.concatenate(([0], np.cumsum([n for _, _, n in listed], dtype=np.int64))).tolist()
+    plan = spark.createDataFrame([(name, start) for (_, name, _), start in zip(listed, totals)], "file string, start long")
     kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,21 +1,23 @@
-"""Token ids of whole texts from a word-level BPE file of the tokenizers library, each distinct word encoded once per worker.
+"""Token ids of whole texts from a BPE file of the tokenizers library, each distinct word encoded once per worker.
 
-The tokenizer splits at white space before anything else can join two words, so a text's ids are
+Where a file's tokenizer splits at white space before anything else can join two words, a text's ids are
 those of its pieces between ASCII white space, one after the other. Pieces met before come from a
-bounded cache. A new piece of printable characters below U+0300 is split by the file's own pattern into
-words for the library's BPE model; any other goes through the library's whole encoder.
+cache of bounded size. A new piece of printable characters below U+0300 is split by the file's own pattern into
+words for the library's BPE model; any other goes through the library's whole encoder. A file whose normaliser, splitter
+or model is another is used as it is, on whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 
 import numpy as np
 
 #: The tokenizer file's pre-tokenizer pattern (a fixed value of its format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Entries of a generation of either cache. When the young one is full it becomes the old one, and what is met again moves back.
-CACHE = 250_000
+#: Entries of a generation of either cache, and the bytes of the longest piece that is kept. When the young one is full it becomes the old one, and what is met again moves back.
+CACHE, LONGEST = 250_000, 40
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +34,8 @@ class WordEncoder:
 
         path = vocabulary(file)
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as spec:
+            self.by_words = splits_at_blanks(json.load(spec))
         self.split = regex.compile(PATTERN).findall
         self.plain = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-˿]+").fullmatch
         self.model = self.tokenizer.model
@@ -51,7 +55,8 @@ class WordEncoder:
             if ids is None:
                 spelled = word.decode() if word.isascii() else word.decode("latin-1").translate(self.alphabet)
                 ids = packed([t.id for t in self.model.tokenize(spelled)])
-            self.words[word] = ids
+            if len(word) <= LONGEST:
+                self.words[word] = ids
         return ids
 
     def _piece(self, piece: bytes) -> bytes:
@@ -71,14 +76,34 @@ class WordEncoder:
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a UTF-8 text as unsigned 32-bit integers."""
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
         if len(self.pieces) >= CACHE:
             self.old_pieces, self.pieces = self.pieces, {}
         if len(self.words) >= CACHE:
             self.old_words, self.words = self.words, {}
         pieces, known, old = text.split(), self.pieces, self.old_pieces
+        long: dict[bytes, bytes] = {}
         for piece in set(pieces).difference(known):
-            known[piece] = old.get(piece) or self._piece(piece)
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+            if len(piece) <= LONGEST:
+                known[piece] = old.get(piece) or self._piece(piece)
+            else:
+                long[piece] = self._piece(piece)
+        found = map(known.__getitem__, pieces) if not long else (long[p] if p in long else known[p] for p in pieces)
+        return np.frombuffer(b"".join(found), "<u4")
+
+
+def splits_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer file is of the kind that the word encoder reads: lower case, white space split off and dropped, words with an end mark."""
+    normal, before, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    steps = [x["type"] for x in normal.get("normalizers", [])], [x["type"] for x in before.get("pretokenizers", [])]
+    if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or spec.get("added_tokens") is None:
+        return False
+    blanks, (split, _) = normal["normalizers"][1], before["pretokenizers"]
+    return (
+        blanks.get("pattern") == {"Regex": "\\s+"} and blanks.get("content") == " " and split.get("pattern") == {"Regex": PATTERN} and split.get("behavior") == "Removed" and split.get("invert") is True
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+    )
 
 
 def packed(ids: list[int]) -> bytes:
