@@ -6,8 +6,9 @@ Spark counts the lengths, ranks the pieces of each length, and looks up each ran
 
 Reduction (Martello and Toth, 1990): a set of pieces that holds the largest piece and dominates every other set that could
 share a sequence with it is fixed for good. Fixed here: the piece alone if nothing fits beside it; the piece with the
-largest piece k that fits if together they fill the sequence, if no two pieces fit beside it, or if no three do and no two
-that do hold more than k. What is left is packed by best fit, longest pieces first.
+largest piece a that fits if together they fill the sequence, if no two pieces fit beside it, or if no three do and no two
+that do hold more than a; and, where no three fit beside it, the piece with a and b, the two that fill the most, if no two pieces
+larger than b fit beside it but with a. What is left is packed by best fit, longest pieces first.
 
 Null and empty texts have the end id alone. Rows that repeat a document are packed each. An empty table gives no rows.
 """
@@ -34,33 +35,44 @@ def reduce_instance(counts: np.ndarray, capacity: int) -> Plan:
         while counts[length]:
             left = counts.copy()
             left[length] -= 1
-            room = capacity - length
-            fits = np.flatnonzero(left[: room + 1])
-            if not len(fits):
-                fixed, times = (length,), int(counts[length])
-            else:
-                k = int(fits[-1])
-                if k < room and not _pair_dominates(left, fits, k, room):
-                    break
-                times = int(counts[length]) // 2 if k == length else int(min(counts[length], counts[k]))
-                fixed = (length, k)
+            fixed = dominating(left, length, capacity)
+            if not fixed:
+                break
+            # The set dominates as long as all its pieces are there: what goes only takes other sets away.
+            times = min(int(counts[x]) // fixed.count(x) for x in fixed)
             for x in fixed:
                 counts[x] -= times
             plan.append((fixed, times))
     return plan
 
 
-def _pair_dominates(left: np.ndarray, fits: np.ndarray, k: int, room: int) -> bool:
+def dominating(left: np.ndarray, length: int, capacity: int) -> tuple[int, ...] | None:
+    """The set of up to three lengths that dominates all others with a piece of this length, the largest; left: the other pieces."""
+    room = capacity - length
+    fits = np.flatnonzero(left[: room + 1])
+    if not len(fits):
+        return (length,)
+    a = int(fits[-1])
     smallest = np.repeat(fits[:3], np.minimum(left[fits[:3]], 3))[:3]
-    if len(smallest) < 2 or smallest[0] + smallest[1] > room:
-        return True
+    if a == room or len(smallest) < 2 or smallest[0] + smallest[1] > room:
+        return (length, a)
     if len(smallest) == 3 and smallest.sum() <= room:
-        return False
+        return None
     partner = np.searchsorted(fits, room - fits, side="right") - 1
     own = (partner >= 0) & (fits[partner] == fits) & (left[fits] < 2)  # a single piece is no pair with itself
     partner = np.where(own, partner - 1, partner)
     sums = np.where(partner >= 0, fits + fits[np.maximum(partner, 0)], 0)
-    return int(sums.max()) <= k
+    most = int(sums.max())
+    if most <= a:
+        return (length, a)
+    b = most - a
+    if b > a or sums[-1] != most:
+        return None  # the fullest pair is without the largest piece that fits
+    between = fits[fits > b]
+    rest = np.minimum(left[between], 2)
+    rest[-1:] -= len(rest) > 0  # a itself
+    two = np.repeat(between, rest)[:2]
+    return (length, a, b) if len(two) < 2 or two.sum() > room else None
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> Plan:
@@ -146,10 +158,12 @@ def assign(pieces: DataFrame, capacity: int) -> DataFrame:
     places = slots(make_plan(histogram, capacity))
     # The pieces of one length may be a third of all: each length is dealt out by a hash of its pieces, and ranks start where the shares before end.
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.withColumn("_share", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shares)))
+    # Ranks go by all that a piece holds, so that a task that runs again ranks alike; pieces that are equal in all may change places.
+    order = ["doc_id", "piece", "start", *(c for c in pieces.columns if c not in ("doc_id", "piece", "start", "length"))]
+    dealt = pieces.withColumn("_share", F.pmod(F.xxhash64(*order), F.lit(shares)))
     before = Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
     firsts = dealt.groupBy("length", "_share").count().withColumn("_first", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    within = Window.partitionBy("length", "_share").orderBy("doc_id", "piece", "start")
+    within = Window.partitionBy("length", "_share").orderBy(*order)
     ranked = dealt.withColumn("_rank", F.row_number().over(within)).join(firsts, ["length", "_share"])
     ranked = ranked.withColumn("_rank", F.col("_rank") - 1 + F.col("_first")).select(*pieces.columns, "_rank")
     place = ranked.schema.fieldNames().index("_rank"), ranked.schema.fieldNames().index("length")
