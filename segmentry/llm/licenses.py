@@ -76,20 +76,22 @@ def best_template(unit: frozenset, templates: list[tuple[str, frozenset]], perce
     return best
 
 
-def hopeful(texts: list[bytes], known: np.ndarray, percent: int, least: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]:
-    """(text, line number in it) of the lines with enough bigrams in common with some template to reach the threshold; and of each known
+def hopeful(texts: list[bytes], known: np.ndarray, percent: int, least: int, largest: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, tuple[np.ndarray, ...]]:
+    """(text, line number in it) of the lines with enough bigrams in common with some template to reach the threshold; the texts that have, as a
+    whole, enough of them and are not too large for any template; and of each known
     bigram its number, text, place in the text's words, and the lines of its two words.
 
-    A line with d distinct bigrams, h of them (repeats counted) known, reaches at most 2h / (d + least), least being the smallest template's size.
+    A unit with d distinct bigrams, h of them (repeats counted) known, reaches at most 2h / (d + least), least being the smallest template's size,
+    and none if d is above largest (200 - percent) / percent.
     """
     none = np.zeros(0, np.int64)
     buffer = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
     if not len(buffer):
-        return (none, none), (none,) * 5
+        return (none, none), none, (none,) * 5
     edge = np.diff(np.concatenate(([0], _KEEP[buffer].view(np.int8), [0])))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(starts) < 2:
-        return (none, none), (none,) * 5
+        return (none, none), none, (none,) * 5
     words = span_hashes(buffer, starts, ends)
     line = np.cumsum(buffer == 10)[starts]
     pair = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
@@ -101,11 +103,18 @@ def hopeful(texts: list[bytes], known: np.ndarray, percent: int, least: int) ->
     one = line[at + 1] < first[text + 1]  # both words are of one text
     at, text = at[one], text[one]
     bits = place[at], text, at - np.searchsorted(line, first[text]), line[at] - first[text], line[at + 1] - first[text]
+    met_in = np.bincount(text, minlength=len(texts))
+    edge = np.searchsorted(line, first)  # the first word of each text
+    whole = []
+    for t in np.flatnonzero(200 * met_in >= percent * (least + 1)).tolist():
+        distinct = len(np.unique(pair[edge[t] : edge[t + 1] - 1]))
+        if 200 * met_in[t] >= percent * (distinct + least) and percent * distinct <= (200 - percent) * largest:
+            whole.append(t)
     inside = line[:-1] == line[1:]
     hits = np.bincount(line[:-1][inside & met], minlength=int(line.max(initial=0)) + 1)
     few = np.flatnonzero(200 * hits >= percent * (least + 1))
     if not len(few):
-        return (none, none), bits
+        return (none, none), np.array(whole, np.int64), bits
     pair, line = pair[inside], line[:-1][inside]
     several = np.isin(line, few)
     line, pair = line[several], pair[several]
@@ -115,7 +124,7 @@ def hopeful(texts: list[bytes], known: np.ndarray, percent: int, least: int) ->
     sizes = np.bincount(line[new], minlength=len(hits))
     few = few[200 * hits[few] >= percent * (sizes[few] + least)]
     text = np.searchsorted(first, few, side="right") - 1
-    return (text, few - first[text]), bits
+    return (text, few - first[text]), np.array(whole, np.int64), bits
 
 
 def hopeful_windows(bits: tuple[np.ndarray, ...], taken: list[tuple[int, int]], owns: np.ndarray, widths: list[int], needs: list[int]) -> list[tuple[int, int, int]]:
@@ -182,10 +191,10 @@ def scan(docs: DataFrame, percent: int = 80, templates: tuple[tuple[str, str], .
         owns = np.array([np.isin(known, mixed[[p in s for p in pairs]]) for _, s in sets])
         widths = [len(WORD.findall(text.lower().encode())) for _, text in templates]
         needs = [max(1, -(-percent * len(s) // (200 - percent))) for _, s in sets]
-        least = min(len(s) for _, s in sets)
+        least, largest = (f(len(s) for _, s in sets) for f in (min, max))
         for part, texts in pieces_of(batches):
             found: list[list[tuple]] = [[] for _ in texts]
-            hopes, bits = hopeful(texts, known, percent, least)
+            hopes, whole, bits = hopeful(texts, known, percent, least, largest)
             for t, line in zip(*(x.tolist() for x in hopes)):
                 unit = bigrams(texts[t].split(b"\n")[line])
                 if hit := best_template(unit, sets, percent):
@@ -194,8 +203,8 @@ def scan(docs: DataFrame, percent: int = 80, templates: tuple[tuple[str, str], .
             taken = [(t, line) for t, h in enumerate(held) for line, dice in h.items() if dice == 1]
             for t, group in groupby(hopeful_windows(bits, taken, owns, widths, needs), lambda x: x[0]):
                 found[t].extend(windows(texts[t], held[t], [x[1:] for x in group], sets, widths, percent))
-            for t, text in enumerate(texts):
-                if b"\n" in text and (hit := best_template(bigrams(text), sets, percent)):
+            for t in whole.tolist():
+                if b"\n" in texts[t] and (hit := best_template(bigrams(texts[t]), sets, percent)):
                     found[t].append((*hit, -1))
             best = [min(f, key=lambda x: (-x[1] / x[2], x[0], x[3])) if f else None for f in found]
             yield pa.RecordBatch.from_arrays(
