@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns of
 documents. `run` writes each stage's result as Parquet in the shared folder and reads it again.
 
-Texts that are null or empty have no language and go in the first stage. Rows that repeat a document are one group of copies: one
-stays. Documents without doc_id are sifted by their texts like any other, but are no part of a group of near duplicates.
+Texts that are null or empty have no language and go in the first stage. Of the rows of a group of near duplicates, repeats of a row included, that of the
+smallest doc_id stays, rows without doc_id last, then the first in the table. Rows without doc_id are sifted like any other.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentry.llm import decontam, langid, minhash, packing, quality
-from segmentry.llm.shared import cut, filtered, hinted
+from segmentry.llm.shared import cut, filtered, fresh, hinted, scratch
 
 #: The main language of a document has at least this share of its words.
 LEAST_SHARE = 1 / 3
@@ -39,18 +39,26 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filtered(docs, lambda texts: model.value.tails(texts)[:, -1] >= LEAST_QUALITY)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, written so that it stays the row's, and the name of the number."""
+    name = fresh(docs, "_row")
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id."""
-    kept = cut(minhash.near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    ones = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return ones.unionByName(docs.where(docs["doc_id"].isNull()))
+    """One document of each group of near duplicates: texts with four fifths of their five-word shingles in common."""
+    rows, row = numbered(docs)
+    with scratch(spark):
+        gone = cut(minhash.superfluous(rows, row, words=5, percent=80), "gone", keep=True)
+    return rows.join(gone.withColumnRenamed("key", row), row, "left_anti").select(docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item. The search depends on the text alone, so that a hash of it stands for its documents."""
-    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    found = cut(decontam.contaminated(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_hash")).distinct(), "leaks")
-    return docs.join(hinted(found, decontam.BROADCAST_ROWS), F.xxhash64(docs["text"]) == F.col("_hash"), "left_anti")
+    """Documents without a benchmark item."""
+    rows, row = numbered(docs)
+    with scratch(spark):
+        found = cut(decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row).select(F.col("doc_id").alias(row)).distinct(), "leaks", keep=True)
+    return rows.join(hinted(found, decontam.BROADCAST_ROWS), row, "left_anti").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +74,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return docs
+    *first, (last, final) = STAGES
+    with scratch(spark):
+        for name, stage in first:
+            with scratch(spark):
+                docs = cut(stage(spark, docs, sf_dir), name, keep=True)
+        return cut(final(spark, docs, sf_dir), last, keep=True)
