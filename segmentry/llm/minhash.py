@@ -37,8 +37,8 @@ LONGS = K * BITS // 64
 MARGIN = 0.2
 #: Classes on a side of a block that is compared inside one task, and the shingles that they hold together at most (8 bytes each), if one class doesn't.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 21
-#: Members of a hub that are confirmed by one task.
-STAR = 4_096
+#: Members of a hub that are confirmed against one copy of its set; a hub of more is dealt over several.
+STAR = 256
 #: Classes whose texts are looked up by a broadcast of their ids.
 BROADCAST_ROWS = 500_000
 _RNG = np.random.default_rng(77)
