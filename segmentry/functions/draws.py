@@ -11,8 +11,8 @@ def digest(seed: int | str, *keys: Column) -> Column:
 
 
 def uniform(seed: int | str, *keys: Column) -> Column:
-    """In [0, 1), from the first 32 bits of an MD5 digest."""
-    return F.conv(F.substring(digest(seed, *keys), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    """In [0, 1), from the first 52 bits of an MD5 digest, all that a double holds below 1."""
+    return F.conv(F.substring(digest(seed, *keys), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def index(seed: int | str, n: Column | int, *keys: Column) -> Column:

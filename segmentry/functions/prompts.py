@@ -16,6 +16,17 @@ GOALS = {
     "softgym_PassWater": "to move the container, which holds water, to be as close to the red circle as possible without causing too many water droplets to spill",
     "softgym_ClothFoldDiagonal": "to fold the cloth diagonally from top left corner to bottom right corner",
 }
+# Statements of a goal that is achieved, for models that compare an image with a text.
+STATEMENTS = {
+    "metaworld_sweep-into-v2": "The green cube is in the hole.",
+    "metaworld_drawer-open-v2": "The drawer is opened.",
+    "metaworld_door-open-v2": "The safe door is opened.",
+    "metaworld_soccer-v2": "The soccer ball is in the goal.",
+    "CartPole-v1": "pole vertically upright on top of the cart.",
+    "softgym_RopeFlattenEasy": "The blue rope is straightened.",
+    "softgym_PassWater": "The container, which holds water, is as close to the red circle as possible without causing too many water droplets to spill.",
+    "softgym_ClothFoldDiagonal": "The cloth is folded diagonally from top left corner to bottom right corner.",
+}
 # Templates in our own words; {goal} is the goal, {reply} the first reply.
 TEMPLATES = {
     "query": "Describe Image 1. Describe Image 2. The goal is {goal}. How do the images differ in achieving it?",
@@ -28,8 +39,9 @@ BREVITY = " Be brief."
 
 
 def prompt_table(spark: SparkSession, goals: dict[str, str] | None = None) -> DataFrame:
-    """prompts(env, kind, template), the goal filled in, the reply slot left."""
+    """prompts(env, kind, template), the goal filled in, the reply slot left; kind statement is the goal as achieved."""
     rows = [(env, kind, t.replace("{goal}", goal)) for env, goal in (goals or GOALS).items() for kind, t in TEMPLATES.items()]
+    rows += [(env, "statement", text) for env, text in STATEMENTS.items()]
     return spark.createDataFrame(rows, "env string, kind string, template string")
 
 
