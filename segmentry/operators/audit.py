@@ -16,13 +16,15 @@ def label_accuracy(pairs: DataFrame) -> DataFrame:
 def assign_bins(log: DataFrame, bins: int, s1: str = "score_1", s2: str = "score_2") -> DataFrame:
     """log with `bin`: the difference of the scores among `bins` equal bins up to the largest difference; the last is closed.
 
-    The largest difference (1 if all are 0) is one row, broadcast. Differences that are no finite number are dropped.
+    A difference belongs to the last edge at or below it, edges being whole multiples of one rounded step. The largest difference (1 if all are 0)
+    is one row, broadcast. Differences that are no finite number are dropped.
     """
     diff = F.abs(F.col(s1) - F.col(s2))
     rows = log.withColumn("_diff", diff).where(~F.isnan("_diff") & (F.col("_diff") < float("inf")))
     top = rows.agg(F.when(F.max("_diff") > 0, F.max("_diff")).otherwise(1.0).alias("_top"))
-    place = F.least(F.floor(F.col("_diff") * bins / F.col("_top")).cast("int"), F.lit(bins - 1))
-    return rows.join(F.broadcast(top)).withColumn("bin", place).withColumn("centre", (F.col("bin") + 0.5) * F.col("_top") / bins).drop("_diff", "_top")
+    edges = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.when(i == bins, F.col("_top")).otherwise(i * (F.col("_top") / bins)))
+    placed = rows.join(F.broadcast(top.select("_top", edges.alias("_edges")))).withColumn("bin", F.least(F.size(F.filter("_edges", lambda e: e <= F.col("_diff"))), F.lit(bins)) - 1)
+    return placed.withColumn("centre", (F.get("_edges", F.col("bin")) + F.get("_edges", F.col("bin") + 1)) / 2).drop("_diff", "_top", "_edges")
 
 
 def category(label: Column, s1: Column, s2: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from segmentry.functions.prompts import render
 from segmentry.functions.replies import parse_preference
+from segmentry.sources.shared import sized
 
 
 class Client(Protocol):
@@ -19,9 +20,9 @@ class Client(Protocol):
 
 
 def with_prompts(pairs: DataFrame, prompts: DataFrame, kind: str, name: str = "prompt") -> DataFrame:
-    """pairs with the template of their environment; the table of prompts is a row for each environment and kind, and broadcast."""
+    """pairs with the template of their environment; the table of prompts is a row for each environment and kind, and broadcast if it is small."""
     own = prompts.where(F.col("kind") == kind).select("env", F.col("template").alias(name))
-    return pairs.join(F.broadcast(own), "env")
+    return pairs.join(sized(own), "env")
 
 
 def label_pairs(pairs: DataFrame, client: Callable[[], Client], concurrency: int, two_step: bool = True, tries: int = 5, pause: float = 3.0) -> DataFrame:

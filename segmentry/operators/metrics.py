@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segmentry.sources.shared import sized
+
 
 def episode_summary(steps: DataFrame, run: str = "run") -> DataFrame:
     """(run, episode): sums of learned and true reward, whether it ever succeeded, length."""
@@ -84,8 +86,8 @@ def distinct_goals(tasks: DataFrame) -> DataFrame:
 
 
 def split_by_task(rows: DataFrame, test: DataFrame, env: str = "env") -> tuple[DataFrame, DataFrame]:
-    """Rows of the tasks that are not for testing, and of those that are; the table of tasks is small and broadcast."""
-    names = F.broadcast(test.select(env).distinct())
+    """Rows of the tasks that are not for testing, and of those that are; the table of tasks is broadcast if it is small."""
+    names = sized(test.select(env).distinct())
     return rows.join(names, env, "left_anti"), rows.join(names, env, "left_semi")
 
 

@@ -14,18 +14,19 @@ def trajectory_index(steps: DataFrame, run: str = "run") -> DataFrame:
     return dense_index(steps.groupBy(run, "episode").agg(F.count("*").alias("length")), [run, "episode"], "traj")
 
 
-def sample_pairs(trajectories: DataFrame, n: int, seg_len: int, seed: int, run: str = "run", one_step: bool = False) -> DataFrame:
+def sample_pairs(trajectories: DataFrame, n: int, seg_len: int, seed: int, run: str = "run", from_start: bool = False) -> DataFrame:
     """(pair_id, run_1, episode_1, start_1, ..._2): two draws with replacement of a trajectory, and of a start before length - seg_len.
 
-    With one_step a trajectory is one step and starts are 0. Draws meet trajectories by equi-joins on their numbers.
+    Draws are among the trajectories that are longer than seg_len, numbered in order of traj, so that n pairs come back if there is one. With from_start
+    segments begin with their trajectory, and those of seg_len steps or more are drawn from. Draws meet trajectories by equi-joins on their numbers.
     """
     spark: SparkSession = trajectories.sparkSession
-    usable = trajectories if one_step else trajectories.where(F.col("length") > seg_len)
-    total = trajectories.count()
-    out = spark.range(n).select(F.col("id").alias("pair_id"))
+    usable = dense_index(trajectories.where(F.col("length") >= seg_len + (not from_start)), ["traj"], "_traj")
+    total = usable.count()
+    out = spark.range(n if total else 0).select(F.col("id").alias("pair_id"))
     for side in ("1", "2"):
-        chosen = usable.select(F.col("traj").alias("_traj"), *(F.col(c).alias(f"{c}_{side}") for c in (run, "episode", "length")))
-        start = F.lit(0).cast("long") if one_step else draws.index(f"{seed}|start{side}", F.col(f"length_{side}") - seg_len, F.col("pair_id"))
+        chosen = usable.select("_traj", *(F.col(c).alias(f"{c}_{side}") for c in (run, "episode", "length")))
+        start = F.lit(0).cast("long") if from_start else draws.index(f"{seed}|start{side}", F.col(f"length_{side}") - seg_len, F.col("pair_id"))
         out = out.withColumn("_traj", draws.index(f"{seed}|traj{side}", total, F.col("pair_id"))).join(chosen, "_traj").withColumn(f"start_{side}", start).drop("_traj", f"length_{side}")
     return out
 
@@ -108,12 +109,13 @@ def member_batches(rows: DataFrame, members: int, size: int, seed: int, key: str
 
 
 def scheduled_size(base: int, step: Column, total: int, schedule: str = "constant") -> Column:
-    """Queries of a round: constant, falling linearly to 1 over `total` steps, or falling as the inverse of the step."""
-    if schedule == "linear":
-        return F.greatest(F.floor(base * (1 - step / total)).cast("long"), F.lit(1))
-    if schedule == "inverse":
-        return F.greatest(F.floor(F.lit(float(base * total)) / (total + step * 10)).cast("long"), F.lit(1))
-    return F.lit(base).cast("long")
+    """Queries of a round that begins at `step` of `total`: the base, or whole parts of it times a share.
+
+    linear: the share of the steps that are left, 0.01 where that is 0; growing: all steps over those left and one.
+    """
+    left = F.lit(float(total)) - step
+    shares = {"constant": F.lit(1.0), "linear": F.when(left == 0, 0.01).otherwise(left / total), "growing": F.try_divide(F.lit(float(total)), left + 1)}
+    return (base * shares[schedule]).cast("long")
 
 
 def apply_budget(rounds: DataFrame, most: int, order: str = "round", requested: str = "requested", chunk: int = 10_000) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from segmentry.sources.shared import sized
+
 STEP = ["run", "episode", "t"]
 
 
@@ -13,8 +15,8 @@ def _apart(ax: str, ay: str, az: str, bx: str, by: str, bz: str):
 
 
 def goal_distance(particles: DataFrame, goal: DataFrame) -> DataFrame:
-    """(step, mean_distance, reward): mean distance to each particle's goal; the reward is -10 times it. The goal has a row a particle id and is broadcast."""
-    met = particles.join(F.broadcast(goal), "particle_id")
+    """(step, mean_distance, reward): mean distance to each particle's goal; the reward is -10 times it. The goal has a row a particle id and is broadcast if those are few enough."""
+    met = particles.join(sized(goal), "particle_id")
     mean = met.groupBy(*STEP).agg(F.avg(_apart("x", "y", "z", "gx", "gy", "gz")).alias("mean_distance"))
     return mean.withColumn("reward", F.col("mean_distance") * -10)
 
@@ -39,7 +41,7 @@ def fill_share(particles: DataFrame, target: tuple[float, ...], excluded: tuple[
 def fold_distance(particles: DataFrame, mapping: DataFrame) -> DataFrame:
     """(step, fold, moved, reward): mean distance of mirrored points a and b, mean way of the points b from the first step; reward is -(fold + 1.2 moved)."""
     pos = particles.select(*STEP, "particle_id", "x", "y", "z")
-    a = pos.join(F.broadcast(mapping), F.col("particle_id") == F.col("a")).drop("particle_id", "a")
+    a = pos.join(sized(mapping), F.col("particle_id") == F.col("a")).drop("particle_id", "a")
     b = pos.withColumnsRenamed({"particle_id": "b", "x": "bx", "y": "by", "z": "bz"})
     first = pos.where("t = 0").select("run", "episode", F.col("particle_id").alias("b"), F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("z").alias("fz"))
     met = a.join(b, [*STEP, "b"]).join(first, ["run", "episode", "b"])
@@ -57,7 +59,14 @@ def covered_area(particles: DataFrame, radius: float, cells: int = 100) -> DataF
     low = lambda c, o, d: F.greatest(F.bround((F.col(c) - F.col(o) - radius) / F.col(d)), F.lit(0.0)).cast("int")
     high = lambda c, o, d: F.least(F.bround((F.col(c) - F.col(o) + radius) / F.col(d)), F.lit(float(cells))).cast("int")
     spans = met.select(*STEP, "dx", "dz", low("x", "x0", "dx").alias("xl"), high("x", "x0", "dx").alias("xh"), low("z", "z0", "dz").alias("zl"), high("z", "z0", "dz").alias("zh")).distinct()
-    marked = spans.withColumn("i", F.explode(F.sequence("xl", "xh"))).withColumn("j", F.explode(F.sequence("zl", "zh")))
-    cell = F.least(F.col("i") * cells + F.col("j"), F.lit(cells * cells - 1))
-    counted = marked.select(*STEP, "dx", "dz", cell.alias("cell")).distinct().groupBy(*STEP, "dx", "dz").agg(F.count("*").alias("n_cells"))
+    # A particle is a run of cells in each row i; runs are merged, not their cells. A cell past a row's end is the first of the next row, past the last row the grid's last.
+    rows = spans.withColumn("i", F.explode(F.sequence("xl", "xh")))
+    run = lambda i, a, b: F.struct(i.cast("int").alias("i"), a.cast("int").alias("a"), b.cast("int").alias("b"))
+    i, end, corner = F.col("i"), F.lit(cells - 1), run(F.lit(cells - 1), F.lit(cells - 1), F.lit(cells - 1))
+    own = F.when(i == cells, corner).otherwise(run(i, F.col("zl"), F.least("zh", end)))
+    past = F.when((i < cells) & (F.col("zh") == cells), F.when(i == end, corner).otherwise(run(i + 1, F.lit(0), F.lit(0))))
+    runs = rows.select(*STEP, "dx", "dz", F.explode(F.array_compact(F.array(own, past))).alias("r")).select(*STEP, "dx", "dz", "r.i", "r.a", "r.b").where("a <= b").distinct()
+    reached = F.max("b").over(Window.partitionBy(*STEP, "i").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), F.col("b") - F.greatest(F.col("a") - 1, F.coalesce(reached, F.lit(-1))))
+    counted = runs.withColumn("fresh", fresh).groupBy(*STEP, "dx", "dz").agg(F.sum("fresh").alias("n_cells"))
     return counted.select(*STEP, "n_cells", (F.col("n_cells") * F.col("dx") * F.col("dz")).alias("area"))

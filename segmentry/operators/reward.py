@@ -89,7 +89,7 @@ def fit_score(rows: DataFrame, features: str = "features", score: str = "score",
 
 
 def fit_network(pairs: DataFrame, network: Network, steps: int = 50, rate: float = 1e-2, seg_1: str = "seg_1", seg_2: str = "seg_2") -> tuple[Network, list[float]]:
-    """A network on preferences by full-batch Adam: tasks sum gradients over their pairs, the driver adds a row a task and steps.
+    """A network on preferences by full-batch Adam: tasks sum gradients over their pairs, their sums are added by a shuffle, and the driver steps.
 
     seg_1 and seg_2 are arrays of feature arrays, label is 0 or 1. Returns the network and the mean loss before each step.
     """
@@ -118,12 +118,13 @@ def fit_network(pairs: DataFrame, network: Network, steps: int = 50, rate: float
                 part = net.backward(kept, slope, np.repeat(np.concatenate((-out, out)), sizes))
                 grads = part if grads is None else [g + p for g, p in zip(grads, part)]
             if n:
-                yield pd.DataFrame({"n": [n], "loss": [loss], "grad": [np.concatenate([g.ravel() for g in grads])]})
+                values = np.concatenate([[n, loss], *(g.ravel() for g in grads)])
+                yield pd.DataFrame({"place": np.arange(len(values)), "value": values})
 
-        sums = data.mapInPandas(work, "n long, loss double, grad array<double>").collect()  # a row a task
-        total = sum(r["n"] for r in sums)
-        losses.append(sum(r["loss"] for r in sums) / total)
-        whole = sum(np.asarray(r["grad"]) for r in sums) / total
+        # Tasks' sums are added by place on the executors; the driver gets a row a parameter.
+        sums = data.mapInPandas(work, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")["value"].to_numpy()
+        losses.append(float(sums[1] / sums[0]))
+        whole = sums[2:] / sums[0]
         at, values = 0, []
         for i, p in enumerate(network.flat()):
             g, at = whole[at : at + p.size].reshape(p.shape), at + p.size

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from segmentry.functions.preference import bt_entropy, bt_probability
 from segmentry.operators.kernels import block_distances, smallest
+from segmentry.operators.trajectory import dense_index
 from segmentry.sources.shared import written
 
 #: Vectors of a block of the sample. A block is what each task holds; the blocks are rows dealt to the tasks of the other side.
@@ -25,20 +26,20 @@ def _blocks(vectors: DataFrame, size: int, name: str, id_col: str, vec_col: str)
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(name)), n
 
 
-def _paired(sample: DataFrame, full: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
+def _paired(sample: DataFrame, full: DataFrame, id_col: str, vec_col: str, sizes: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Both sides with block numbers (s, f), each repeated for every block of the other: groups of bounded size."""
-    left, n_left = _blocks(sample, SAMPLE_BLOCK, "s", id_col, vec_col)
-    right, n_right = _blocks(full, FULL_BLOCK, "f", id_col, vec_col)
+    left, n_left = _blocks(sample, sizes[0], "s", id_col, vec_col)
+    right, n_right = _blocks(full, sizes[1], "f", id_col, vec_col)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     return left.withColumn("f", every(n_right)), right.withColumn("s", every(n_left))
 
 
-def knn_distance(sample: DataFrame, full: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+def knn_distance(sample: DataFrame, full: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] = (SAMPLE_BLOCK, FULL_BLOCK)) -> DataFrame:
     """(id, distance): from each sample vector to the (k+1)-th nearest of all, itself being one of them.
 
     Each pair of blocks gives k + 1 distances a sample vector; they are merged by vector.
     """
-    left, right = _paired(sample, full, id_col, vec_col)
+    left, right = _paired(sample, full, id_col, vec_col, blocks)
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -50,9 +51,9 @@ def knn_distance(sample: DataFrame, full: DataFrame, k: int, id_col: str = "id",
     return near.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near")).select("id", F.get("near", F.lit(k)).alias("distance"))
 
 
-def nearest_neighbour(points: DataFrame, targets: DataFrame, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+def nearest_neighbour(points: DataFrame, targets: DataFrame, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] = (SAMPLE_BLOCK, FULL_BLOCK)) -> DataFrame:
     """(id, neighbour, distance): the nearest target of each point, ties to the smaller id."""
-    left, right = _paired(points, targets, id_col, vec_col)
+    left, right = _paired(points, targets, id_col, vec_col, blocks)
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -77,16 +78,25 @@ def ensemble_stats(preds: DataFrame, value: str, key: str = "pair_id") -> DataFr
     return preds.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
 
-def disagreement_topk(preds: DataFrame, n: int, key: str = "pair_id") -> DataFrame:
-    """The n pairs on whose preferred segment the members' probabilities differ most; ties to the smaller key."""
+def disagreement(preds: DataFrame, key: str = "pair_id") -> DataFrame:
+    """(key, std): how far the members' probabilities of the preferred segment are apart."""
     stats = ensemble_stats(preds.withColumn("_p", F.round(bt_probability(F.col("r1"), F.col("r2")), 9)), "_p", key)
-    return stats.select(key, F.round("std", 6).alias("std")).orderBy(F.desc("std"), key).limit(n)
+    return stats.select(key, F.round("std", 6).alias("std"))
+
+
+def mean_entropy(preds: DataFrame, key: str = "pair_id") -> DataFrame:
+    """(key, entropy): the mean of the members' entropies."""
+    return preds.groupBy(key).agg(F.round(F.avg(F.round(bt_entropy(F.col("r1"), F.col("r2")), 9)), 6).alias("entropy"))
+
+
+def disagreement_topk(preds: DataFrame, n: int, key: str = "pair_id") -> DataFrame:
+    """The n pairs on whose preferred segment the members' probabilities differ most; ties to the smaller key. For n that one task holds."""
+    return disagreement(preds, key).orderBy(F.desc("std"), key).limit(n)
 
 
 def entropy_topk(preds: DataFrame, n: int, key: str = "pair_id") -> DataFrame:
-    """The n pairs of the largest mean entropy; ties to the smaller key."""
-    stats = preds.groupBy(key).agg(F.round(F.avg(F.round(bt_entropy(F.col("r1"), F.col("r2")), 9)), 6).alias("entropy"))
-    return stats.orderBy(F.desc("entropy"), key).limit(n)
+    """The n pairs of the largest mean entropy; ties to the smaller key. For n that one task holds."""
+    return mean_entropy(preds, key).orderBy(F.desc("entropy"), key).limit(n)
 
 
 def k_center(candidates: DataFrame, labelled: DataFrame, n: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -137,8 +147,12 @@ def core_set(candidates: DataFrame, labelled: DataFrame, n: int, parts: int, id_
 
 
 def two_stage_select(preds: DataFrame, candidates: DataFrame, labelled: DataFrame, n: int, score: str = "disagreement", pool: int | None = None, key: str = "pair_id", vec_col: str = "vec") -> DataFrame:
-    """The pool (half of the candidates unless given) by disagreement or entropy, then n of it by k-center. Predictions of others than candidates don't count."""
+    """The pool (half of the candidates unless given) by disagreement or entropy, then n of it by k-center. Predictions of others than candidates don't count.
+
+    The pool grows with the candidates, so it is taken by a dense index over range partitions, not by one task.
+    """
     pool = candidates.count() // 2 if pool is None else pool
     own = preds.join(candidates.select(key), key, "left_semi")
-    top = {"disagreement": disagreement_topk, "entropy": entropy_topk}[score](own, pool, key)
+    by, value = {"disagreement": (disagreement, "std"), "entropy": (mean_entropy, "entropy")}[score]
+    top = dense_index(by(own, key), [F.desc(value), F.col(key)], "_idx").where(F.col("_idx") < pool)
     return k_center(candidates.join(top.select(key), key, "left_semi"), labelled, n, key, vec_col)

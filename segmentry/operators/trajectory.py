@@ -8,21 +8,37 @@ from pyspark.sql import functions as F
 from segmentry.sources.shared import written
 
 
+def numbered(rows: DataFrame, key: str, order: str, name: str = "t", chunk: int = 100_000) -> DataFrame:
+    """rows with `name`: the place (from 0) of each among those of its key, in a unique order.
+
+    Places are taken inside chunks of `chunk` values of the order column, and chunks start from the sizes of those before, so that a key of any
+    number of rows is many tasks.
+    """
+    rows = rows.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(key, "_chunk").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    ranked = rows.withColumn(name, F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(order)) - 1).join(sizes, [key, "_chunk"])
+    return ranked.withColumn(name, F.col(name) + F.col("_before")).drop("_chunk", "_before")
+
 
 def assemble_episodes(steps: DataFrame, run: str = "run", order: str = "step", done: str = "done", chunk: int = 100_000) -> DataFrame:
     """steps with `episode` (from 0 in each run) and `t` (from 0 in each episode); a step with `done` closes its episode.
 
-    The running count of closed episodes is taken inside chunks of `chunk` values of the order column, and chunks start from the
-    totals of those before, so that a run of any length is many tasks.
+    Closed episodes and places are counted inside chunks of `chunk` values of the order column, and chunks go on from the
+    totals of those before, so that a run of any length, with or without a closed episode, is many tasks.
     """
-    rows = steps.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    closed = F.col(done).cast("long")
-    inside = Window.partitionBy(run, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(run, "_chunk").orderBy(order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, -1)
+    closed = F.coalesce(F.col(done), F.lit(False))
+    rows = steps.withColumn("_chunk", F.floor(F.col(order) / chunk)).withColumn("_place", F.row_number().over(inside) - 1)
+    ends = rows.groupBy(run, "_chunk").agg(F.count("*").alias("_n"), F.sum(closed.cast("long")).alias("_closed"), F.max(F.when(closed, F.col("_place") + 1)).alias("_end"))
     before = Window.partitionBy(run).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(run, "_chunk").agg(F.sum(closed).alias("_closed")).withColumn("_before", F.coalesce(F.sum("_closed").over(before), F.lit(0))).drop("_closed")
-    placed = rows.withColumn("_inside", F.coalesce(F.sum(closed).over(inside), F.lit(0))).join(totals, [run, "_chunk"])
-    numbered = placed.withColumn("episode", F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_chunk")
-    return numbered.withColumn("t", F.row_number().over(Window.partitionBy(run, "episode").orderBy(order)) - 1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    ends = ends.withColumn("_rows", total("_n")).withColumn("_episodes", total("_closed")).withColumn("_begin", F.coalesce(F.max(F.col("_rows") + F.col("_end")).over(before), F.lit(0)))
+    counted = rows.withColumn("_inside", F.coalesce(F.sum(closed.cast("long")).over(so_far), F.lit(0))).withColumn("_start", F.max(F.when(closed, F.col("_place") + 1)).over(so_far))
+    placed = counted.join(ends.select(run, "_chunk", "_rows", "_episodes", "_begin"), [run, "_chunk"])
+    t = F.col("_place") - F.coalesce("_start", F.col("_begin") - F.col("_rows"))
+    return placed.withColumn("episode", F.col("_inside") + F.col("_episodes")).withColumn("t", t.cast("int")).drop("_chunk", "_place", "_inside", "_start", "_rows", "_episodes", "_begin")
 
 
 def last_episodes(steps: DataFrame, n: int, run: str = "run") -> DataFrame:
@@ -32,11 +48,20 @@ def last_episodes(steps: DataFrame, n: int, run: str = "run") -> DataFrame:
 
 
 def last_rows(rows: DataFrame, n: int, order: str, dense: bool = False) -> DataFrame:
-    """The last n rows by a unique order: a threshold where the order has no gaps, else the n-th largest value, never a global window."""
+    """The last n rows by a unique order: a threshold where the order has no gaps, else the n-th largest value.
+
+    That value is found by the sizes of range partitions of the order column, and then in the one partition that holds it.
+    """
     if dense:
         edge = rows.agg((F.max(order) - n).alias("_edge"))
         return rows.join(F.broadcast(edge), F.col(order) > F.col("_edge")).drop("_edge")
-    edge = rows.select(order).orderBy(F.desc(order)).limit(n).agg(F.min(order).alias("_edge"))
+    values = written(rows.select(order).where(F.col(order).isNotNull()).repartitionByRange(F.desc(order)).withColumn("_part", F.spark_partition_id()), "order")
+    reach = F.sum("_n").over(Window.orderBy("_part"))  # over a row a partition
+    part = values.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_reach", reach).where(F.col("_reach") >= n).orderBy("_part").first()
+    if part is None:
+        return rows.where(F.col(order).isNotNull())
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc(order)))
+    edge = values.where(F.col("_part") == part["_part"]).withColumn("_rank", rank).where(F.col("_rank") == n - part["_reach"] + part["_n"]).select(F.col(order).alias("_edge"))
     return rows.join(F.broadcast(edge), F.col(order) >= F.col("_edge")).drop("_edge")
 
 
@@ -102,14 +127,21 @@ def select_reward(mode: str, learned: Column, clip: Column, blip: Column, truth:
     return sources[mode]
 
 
-def asof_version(steps: DataFrame, updates: DataFrame, run: str = "run", order: str = "step") -> DataFrame:
-    """steps with the `version` of the last update at or before them (null before the first)."""
+def asof_version(steps: DataFrame, updates: DataFrame, run: str = "run", order: str = "step", chunk: int = 100_000) -> DataFrame:
+    """steps with the `version` of the last update at or before them (null before the first); updates without a version change nothing.
+
+    Updates are carried forward inside chunks of `chunk` values of the order column, and into a chunk from those before it, so that a run of any length is many tasks.
+    """
     cols = [c for c in steps.columns]
     left = steps.withColumn("_kind", F.lit(1)).withColumn("version", F.lit(None).cast(updates.schema["version"].dataType))
     right = updates.select(run, order, "version", F.lit(0).alias("_kind"))
-    at = Window.partitionBy(run).orderBy(order, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("version", F.last("version", ignorenulls=True).over(at))
-    return both.where("_kind = 1").select(*cols, "version")
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col(order) / chunk))
+    at = Window.partitionBy(run, "_chunk").orderBy(order, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(run).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max_by("version", F.when(F.col("version").isNotNull(), F.col(order)))
+    carried = both.groupBy(run, "_chunk").agg(last.alias("_last")).select(run, "_chunk", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    found = both.withColumn("version", F.last("version", ignorenulls=True).over(at)).where("_kind = 1").join(carried, [run, "_chunk"])
+    return found.withColumn("version", F.coalesce("version", "_carried")).select(*cols, "version")
 
 
 def sample_transitions(steps: DataFrame, n: int, seed: int, index: str = "idx", total: int | None = None) -> DataFrame:
@@ -121,7 +153,7 @@ def sample_transitions(steps: DataFrame, n: int, seed: int, index: str = "idx",
     return picks.join(steps, index)
 
 
-def dense_index(rows: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
+def dense_index(rows: DataFrame, order: list[str | Column], name: str = "idx") -> DataFrame:
     """rows with a dense index from 0 in a unique order: the rank inside a range partition plus the sizes of those before.
 
     The partitions are written first, so that ranks and sizes are of the same ones; the sizes are one small row a partition.
