@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmentry.sources.schemas import QUERY_LOG, require
+from segmentry.sources.shared import sized, written
 
+# Columns of the log files.
 QUERY_COLUMNS = ["ground_truth_score_1", "ground_truth_score_2", "vlm_predicted_label", "timestamp", "train_iter"]
 
 
@@ -58,19 +66,19 @@ def write_label_batches(pairs: DataFrame, path: str) -> None:
 
 
 def numbered_rounds(pairs: DataFrame) -> DataFrame:
-    """pairs with `round` (from 1): the place of their train_iter among those of their environment. The list of rounds is small."""
+    """pairs with `round` (from 1): the place of their train_iter among those of their environment. The list of rounds, a row a round, is broadcast if it is small."""
     rounds = pairs.select("env", "train_iter").distinct()
     order = Window.partitionBy("env").orderBy("train_iter")
-    return pairs.join(F.broadcast(rounds.withColumn("round", F.row_number().over(order))), ["env", "train_iter"])
+    return pairs.join(sized(rounds.withColumn("round", F.row_number().over(order))), ["env", "train_iter"])
 
 
 def read_label_batches(spark: SparkSession, path: str) -> DataFrame:
     return numbered_rounds(spark.read.parquet(path))
 
 
-def stream_label_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Label batches as a stream, one file a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def stream_label_batches(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
+    """Label batches as a stream, so many files a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def frame_keys(path: Column) -> list[Column]:
@@ -87,6 +95,29 @@ def frame_keys(path: Column) -> list[Column]:
     ]
 
 
+def png(height: int, width: int, channels: int, data: bytes) -> bytes:
+    """A PNG file of 8-bit grey or red-green-blue pixels."""
+    rows = b"".join(b"\0" + data[i * width * channels : (i + 1) * width * channels] for i in range(height))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def write_frames(frames: DataFrame, folder: str) -> DataFrame:
+    """Write frames (name, frame) as PNG files in folder (a URI); (file) of each. A task that runs again writes the same files."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, at = fs.FileSystem.from_uri(folder)
+        system.create_dir(at, recursive=True)
+        for batch in batches:
+            for name, frame in zip(batch["name"], batch["frame"]):
+                with system.open_output_stream(f"{at}/{name}", compression=None) as out:
+                    out.write(png(frame["h"], frame["w"], frame["c"], bytes(frame["data"])))
+            yield pd.DataFrame({"file": batch["name"]})
+
+    return written(frames.select("name", "frame").mapInPandas(work, "file string"), "frames")
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """(path, keys, frame) of decoded image files. Channels are blue, green, red, as Spark's image source has them; reverse_channels turns them."""
     images = spark.read.format("image").option("recursiveFileLookup", True).load(path)
