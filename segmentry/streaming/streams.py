@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,8 @@ def stream_episodes(steps: DataFrame, watermark: str = "1 hour", idle_ms: int =
     """(run, episode, reward, length, ended) as episodes close; steps are (run, step, ts, reward, done).
 
     The state of a run is its open episode: number, sum, length. A run idle for so long past the watermark gives its open
-    episode with ended false. Within a batch a run's steps are taken in order of step.
+    episode with ended false. Within a batch a run's steps are taken in order of step, of which a task holds three numbers each: what a batch
+    brings is bounded by the source's options (maxFilesPerTrigger and the like). A step that comes in a later batch than steps after it joins the episode open then.
     """
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -32,14 +34,17 @@ def stream_episodes(steps: DataFrame, watermark: str = "1 hour", idle_ms: int =
             if length:
                 yield pd.DataFrame([(key[0], episode, total, length, False)], columns=["run", "episode", "reward", "length", "ended"])
             return
-        rows = pd.concat(list(batches)).sort_values("step")
-        for reward, done in zip(rows["reward"], rows["done"]):
-            total, length = total + reward, length + 1
-            if done:
+        parts, newest = [], 0
+        for batch in batches:
+            parts.append([batch[c].to_numpy() for c in ("step", "reward", "done")])
+            newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
+        step, reward, done = (np.concatenate(c) for c in zip(*parts))
+        for i in np.argsort(step, kind="stable").tolist():
+            total, length = total + float(reward[i]), length + 1
+            if done[i]:
                 out.append((key[0], episode, total, length, True))
                 episode, total, length = episode + 1, 0.0, 0
         state.update((int(episode), float(total), int(length)))
-        newest = int(rows["ts"].max().timestamp() * 1000)
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=["run", "episode", "reward", "length", "ended"])
 
