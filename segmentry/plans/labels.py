@@ -62,6 +62,11 @@ def _(spark, d):
     return label.with_prompts(_with_env(reply_rows(spark, d)), prompts.prompt_table(spark), "query").select("pair_id", "env", "prompt")
 
 
+@query("J3_goal_statements", f"WITH {REPLIES} SELECT pair_id, ({_QUOTED(list(prompts.STATEMENTS.values()))})[pair_id % {len(_ENVS)} + 1] AS statement FROM rep")
+def _(spark, d):
+    return label.with_prompts(_with_env(reply_rows(spark, d)), prompts.prompt_table(spark), "statement", "statement").select("pair_id", "statement")
+
+
 @query("F6_render_prompt", f"WITH {REPLIES} SELECT pair_id, replace(({_TEMPLATES('summary')})[pair_id % {len(_ENVS)} + 1], '{{reply}}', reply) || ' Be brief.' AS prompt FROM rep")
 def _(spark, d):
     rows = label.with_prompts(_with_env(reply_rows(spark, d)), prompts.prompt_table(spark), "summary", "template")
@@ -87,6 +92,15 @@ def _(spark, d):
     return met.select("id", "score", F.round(2 * F.col("score") - 1, 6).alias("reward"), preference.embedding_label(F.col("score"), F.col("other")).alias("label"))
 
 
+@query("F8_match_preference", f"WITH {EMB}, p AS (SELECT id, exp(10 * vec[2]) / (exp(10 * vec[1]) + exp(10 * vec[2])) AS p FROM emb) SELECT a.id, round(a.p, 6) AS p, CASE WHEN round(a.p, 6) > round(b.p, 6) THEN 0 WHEN round(a.p, 6) < round(b.p, 6) THEN 1 ELSE -1 END AS label FROM p a JOIN p b ON b.id = a.id // 2")
+def _(spark, d):
+    """Two numbers of each vector as the logits of an image-text match."""
+    p = F.round(preference.match_probability(F.col("vec")[0] * 10, F.col("vec")[1] * 10), 6)
+    rows = V.embeddings(spark, d).select("id", p.alias("p"))
+    other = rows.select(F.col("id").alias("o"), F.col("p").alias("q"))
+    return rows.withColumn("o", F.floor(F.col("id") / 2)).join(other, "o").select("id", "p", preference.embedding_label(F.col("p"), F.col("q")).alias("label"))
+
+
 _R = "(sum_1 / 20000) AS r1, (sum_2 / 20000) AS r2"
 
 
@@ -101,7 +115,8 @@ def _(spark, d):
 
 
 @query("F11_targets_and_losses", f"""WITH {PAIRS}, r AS (SELECT pair_id, {_R}, CAST(pair_id % 3 - 1 AS INT) AS label FROM pr), t AS (SELECT *, CASE WHEN label = -1 THEN 0.5 ELSE label * 0.8 + 0.1 END AS y FROM r)
-SELECT pair_id, round(y, 6) AS target, round((1 - y) * ln(1 + exp(r2 - r1)) + y * ln(1 + exp(r1 - r2)), 6) AS soft, CASE WHEN label >= 0 THEN round(ln(1 + exp(CASE WHEN label = 0 THEN r2 - r1 ELSE r1 - r2 END)), 6) END AS hard, round((r1 - r2) * (r1 - r2), 6) AS squared FROM t""")
+SELECT pair_id, round(y, 6) AS target, round(-(1 - y) * (r1 - l) - y * (r2 - l), 6) AS soft, CASE label WHEN 0 THEN round(l - r1, 6) WHEN 1 THEN round(l - r2, 6) END AS hard, round((r1 - r2) * (r1 - r2), 6) AS squared
+FROM (SELECT *, greatest(r1, r2) + ln(exp(r1 - greatest(r1, r2)) + exp(r2 - greatest(r1, r2))) AS l FROM t)""")
 def _(spark, d):
     rows = _segment_rewards(spark, d).withColumn("label", (F.col("pair_id") % 3 - 1).cast("int"))
     a, b, y = F.col("r1"), F.col("r2"), F.col("label")
@@ -182,7 +197,7 @@ def _(spark, d):
     return audit.label_accuracy(rows).withColumn("accuracy", F.round("accuracy", 6))
 
 
-BINS = f"""{LOG}, d AS (SELECT *, abs(score_1 - score_2) AS diff FROM log), m AS (SELECT CASE WHEN max(diff) > 0 THEN max(diff) ELSE 1 END AS top FROM d), b AS (SELECT pair_id, label, score_1, score_2, CAST(least(floor(diff * 10 / top), 9) AS INT) AS bin FROM d, m)"""
+BINS = f"""{LOG}, d AS (SELECT *, abs(score_1 - score_2) AS diff FROM log), m AS (SELECT CASE WHEN max(diff) > 0 THEN max(diff) ELSE 1 END AS top FROM d), b AS (SELECT pair_id, label, score_1, score_2, CAST(least(len(list_filter(range(0, 10), lambda i: i * (top / 10) <= diff)), 10) - 1 AS INT) AS bin FROM d, m)"""
 
 
 @query("J8_assign_bins", f"WITH {BINS} SELECT pair_id, bin FROM b")
@@ -190,8 +205,8 @@ def _(spark, d):
     return audit.assign_bins(V.score_log(spark, d), 10).select("pair_id", "bin")
 
 
-@query("A8_difficulty_histogram", f"""WITH {PAIRS}, l AS (SELECT pair_id, abs(sum_1 - sum_2) AS diff, sum_1, sum_2, CASE WHEN reply IS NULL THEN -1 ELSE {PREFER} END AS label FROM pr LEFT JOIN (SELECT row_number() OVER (ORDER BY pair_id) - 1 AS i, reply, c, l FROM (WITH {REPLIES}, {CLEAN} SELECT * FROM cl)) q ON q.i = pr.pair_id % 400),
-m AS (SELECT CASE WHEN max(diff) > 0 THEN max(diff) ELSE 1 END AS top FROM l), b AS (SELECT CAST(least(floor(diff * 10 / top), 9) AS INT) AS bin, CASE WHEN label = -1 THEN 'n' WHEN label = 0 AND sum_1 > sum_2 OR label = 1 AND sum_2 > sum_1 THEN 'c' ELSE 'i' END AS cat FROM l, m),
+@query("A8_difficulty_histogram", f"""WITH {PAIRS}, l AS (SELECT pair_id, abs(sum_1 - sum_2) AS diff, sum_1, sum_2, CASE WHEN reply IS NULL THEN -1 ELSE {PREFER} END AS label FROM pr LEFT JOIN (SELECT row_number() OVER (ORDER BY pair_id) - 1 AS i, reply, c, l FROM (WITH {REPLIES}, {CLEAN} SELECT * FROM cl)) q ON q.i = pr.pair_id % (SELECT count(*) FROM conversations)),
+m AS (SELECT CASE WHEN max(diff) > 0 THEN max(diff) ELSE 1 END AS top FROM l), b AS (SELECT CAST(least(len(list_filter(range(0, 10), lambda i: i * (top / 10) <= diff)), 10) - 1 AS INT) AS bin, CASE WHEN label = -1 THEN 'n' WHEN label = 0 AND sum_1 > sum_2 OR label = 1 AND sum_2 > sum_1 THEN 'c' ELSE 'i' END AS cat FROM l, m),
 e AS (SELECT CAST(unnest(range(0, 10)) AS INT) AS bin)
 SELECT bin, count(cat) AS n, round(coalesce(100.0 * count(*) FILTER (cat = 'c') / nullif(count(cat), 0), 0), 6) AS correct, round(coalesce(100.0 * count(*) FILTER (cat = 'i') / nullif(count(cat), 0), 0), 6) AS incorrect,
   round(coalesce(100.0 * count(*) FILTER (cat = 'n') / nullif(count(cat), 0), 0), 6) AS no_preference FROM e LEFT JOIN b USING (bin) GROUP BY bin""")
@@ -201,7 +216,8 @@ def flagship(spark, d):
 
     pairs = P.pair_returns(V.returns(spark, d))
     answers = dense_index(reply_rows(spark, d), ["pair_id"], "i").select("i", replies.parse_preference(F.col("reply")).alias("label"))
-    met = pairs.withColumn("i", F.col("pair_id") % 400).join(answers, "i", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    n = max(1, V.table(spark, d, "conversations").count())
+    met = pairs.withColumn("i", F.col("pair_id") % n).join(answers, "i", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
     table = audit.difficulty_histogram(met, 10, s1="sum_1", s2="sum_2")
     return table.select("bin", "n", *(F.round(c, 6).alias(c) for c in audit.CATEGORIES))
 
@@ -220,14 +236,19 @@ def _text_log(spark, d):
 @query("S1_read_query_log", f"""WITH {TEXTLOG}, n AS (SELECT k, TRY_CAST(a AS DOUBLE) AS a, TRY_CAST(b AS DOUBLE) AS b, TRY_CAST(l AS DOUBLE) AS l FROM t)
 SELECT a AS ground_truth_score_1, b AS ground_truth_score_2, CAST(l AS INT) AS vlm_predicted_label, CAST(k AS INT) AS train_iter FROM n WHERE a IS NOT NULL AND NOT isnan(a) AND b IS NOT NULL AND l IS NOT NULL""")
 def _(spark, d):
-    return logs.clean_query_log(_text_log(spark, d)).drop("timestamp")
+    """The log written as CSV files and read back."""
+    path = V.scratch(spark, "csv")
+    _text_log(spark, d).drop("k").write.option("header", True).csv(path)
+    return logs.read_query_log(spark, path).drop("timestamp")
 
 
 @query("S2_read_eval_log", f"""WITH {TEXTLOG}, n AS (SELECT k, TRY_CAST(a AS DOUBLE) / 10 AS r FROM t WHERE a NOT IN ('', 'nan', 'text')) SELECT CAST(k AS DOUBLE) AS step, greatest(0.0, least(1.0, CASE WHEN r > 1 THEN r / 100 ELSE r END)) AS success_rate FROM n""")
 def _(spark, d):
     a = F.col("ground_truth_score_1")
     rate = F.when(a.isin("", "nan", "text"), a).otherwise((a.try_cast("double") / 10).cast("string"))
-    return logs.clean_eval_log(_text_log(spark, d).select(F.col("k").cast("string").alias("step"), rate.alias("success_rate")))
+    path = V.scratch(spark, "csv")
+    _text_log(spark, d).select(F.col("k").cast("string").alias("step"), rate.alias("success_rate")).write.option("header", True).csv(path)
+    return logs.read_eval_log(spark, path)
 
 
 @query("S3_write_query_log", f"WITH {LOG} SELECT train_iter, count(*) AS n, sum(score_1) AS total FROM log GROUP BY train_iter")
@@ -248,6 +269,28 @@ def _(spark, d):
     return rounds.withColumn("round", F.col("round").cast("long"))
 
 
+@query("S4_stream_label_batches", f"WITH {LOG}, e AS (SELECT 'env' || (pair_id % 3) AS env, train_iter, label FROM log) SELECT env, train_iter, count(*) AS n, CAST(sum(label) AS BIGINT) AS total FROM e GROUP BY env, train_iter")
+def _(spark, d):
+    """The same batches as a stream, whose rows are appended to a table."""
+    path, out, state = (V.scratch(spark, f"batches-{x}") for x in ("in", "out", "state"))
+    rows = V.score_log(spark, d).withColumn("env", F.concat(F.lit("env"), (F.col("pair_id") % 3).cast("string")))
+    logs.write_label_batches(rows.repartition("env", "train_iter"), path)
+    stream = logs.stream_label_batches(spark, path, "pair_id long, label int, env string, train_iter int", files=16)
+    stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).groupBy("env", "train_iter").agg(F.count("*").alias("n"), F.sum("label").alias("total"))
+
+
+@query("S5_read_frames", f"WITH {EMB} SELECT CAST(id AS INT) AS number, 8 AS h, 8 AS w, list_aggregate(list_transform(vec, lambda v: printf('%02X', CAST(floor((v + 1) * 127) AS INT))), 'string_agg', '') AS pixels FROM emb")
+def _(spark, d):
+    """Each vector as an 8 x 8 grey PNG file, read back by the image source."""
+    data = F.unhex(F.concat_ws("", F.transform("vec", lambda v: F.lpad(F.hex(F.floor((v + 1) * 127).cast("int")), 2, "0"))))
+    frame = F.struct(F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(1).alias("c"), data.alias("data"))
+    name = F.concat(F.lit("first_"), F.lpad(F.col("id").cast("string"), 6, "0"), F.lit(".png"))
+    path = V.scratch(spark, "frames")
+    logs.write_frames(V.embeddings(spark, d).select(name.alias("name"), frame.alias("frame")), path)
+    return logs.read_frames(spark, path).select("number", "frame.h", "frame.w", F.hex("frame.data").alias("pixels"))
+
+
 @query("S5_frame_keys", r"""WITH f AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '/a/' || CASE WHEN event_id % 4 = 0 THEN 'first' ELSE 'second' END || '_' || lpad(CAST(event_id AS VARCHAR), 6, '0') || '.png' ELSE '/b/step' || lpad(CAST(event_id AS VARCHAR), 7, '0') || '_episode' || lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') || '_1.png' END AS p FROM events)
 SELECT event_id, nullif(regexp_extract(p, '(first|second)_', 1), '') AS side, TRY_CAST(regexp_extract(p, '(first|second)_(\d+)', 2) AS INT) AS number, TRY_CAST(regexp_extract(p, 'step(\d+)', 1) AS INT) AS step, TRY_CAST(regexp_extract(p, 'episode(\d+)', 1) AS INT) AS episode FROM f""")
 def _(spark, d):

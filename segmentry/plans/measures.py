@@ -8,6 +8,7 @@ from segmentry.operators import metrics as M
 from segmentry.operators import particles as PT
 from segmentry.plans import views as V
 from segmentry.plans.views import EMB, HORIZONS, PARTS, STEPS, query
+from segmentry.sources.shared import sized
 from segmentry.streaming import streams
 
 EPISODES = "e AS (SELECT run, episode, sum(reward) AS reward, sum(true_reward) AS true_reward, max(CAST(success AS INT)) AS success, count(*) AS length FROM steps GROUP BY run, episode)"
@@ -70,11 +71,12 @@ def _(spark, d):
     return out.select("id", F.round(F.aggregate("normalised", F.lit(0.0), lambda a, x: a + F.abs(x)), 4).alias("total"))
 
 
-@query("A10_merged_moments", f"WITH {STEPS} SELECT CAST(count(*) AS DOUBLE) AS n, round(avg(reward), 3) AS mean, round(var_pop(reward), 1) AS var FROM raw")
+@query("A10_merged_moments", f"""WITH {STEPS}, m AS (SELECT count(*) AS c, avg(reward) AS a, var_pop(reward) AS v FROM raw)
+SELECT round(c + 0.0001, 4) AS n, round(a * c / (c + 0.0001), 3) AS mean, round((1.0 * 0.0001 + v * c + a * a * 0.0001 * c / (c + 0.0001)) / (c + 0.0001), 1) AS var FROM m""")
 def _(spark, d):
     rows = V.raw_steps(spark, d).withColumn("batch", F.floor(F.col("step") / 128))
-    out = M.merge_moments(rows, "batch", "reward", (0.0, 0.0, 0.0))
-    return out.select("n", F.round("mean", 3).alias("mean"), F.round("var", 1).alias("var"))
+    out = M.merge_moments(rows, "batch", "reward")
+    return out.select(F.round("n", 4).alias("n"), F.round("mean", 3).alias("mean"), F.round("var", 1).alias("var"))
 
 
 @query("A14_distinct_goals", "WITH t AS (SELECT l_returnflag AS env, l_quantity AS a, l_discount AS b FROM lineitem) SELECT env, count(*) AS n, count(DISTINCT (a, b)) AS n_distinct, count(*) = count(DISTINCT (a, b)) AS ok FROM t GROUP BY env")
@@ -85,7 +87,7 @@ def _(spark, d):
 @query("J9_task_split", "SELECT c_custkey, n_name AS env, n_regionkey < 2 AS test FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _(spark, d):
     nation = V.table(spark, d, "nation")
-    rows = V.table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("env"))
+    rows = V.table(spark, d, "customer").join(sized(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("env"))
     train, test = M.split_by_task(rows, nation.where("n_regionkey < 2").select(F.col("n_name").alias("env")))
     return train.withColumn("test", F.lit(False)).unionByName(test.withColumn("test", F.lit(True)))
 

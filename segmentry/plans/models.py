@@ -71,17 +71,29 @@ def _(spark, d):
     return select.entropy_topk(predictions(spark, d), 50)
 
 
-@query("K4_k_center")
+def _greedy(pool: str, n: int) -> str:
+    """SQL of n greedy picks from the table `pool` (id, vec), whose distances to all with id % 10 = 0 are known first."""
+    return f"""near AS (SELECT b.id, b.vec, min({DIST}) AS d FROM emb a JOIN {pool} b ON a.id % 10 = 0 GROUP BY b.id, b.vec),
+state AS (SELECT CAST(0 AS INT) AS rank, id, vec, d FROM near UNION ALL
+  SELECT CAST(a.rank + 1 AS INT), a.id, a.vec, least(a.d, {DIST}) FROM (SELECT *, first_value(id) OVER w AS pick, first_value(vec) OVER w AS best FROM state WINDOW w AS (ORDER BY d DESC, id)) a, LATERAL (SELECT a.best AS vec) b
+  WHERE a.id <> a.pick AND a.rank < {n - 1})
+SELECT rank, arg_max(id, (d, -id)) AS id, round(max(d), 6) AS distance FROM state GROUP BY rank"""
+
+
+@query("K4_k_center", f"WITH RECURSIVE {EMB}, pool AS (SELECT id, vec FROM emb WHERE id % 10 <> 0), {_greedy('pool', 10)}")
 def _(spark, d):
     few, rows = _sample(spark, d)
-    return select.k_center(rows.where("id % 10 <> 0"), few, 10)
+    return select.k_center(rows.where("id % 10 <> 0"), few, 10).withColumn("distance", F.round("distance", 6))
 
 
-@query("K5_two_stage")
+@query("K5_two_stage", f"""WITH RECURSIVE {PRED}, {EMB}, cand AS (SELECT id, vec FROM emb WHERE id % 10 <> 0),
+spread AS (SELECT pair_id AS id, round(stddev_pop(round(p, 9)), 6) AS std FROM pq SEMI JOIN cand ON cand.id = pq.pair_id GROUP BY pair_id),
+top AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY std DESC, id) AS i FROM spread) WHERE i <= (SELECT count(*) FROM cand) // 2),
+pool AS (SELECT id, vec FROM cand SEMI JOIN top USING (id)), {_greedy('pool', 5)}""")
 def _(spark, d):
     few, rows = _sample(spark, d)
     preds = predictions(spark, d).withColumnRenamed("pair_id", "id")
-    return select.two_stage_select(preds, rows.where("id % 10 <> 0"), few, 5, key="id")
+    return select.two_stage_select(preds, rows.where("id % 10 <> 0"), few, 5, key="id").withColumn("distance", F.round("distance", 6))
 
 
 _W = np.round(np.sin(np.arange(64)), 3)
@@ -150,12 +162,16 @@ def _(spark, d):
     return _right(pairs, reward.fit_preference(unsure, margin=0.1))
 
 
-@query("V6_fit_score")
+_LINEAR = "list_dot_product(vec, [" + ", ".join(map(str, _W.tolist())) + "]::DOUBLE[]) + 0.25"
+
+
+@query("V6_fit_score", f"WITH {EMB} SELECT id, round({_LINEAR}, 5) AS predicted FROM emb")
 def _(spark, d):
+    """Scores that are linear in the vectors are learned from those of even id, without a penalty, and come back for all."""
     rows = V.embeddings(spark, d).withColumn("score", dot(F.col("vec"), F.array(*map(F.lit, _W.tolist()))) + 0.25)
-    weights, intercept = reward.fit_score(rows, "vec")
+    weights, intercept = reward.fit_score(rows.where("id % 2 = 0"), "vec", reg=0.0)
     predicted = dot(F.col("vec"), F.array(*map(F.lit, map(float, weights)))) + intercept
-    return rows.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(predicted - F.col("score"))), 2).alias("mean_error"))
+    return rows.select("id", F.round(predicted, 5).alias("predicted"))
 
 
 class Stub:
@@ -178,7 +194,17 @@ def _(spark, d):
     return label.label_pairs(pairs, Stub, 8, pause=0.0).select("pair_id", "label")
 
 
-@query("F14_frame_transforms")
+# Pixel (k, l) of the result: the flipped and cropped frame is q(y, x) = px(6 - y, x + 1), y and x from 0 to 5; of its doubled size every other pixel
+# is kept, that at 2k, which lies a quarter before k.
+_NEAR = lambda k, l: f"px[(6 - {k}) * 8 + {l} + 2]"  # noqa: E731, E741
+_BLEND = "0.75 * (0.75 * {a} + 0.25 * {b}) + 0.25 * (0.75 * {c} + 0.25 * {d})"
+_PIXELS = [
+    "printf('%02X', CAST(round_even(" + _BLEND.format(a=_NEAR(k, l), b=_NEAR(k, max(l - 1, 0)), c=_NEAR(max(k - 1, 0), l), d=_NEAR(max(k - 1, 0), max(l - 1, 0))) + ", 0) AS INT))"
+    for k in range(6) for l in range(6)  # noqa: E741
+]
+
+
+@query("F14_frame_transforms", f"WITH {EMB}, p AS (SELECT id, list_transform(vec, lambda v: CAST(floor((v + 1) * 127) AS INT)) AS px FROM emb) SELECT id, 6 AS h, 6 AS w, {' || '.join(_PIXELS)} AS pixels FROM p")
 def _(spark, d):
     """Each vector as an 8 x 8 grey frame: flipped, cropped, resized, joined with itself and halved again."""
     data = F.transform("vec", lambda v: F.floor((v + 1) * 127).cast("int"))
@@ -186,7 +212,7 @@ def _(spark, d):
     rows = V.embeddings(spark, d).select("id", F.struct(F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(1).alias("c"), F.unhex(hexes).alias("data")).alias("frame"))
     once = FR.transform_frames(rows, [("flip",), ("crop", 1, 7, 1, 7), ("resize", 12, 12)])
     twice = FR.transform_frames(once.withColumn("frame", FR.side_by_side(F.col("frame"), F.col("frame"))), [("left",), ("stride", 2)])
-    return twice.select("id", "frame.h", "frame.w", F.crc32("frame.data").alias("digest"))
+    return twice.select("id", "frame.h", "frame.w", F.hex("frame.data").alias("pixels"))
 
 
 def _streamed(spark, rows, build, mode: str = "append", files: int = 4):

@@ -135,6 +135,15 @@ def _(spark, d):
     return V.drawn(spark, d)[0]
 
 
+@query("J1_segments_from_the_start", f"""WITH {HORIZONS}, pid AS (SELECT unnest(range(0, CAST((SELECT count(*) FROM events) AS BIGINT) // 20)) AS pair_id),
+room AS (SELECT run, episode, row_number() OVER (ORDER BY traj) - 1 AS i FROM traj WHERE length >= {SEG}),
+d AS (SELECT pair_id, floor({u(f'{SEED}|traj1', 'pair_id')} * (SELECT count(*) FROM room)) AS i1, floor({u(f'{SEED}|traj2', 'pair_id')} * (SELECT count(*) FROM room)) AS i2 FROM pid)
+SELECT pair_id, a.run AS run_1, a.episode AS episode_1, CAST(0 AS BIGINT) AS start_1, b.run AS run_2, b.episode AS episode_2, CAST(0 AS BIGINT) AS start_2 FROM d JOIN room a ON d.i1 = a.i JOIN room b ON d.i2 = b.i""")
+def _(spark, d):
+    rows = V.horizon(spark, d)
+    return P.sample_pairs(P.trajectory_index(rows), V.table(spark, d, "events").count() // 20, SEG, SEED, from_start=True)
+
+
 @query("J2_attach_frames", f"""WITH {PAIRS} SELECT s.pair_id AS segment_id, string_agg(CAST(h.step AS VARCHAR), ',' ORDER BY h.t) AS frames FROM sides s
 JOIN hz h ON s.side = 1 AND s.run = h.run AND s.episode = h.episode AND h.t IN (s.start + 1, s.start + 3, s.start + 5, s.start + 7) GROUP BY s.pair_id""")
 def _(spark, d):
@@ -197,11 +206,25 @@ def _(spark, d):
     return P.member_batches(V.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), 3, 128, 5)
 
 
-@query("K8_feedback_budget", f"""WITH {STEPS}, r AS (SELECT step // 100 AS round, count(*) FILTER (done) AS requested FROM raw GROUP BY 1), b AS (SELECT *, coalesce(sum(requested) OVER (ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
-SELECT round, requested, CAST(greatest(0, least(requested, 1000 - before)) AS BIGINT) AS granted, CAST(least(1000, before + requested) AS BIGINT) AS used FROM b""")
+_SHARE = {"constant": "1.0", "linear": "CASE WHEN total - began = 0 THEN 0.01 ELSE (total - began) / total END", "growing": "total / (total - began + 1)"}
+
+
+@query("K8_feedback_budget", "WITH n AS (SELECT CAST(count(*) AS DOUBLE) AS total FROM events), " + ", ".join(
+    f"""r_{name} AS (SELECT '{name}' AS schedule, round, CAST(trunc(40 * {share}) AS BIGINT) AS requested FROM (SELECT i AS round, CAST(i * 100 AS DOUBLE) AS began, total FROM n, unnest(range(0, CAST((SELECT max(event_id) FROM events) AS BIGINT) // 100 + 1)) t(i)))"""
+    for name, share in _SHARE.items()
+) + f""", r AS ({" UNION ALL ".join(f"SELECT * FROM r_{name}" for name in _SHARE)}), b AS (SELECT *, coalesce(sum(requested) OVER (PARTITION BY schedule ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+SELECT schedule, round, requested, CAST(greatest(0, least(requested, 1000 - before)) AS BIGINT) AS granted, CAST(least(1000, before + requested) AS BIGINT) AS used FROM b""")
 def _(spark, d):
-    rounds = V.raw_steps(spark, d).groupBy(F.floor(F.col("step") / 100).alias("round")).agg(F.count(F.when(F.col("done"), 1)).alias("requested"))
-    return P.apply_budget(rounds, 1000)
+    """A round for each hundred steps, each schedule with its own budget of 1000 labels."""
+    events = V.table(spark, d, "events")
+    total, newest = events.agg(F.count("*"), F.max("event_id")).first()
+    rounds = spark.range(newest // 100 + 1).select(F.col("id").alias("round"))
+    out = None
+    for schedule in ("constant", "linear", "growing"):
+        rows = rounds.withColumn("requested", P.scheduled_size(40, (F.col("round") * 100).cast("double"), total, schedule))
+        rows = P.apply_budget(rows, 1000).select(F.lit(schedule).alias("schedule"), "round", "requested", "granted", "used")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 FILES = """f AS (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'actor_' WHEN 1 THEN 'critic_' WHEN 2 THEN 'critic_target_' WHEN 3 THEN 'reward_model_' ELSE 'notes_' END || CAST(o_custkey * 10 + o_orderkey % 7 AS VARCHAR)

@@ -1,7 +1,7 @@
 """Domain views of the tables, as DataFrames and as SQL for DuckDB.
 
 steps: events by run (user_id % 3), in order of event_id, which is the order of time; reward in whole cents, so that sums are exact.
-horizon: the first 40 steps of each user as a trajectory of one length. pairs: draws of two segments of 8 steps, one for each twentieth event.
+horizon: all steps of each user, 40 by 40, as trajectories; a user's last one is shorter. pairs: draws of two segments of 8 steps, one for each twentieth event.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from segmentry.operators import trajectory as T
 from segmentry.sources.shared import scratch  # noqa: F401
 
 SEG, HORIZON, SEED, GAMMA = 8, 40, 7, 0.9
+#: Numbers of trajectories that a user has at most.
+EPISODES = 1_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -48,9 +50,8 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = Window.partitionBy("user_id").orderBy("step")
-    rows = raw_steps(spark, sf_dir).withColumn("t", F.row_number().over(own) - 1).where(F.col("t") < HORIZON)
-    return rows.withColumn("episode", F.col("user_id"))
+    rows = T.numbered(raw_steps(spark, sf_dir), "user_id", "step", "n")
+    return rows.withColumn("episode", F.col("user_id") * EPISODES + F.floor(F.col("n") / HORIZON)).withColumn("t", (F.col("n") % HORIZON).cast("int")).drop("n")
 
 
 def drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +91,7 @@ def score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def u(seed: str, key: str) -> str:
-    return f"(CAST('0x' || substr(md5('{seed}|' || {key}), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE)"
+    return f"(CAST('0x' || substr(md5('{seed}|' || {key}), 1, 13) AS BIGINT)::DOUBLE / {float(1 << 52)!r}::DOUBLE)"
 
 
 STEPS = """raw AS (
@@ -99,14 +100,17 @@ STEPS = """raw AS (
 closed AS (SELECT *, CAST(coalesce(sum(CAST(done AS INT)) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS episode FROM raw),
 steps AS (SELECT *, CAST(row_number() OVER (PARTITION BY run, episode ORDER BY step) - 1 AS INT) AS t FROM closed)"""
 HORIZONS = STEPS + f""",
-hz AS (SELECT * FROM (SELECT run, step, user_id, user_id AS episode, reward, true_reward, k, hour, done, success, CAST(row_number() OVER (PARTITION BY user_id ORDER BY step) - 1 AS INT) AS t FROM raw) WHERE t < {HORIZON}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY step) - 1 AS n FROM raw),
+hz AS (SELECT run, step, user_id, user_id * {EPISODES} + n // {HORIZON} AS episode, reward, true_reward, k, hour, done, success, CAST(n % {HORIZON} AS INT) AS t FROM placed),
 traj AS (SELECT run, episode, count(*) AS length, row_number() OVER (ORDER BY run, episode) - 1 AS traj FROM hz GROUP BY run, episode)"""
+# Segments are drawn among the trajectories that have room for one.
 PAIRS = HORIZONS + f""",
 pid AS (SELECT unnest(range(0, CAST((SELECT count(*) FROM events) AS BIGINT) // 20)) AS pair_id),
-d AS (SELECT pair_id, floor({u(f'{SEED}|traj1', 'pair_id')} * (SELECT count(*) FROM traj)) AS i1, floor({u(f'{SEED}|traj2', 'pair_id')} * (SELECT count(*) FROM traj)) AS i2 FROM pid),
+room AS (SELECT run, episode, length, row_number() OVER (ORDER BY traj) - 1 AS i FROM traj WHERE length > {SEG}),
+d AS (SELECT pair_id, floor({u(f'{SEED}|traj1', 'pair_id')} * (SELECT count(*) FROM room)) AS i1, floor({u(f'{SEED}|traj2', 'pair_id')} * (SELECT count(*) FROM room)) AS i2 FROM pid),
 pairs AS (SELECT d.pair_id, a.run AS run_1, a.episode AS episode_1, CAST(floor({u(f'{SEED}|start1', 'd.pair_id')} * (a.length - {SEG})) AS BIGINT) AS start_1,
   b.run AS run_2, b.episode AS episode_2, CAST(floor({u(f'{SEED}|start2', 'd.pair_id')} * (b.length - {SEG})) AS BIGINT) AS start_2
-  FROM d JOIN traj a ON d.i1 = a.traj JOIN traj b ON d.i2 = b.traj WHERE a.length > {SEG} AND b.length > {SEG}),
+  FROM d JOIN room a ON d.i1 = a.i JOIN room b ON d.i2 = b.i),
 sides AS (SELECT pair_id, 1 AS side, run_1 AS run, episode_1 AS episode, start_1 AS start FROM pairs UNION ALL SELECT pair_id, 2, run_2, episode_2, start_2 FROM pairs),
 gathered AS (SELECT s.pair_id, s.side, s.start, h.t, h.reward FROM sides s JOIN hz h ON s.run = h.run AND s.episode = h.episode AND h.t BETWEEN s.start AND s.start + {SEG - 1}),
 ret AS (SELECT pair_id, side, sum(reward) AS total, sum(reward * pow({GAMMA}, {SEG - 1} - (t - start))) AS discounted FROM gathered GROUP BY pair_id, side),
