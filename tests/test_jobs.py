@@ -1,9 +1,12 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from segmentry.operators import metrics, pairs, reward, select, trajectory
+from segmentry.operators import audit, metrics, pairs, particles, reward, select, trajectory
 from segmentry.operators.kernels import Network
+from segmentry.functions import preference, prompts
 from segmentry.sources import logs
+from segmentry.sources.shared import scratch
+from segmentry.streaming import streams
 
 
 def vectors(spark, values, start=0):
@@ -47,6 +50,134 @@ def test_ring_and_dense_index(spark):
     assert sorted((r.arrival, r.idx) for r in trajectory.dense_index(rows, ["arrival"]).collect()) == [(i + 1, i) for i in range(6)]
 
 
+def test_last_rows_of_any_order(spark):
+    values = [7 * i % 1009 for i in range(1000)]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "arrival long").repartition(5)
+    for n in (1, 137, 1000, 5000):
+        assert sorted(r.arrival for r in trajectory.last_rows(rows, n, "arrival").collect()) == sorted(values)[-n:]
+
+
+def test_pairs_are_all_drawn_where_some_trajectories_are_short(spark):
+    index = spark.createDataFrame([(i, 0, 10 + i, n) for i, n in enumerate([3, 40, 8, 9, 2, 5])], "traj long, run long, episode long, length long")
+    got = pairs.sample_pairs(index, 200, 8, 1).collect()
+    assert sorted(r.pair_id for r in got) == [*range(200)] and {r.episode_1 for r in got} == {11, 13} and all(r.start_2 < {11: 32, 13: 1}[r.episode_2] for r in got)
+    begun = pairs.sample_pairs(index, 200, 8, 1, from_start=True).collect()
+    assert len(begun) == 200 and {r.episode_1 for r in begun} == {11, 12, 13} and {r.start_1 for r in begun} == {0}
+    assert pairs.sample_pairs(index.where("length < 8"), 20, 8, 1).count() == 0
+
+
+def test_numbers_and_versions_do_not_depend_on_chunks(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(int(k), i) for i, k in enumerate(rng.integers(0, 3, 200))], "run long, step long")
+    one, two = (sorted(map(tuple, trajectory.numbered(rows, "run", "step", chunk=c).collect())) for c in (11, 10**6))
+    assert one == two and [t for r, _, t in one if r == 1] == [*range(len([1 for r, _, _ in one if r == 1]))]
+    updates = rows.where("step % 17 = 3").withColumn("version", F.when(F.col("step") % 5 != 0, F.col("step")))
+    one, two = (sorted(map(tuple, trajectory.asof_version(rows, updates, chunk=c).collect()), key=str) for c in (11, 10**6))
+    assert one == two
+
+
+def test_area_of_runs_is_that_of_cells(spark):
+    rng = np.random.default_rng(6)
+    points = [(0, 0, t, int(i), float(x), 0.0, float(z)) for t in range(3) for i, (x, z) in enumerate(rng.uniform(0, 10, (30, 2)))]
+    rows = spark.createDataFrame(points, "run long, episode long, t int, particle_id long, x double, y double, z double")
+    got = {r.t: r.n_cells for r in particles.covered_area(rows, 1.1, 20).collect()}
+    for t in range(3):
+        x, z = np.array([(p[4], p[6]) for p in points if p[2] == t]).T
+        ends = [[np.clip(np.rint((v - v.min() + s) / ((v.max() - v.min()) / 20)), 0, 20).astype(int) for s in (-1.1, 1.1)] for v in (x, z)]
+        cells = {min(i * 20 + j, 399) for a, b, c, d in zip(*ends[0], *ends[1]) for i in range(a, b + 1) for j in range(c, d + 1)}
+        assert got[t] == len(cells)
+
+
+def test_losses_are_finite_far_out(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    a, b = F.lit(800.0), F.lit(-800.0)
+    assert one(preference.preference_loss(F.lit(0), b, a)) == 1600 and one(preference.preference_loss(F.lit(0), a, b)) == 0
+    assert one(preference.soft_loss(preference.soft_target(F.lit(1)), a, b)) == 1600 and one(preference.soft_loss(preference.soft_target(F.lit(-1)), a, b)) == 800
+    assert one(preference.match_probability(F.lit(0.0), F.lit(np.log(3.0).item()))) == pytest.approx(0.75)
+
+
+def test_bins_are_those_of_the_edges(spark):
+    diffs = [0.0, 0.1, 0.2, 0.3, 0.6, 0.7, 0.9, 0.95, 1.0]
+    log = spark.createDataFrame([(d, 0.0) for d in diffs], "score_1 double, score_2 double")
+    got = {r.score_1: (r.bin, r.centre) for r in audit.assign_bins(log, 10).collect()}
+    edges = np.linspace(0.0, 1.0, 11)
+    for d in diffs:
+        place = min(max(int(np.searchsorted(edges, d, side="right")) - 1, 0), 9)
+        assert got[d] == (place, pytest.approx((edges[place] + edges[place + 1]) / 2))
+
+
+def test_schedules(spark):
+    rows = spark.createDataFrame([(float(s),) for s in (0, 50, 99, 100)], "step double")
+    size = lambda kind: [r.x for r in rows.select(pairs.scheduled_size(40, F.col("step"), 100, kind).alias("x")).collect()]
+    assert (size("constant"), size("linear"), size("growing")) == ([40] * 4, [40, 20, 0, 0], [39, 78, 2000, 4000])
+
+
+def test_neighbours_over_many_blocks(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 3))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    got = {r.id: r.distance for r in select.knn_distance(rows.where("id < 20"), rows, 4, blocks=(4, 7)).collect()}
+    assert [got[i] for i in range(20)] == pytest.approx(np.sort(d[:20], axis=1)[:, 4].tolist())
+    near = {r.id: r.neighbour for r in select.nearest_neighbour(rows.where("id < 20"), rows.where("id >= 20"), blocks=(4, 7)).collect()}
+    assert [near[i] for i in range(20)] == (d[:20, 20:].argmin(axis=1) + 20).tolist()
+
+
+def test_linear_members_are_the_likeliest(spark):
+    rng = np.random.default_rng(2)
+    phi = rng.normal(size=(200, 3))
+    label = (phi @ [1.0, -2.0, 0.5] + rng.logistic(size=200) > 0).astype(int)
+    rows = spark.createDataFrame([(i, p.tolist(), int(y)) for i, (p, y) in enumerate(zip(phi, label))], "pair_id long, phi array<double>, label int")
+    for margin in (None, 0.1):
+        weights = reward.fit_preference(rows, members=1, margin=margin)[0]
+        share = np.array([r.weight for r in reward.bagged(rows, 0, 0).orderBy("pair_id").collect()])
+        y = label if margin is None else label * 0.8 + 0.1
+        w = np.zeros(3)
+        for _ in range(50):  # Newton's steps on the same penalised likelihood
+            p = 1 / (1 + np.exp(-phi @ w))
+            w += np.linalg.solve((phi * (share * p * (1 - p) / share.sum())[:, None]).T @ phi + 1e-4 * np.eye(3), phi.T @ (share * (y - p)) / share.sum() - 1e-4 * w)
+        assert weights == pytest.approx(w, abs=1e-3)
+
+
+def test_idle_runs_give_their_open_episode(spark):
+    folder, state, out = (scratch(spark, x) for x in ("in", "state", "out"))
+    hour = lambda i, run, step, h, done: (run, step, f"2024-01-01 {h:02d}:00:00", 1.0, done)
+    parts = [[hour(0, 0, 1, 0, True), hour(0, 0, 0, 0, False), hour(0, 1, 0, 0, False)], [hour(0, 0, 2, 9, False)], [hour(0, 0, 3, 20, True)], [hour(0, 0, 4, 21, True)]]
+    schema = "run long, step long, ts timestamp, reward double, done boolean"
+    for part in parts:
+        rows = spark.createDataFrame(part, "run long, step long, ts string, reward double, done boolean")
+        rows.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
+        stream = streams.stream_episodes(spark.readStream.schema(schema).parquet(folder), idle_ms=4 * 3_600_000)
+        stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    got = sorted((r.run, r.episode, r.reward, r.length, r.ended) for r in spark.read.parquet(out).collect())
+    assert (0, 0, 2.0, 2, True) in got and (1, 0, 1.0, 1, False) in got
+
+
+def test_sliding_meters_and_run_once(spark):
+    rows = spark.createDataFrame([("2024-01-01 00:10:00", "a", 2.0, 1), ("2024-01-01 00:50:00", "a", 4.0, 1)], "ts string, key string, value double, n int").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = sorted((str(r.start)[11:16], r.value) for r in streams.stream_meters(rows, "1 hour", "30 minutes").collect())
+    assert got == [("00:00", 3.0), ("00:30", 4.0), ("23:30", 2.0)]
+    folder = scratch(spark, "in")
+    rows.write.parquet(folder)
+    moments = streams.stream_moments(spark.readStream.schema(rows.schema).parquet(folder).select("key", "value"))
+    last = streams.run_once(moments, "moments_once", scratch(spark, "state"), "update").collect()
+    assert [(r.key, r.n, r["mean"], r.m2) for r in last] == [("a", 2, 3.0, 2.0)]
+
+
+def test_every_goal_has_its_statement(spark):
+    kinds = {(r.env, r.kind) for r in prompts.prompt_table(spark).collect()}
+    assert {e for e, k in kinds if k == "statement"} == set(prompts.GOALS)
+
+
+def test_plans_deal_runs_out(spark):
+    from segmentry.plans.registry import QUERIES
+
+    for name in ("W1_assemble_episodes", "J10_asof_version"):  # windows over rows are by chunk; those by run alone are over totals of chunks
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        by_run = [x for x in plan.splitlines() if "Window [" in x and "_chunk" not in x.split("], [")[1]]
+        assert all("_chunk" in x for x in by_run), name
+
+
 def test_episodes_do_not_depend_on_chunks(spark):
     rng = np.random.default_rng(0)
     rows = spark.createDataFrame([(int(r), int(i), bool(d)) for i, (r, d) in enumerate(zip(rng.integers(0, 3, 300), rng.random(300) < 0.2))], "run long, step long, done boolean")
