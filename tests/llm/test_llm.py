@@ -170,6 +170,10 @@ def test_licences_wrapped_inside_longer_texts(spark):
     got = {r.doc_id: r for r in licenses.scan(documents(spark, texts)).collect()}
     assert [got[i].license for i in range(len(texts))] == [*names, "mit"]
     assert all(got[i].dice == 1 for i in range(2 * len(licenses.TEMPLATES)))
+    headed = [f"{name} licence\n\nCopyright (c) 2021 Some Body\n\n{wrap(t, 12)}\n\n{fill}\n{fill}" for name, t in licenses.TEMPLATES[-3:]]
+    assert [(r.license, r.dice) for r in licenses.scan(documents(spark, headed)).orderBy("doc_id").collect()] == [("mit", 1.0), ("isc", 1.0), ("bsd", 1.0)]
+    long = [" ".join(f"w{i % 5000}" for i in range(200_000)) + "\n" + t + "\nend" for _, t in licenses.TEMPLATES[:2]]
+    assert [(r.license, r.n_units) for r in licenses.scan(documents(spark, long)).collect()] == [("apache-2.0", 1)] * 2
     both = licenses.TEMPLATES[10][1] + "\n" + fill + "\n" + wrap(licenses.TEMPLATES[6][1], 9)
     row = licenses.scan(documents(spark, [both])).first()
     assert (row.n_units, row.dice) == (2, 1) and row.license == "gpl-3.0"
