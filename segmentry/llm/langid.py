@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentry.llm.shared import pieces_of
+from segmentry.llm.shared import in_arrow, pieces_of
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
@@ -180,7 +180,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most:
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], names=["lang", "bucket", "n"])
 
-    counts = rows.mapInArrow(work, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # buckets x languages at most
+    counts = in_arrow(rows, work, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # buckets x languages at most
     languages = tuple(sorted(counts["lang"].unique()))
     table = np.full((BUCKETS, len(languages)), SMOOTHING)
     for k, lang in enumerate(languages):
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 names=["doc_id", "lang_pred", "score", "shares"],
             )
 
-    return rows.mapInArrow(work, "doc_id long, lang_pred string, score double, shares map<string,double>")
+    return in_arrow(rows, work, "doc_id long, lang_pred string, score double, shares map<string,double>")
 
 
 def learned_from(docs: DataFrame) -> LanguageModel:

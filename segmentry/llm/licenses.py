@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from segmentry.llm.shared import pieces_of, span_hashes
+from segmentry.llm.shared import in_arrow, pieces_of, span_hashes
 
 # Notices by which works state common licences.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -245,7 +245,7 @@ def scan(docs: DataFrame, percent: int = 80, templates: tuple[tuple[str, str], .
                 schema=kinds,
             )
 
-    return rows.mapInArrow(work, "doc_id long, license string, dice double, line long, n_units int")
+    return in_arrow(rows, work, "doc_id long, license string, dice double, line long, n_units int")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentry.llm.shared import HOT_ROWS, cut, hinted, met_by_key, mix64, pieces_of, scratch, shingles, spread
+from segmentry.llm.shared import HOT_ROWS, cut, hinted, in_arrow, met_by_key, mix64, pieces_of, scratch, shingles, spread
 
 K, BITS, BANDS, ROWS = 128, 4, 32, 4
 LONGS = K * BITS // 64
@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 names=["id", "rank", "n", "sid", "sig", "keys"],
             )
 
-    return docs.mapInArrow(work, "id long, rank long, n long, sid binary, sig array<long>, keys array<long>")
+    return in_arrow(docs, work, "id long, rank long, n long, sid binary, sig array<long>, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -113,7 +113,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f(s) for s in sets], pa.binary()) for f in (set_id, np.ndarray.tobytes)], names=["sid", "set"])
 
     texts = docs.select("id", "text").join(hinted(wanted.select("id").distinct(), BROADCAST_ROWS), "id", "left_semi")
-    found = texts.mapInArrow(work, "sid binary, set binary").join(hinted(wanted.select("sid"), BROADCAST_ROWS), "sid", "left_semi")
+    found = in_arrow(texts, work, "sid binary, set binary").join(hinted(wanted.select("sid"), BROADCAST_ROWS), "sid", "left_semi")
     return cut(found.dropDuplicates(["sid"]), "sets")
 
 
@@ -141,7 +141,7 @@ def _confirmed(pairs: DataFrame, stars: DataFrame, sets: DataFrame, percent: int
     members = left.join(sets.withColumnRenamed("sid", "a"), "a").select("a", "b", "set", "_salt")
     hubs = right.join(sets.withColumnRenamed("sid", "b"), "b").select(F.lit(None).cast("binary").alias("a"), "b", "set", "_salt")
     ordered = members.unionByName(hubs).repartition("b", "_salt").sortWithinPartitions("b", "_salt", F.asc_nulls_first("a"))
-    return ordered.mapInArrow(work, "a binary, b binary")
+    return in_arrow(ordered, work, "a binary, b binary")
 
 
 def likely_matrix(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segmentry.llm.shared import cut, pieces_of
+from segmentry.llm.shared import cut, in_arrow, pieces_of
 from segmentry.llm.wordbpe import encoder
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -148,7 +148,7 @@ def token_pieces(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_co
                     out.append((doc_id, k, at // 4, len(ids) // 4, ids))
             yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out), kinds)], schema=kinds)
 
-    return cut(rows.mapInArrow(work, "doc_id long, piece int, start long, length long, ids binary"), "pieces")
+    return cut(in_arrow(rows, work, "doc_id long, piece int, start long, length long, ids binary"), "pieces")
 
 
 def assign(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -182,7 +182,7 @@ def assign(pieces: DataFrame, capacity: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(work, f"{schema}, sequence_id long, offset long")
+    return in_arrow(ranked, work, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(assigned: DataFrame) -> DataFrame:

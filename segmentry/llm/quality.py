@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentry.llm.shared import mix64, pieces_of, span_hashes
+from segmentry.llm.shared import in_arrow, mix64, pieces_of, span_hashes
 
 BITS = 20
 GRADES = 3
@@ -130,7 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> OrdinalMode
             lists = np.split(feature[np.argsort(text, kind="stable")], np.cumsum(np.bincount(text, minlength=len(texts)))[:-1])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype("<i4").tobytes() for x in lists], pa.binary())], names=["grade", "features"])
 
-    found = rows.mapInArrow(work, "grade int, features binary").toArrow()  # `most` rows at most
+    found = in_arrow(rows, work, "grade int, features binary").toArrow()  # `most` rows at most
     lists = [np.frombuffer(x, "<i4") for x in found.column("features").to_pylist()]
     text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     return fit(text, np.concatenate(lists).astype(np.int64) if lists else text, np.array(found.column("grade").to_pylist(), np.int64))
@@ -146,7 +146,7 @@ def classify(docs: DataFrame, model: OrdinalModel, keep_at: float = 0.5) -> Data
             tails = held.value.tails(texts)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep_at)], names=["doc_id", "expected_grade", "p_best", "kept"])
 
-    return rows.mapInArrow(work, "doc_id long, expected_grade double, p_best double, kept boolean")
+    return in_arrow(rows, work, "doc_id long, expected_grade double, p_best double, kept boolean")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

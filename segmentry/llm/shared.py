@@ -104,6 +104,28 @@ def met_by_key(rows: DataFrame, table: DataFrame, key: str, n: str = "n", most:
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
+#: Rows of a batch that goes to Python at most. They hold whole texts, of which Spark's own 10,000 are too many for the memory of an executor.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS; a lower setting stays. It holds for what runs later, as results are lazy."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(work, schema) in bounded batches; a worker gives its unused memory back before it waits for its next task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(whole, schema)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case of its letters."""
     taken = {c.lower() for c in df.columns}
@@ -192,4 +214,5 @@ def filtered(docs: DataFrame, decide: Callable[[list[bytes]], np.ndarray], text_
             kept = [np.asarray(decide(raw), bool) for _, _, raw in text_runs(texts)]
             yield pa.array(np.concatenate(kept) if kept else np.zeros(0, bool))
 
+    bound_batches(docs.sparkSession)
     return docs.where(keeps(docs[text_col].cast("string")))

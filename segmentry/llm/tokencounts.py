@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentry.llm.shared import pieces_of
+from segmentry.llm.shared import in_arrow, pieces_of
 from segmentry.llm.wordbpe import vocabulary
 
 RULES = ("first", "last", "majority")
@@ -150,7 +150,7 @@ def count_tokens(docs: DataFrame, rule: str = "majority", tokenizer: str = "byte
                 names=["doc_id", "section", "name", "start", "end", "n_tokens"],
             )
 
-    return rows.mapInArrow(work, "doc_id long, section int, name string, start long, end long, n_tokens long")
+    return in_arrow(rows, work, "doc_id long, section int, name string, start long, end long, n_tokens long")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmentry.llm.shared import cut, new_path, pieces_of
+from segmentry.llm.shared import cut, in_arrow, new_path, pieces_of
 from segmentry.llm.wordbpe import encoder
 
 #: Fixed values of the zstandard seekable format.
@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             tokens = sum(k for _, k, _ in writer.index)
             yield pa.RecordBatch.from_pylist([{"part": context.partitionId(), "file": name, "documents": len(writer.index), "tokens": tokens}], kinds)
 
-    files = cut(ordered.mapInArrow(work, "part int, file string, documents long, tokens long"), "token-files")
+    files = cut(in_arrow(ordered, work, "part int, file string, documents long, tokens long"), "token-files")
     _remove_others(folder, {r["file"] for r in files.select("file").collect()})  # a row for each file
     return files
 
@@ -204,7 +204,7 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Data
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
 
-    return plan.repartition(max(1, len(listed))).mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
+    return in_arrow(plan.repartition(max(1, len(listed))), work, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

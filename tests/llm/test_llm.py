@@ -662,6 +662,22 @@ def test_topk_large_values():
     assert got == want
 
 
+# Batches
+
+
+def test_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for given, want in (("10000", shared.BATCH_ROWS), ("0", shared.BATCH_ROWS), ("7", 7)):
+        spark.conf.set(name, given)
+        shared.bound_batches(spark)
+        assert int(spark.conf.get(name)) == want
+    texts = spark.range(50).selectExpr("id", "cast(id as string) text").coalesce(1)
+    sizes = shared.in_arrow(texts, lambda batches: (b.slice(0, 1).select(["id"]) for b in batches), "id long")
+    assert [r.id for r in sizes.collect()] == list(range(0, 50, 7))
+    assert shared.filtered(texts, lambda raw: np.array([t == b"8" for t in raw])).count() == 1
+    spark.conf.unset(name)
+
+
 # The pipeline
 
 
