@@ -148,12 +148,13 @@ def token_pieces(docs: DataFrame, capacity: int, id_col: str = "doc_id", text_co
                     out.append((doc_id, k, at // 4, len(ids) // 4, ids))
             yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out), kinds)], schema=kinds)
 
-    return cut(in_arrow(rows, work, "doc_id long, piece int, start long, length long, ids binary"), "pieces")
+    return in_arrow(rows, work, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def assign(pieces: DataFrame, capacity: int) -> DataFrame:
-    """pieces (doc_id, piece, start, length and more, length from 1 to capacity) with sequence_id and offset."""
+    """pieces (doc_id, piece, start, length and more, length from 1 to capacity) with sequence_id and offset; they are written once, with the columns that they have."""
     spark = pieces.sparkSession
+    pieces = cut(pieces, "pieces")
     histogram = dict(tuple(r) for r in pieces.groupBy("length").count().collect())  # at most `capacity` rows
     places = slots(make_plan(histogram, capacity))
     # The pieces of one length may be a third of all: each length is dealt out by a hash of its pieces, and ranks start where the shares before end.
