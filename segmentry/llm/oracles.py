@@ -84,4 +84,42 @@ SELECT doc_id, name AS license, 2 * shared / CAST(total AS DOUBLE) AS dice, line
 FROM d LEFT JOIN best ON best.r = d.r AND best.k = 1 LEFT JOIN units ON units.r = d.r
 """
 
-SQL = {"op2_license_scan": _OP2, "op3_minhash_dedup": _OP3, "op5_decontamination": _OP5, "op9_chat_format": _OP9, "op10_exact_topk": _OP10}
+_OP11 = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS MATERIALIZED (SELECT a.id AS anchor, b.id, a.label = b.label AS own, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT anchor, id, score FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS k FROM s WHERE own) WHERE k <= 5),
+n AS (SELECT p.anchor, p.id AS positive, p.score AS positive_score, s.id, s.score, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS k
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.own AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(k AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score FROM n WHERE k <= 3
+"""
+
+_OP12 = """
+WITH RECURSIVE u AS (
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON a.label = b.label AND a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+low AS (SELECT x, least(x, min(y)) AS component FROM reach GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(coalesce(component, vec_id) = vec_id, true) AS kept
+FROM embeddings e LEFT JOIN n ON n.x = e.vec_id LEFT JOIN low ON low.x = e.vec_id
+"""
+
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM w, (VALUES (1), (2), (3)) t(k)) GROUP BY lang, k, g),
+c AS MATERIALIZED (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, k, g, a, j, array_to_string(w[1:j], ' ') AS one, array_to_string(w[j + 1:k], ' ') AS two FROM c, (VALUES (1), (2)) t(j) WHERE j < k),
+s AS (SELECT x.*, y.f AS l, z.f AS r, CAST((1000000::HUGEINT * a * a) // (y.f::HUGEINT * z.f) AS BIGINT) AS score FROM cuts x JOIN f y ON y.lang = x.lang AND y.k = x.j AND y.g = one JOIN f z ON z.lang = x.lang AND z.k = x.k - x.j AND z.g = two),
+least AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, k, g ORDER BY score, j) AS i FROM s) WHERE i = 1),
+within AS (SELECT DISTINCT t.lang, b.g FROM c t JOIN c b ON t.k = 3 AND b.k = 2 AND b.lang = t.lang AND b.g IN (array_to_string(t.w[1:2], ' '), array_to_string(t.w[2:3], ' ')) AND 100 * t.a >= 50 * b.a),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, score FROM least ANTI JOIN within USING (lang, g))
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+SQL = {"op2_license_scan": _OP2, "op3_minhash_dedup": _OP3, "op5_decontamination": _OP5, "op9_chat_format": _OP9, "op10_exact_topk": _OP10, "op11_hard_negatives": _OP11, "op12_vector_dedup": _OP12, "op13_collocations": _OP13}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from segmentry.llm import chat, decontam, langid, licenses, minhash, packing, quality, tokencounts, tokenfiles, topk
+from segmentry.llm import chat, collocations, decontam, langid, licenses, minhash, negatives, packing, quality, tokencounts, tokenfiles, topk, vectordups
 from segmentry.llm.oracles import SQL  # noqa: F401
 
 QUERIES = {
@@ -17,5 +17,8 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_chat_format": chat.op9_chat_format,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_vector_dedup": vectordups.op12_vector_dedup,
+    "op13_collocations": collocations.op13_collocations,
     "pipeline": corpus_pipeline.run,
 }

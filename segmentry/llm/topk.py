@@ -83,7 +83,7 @@ def top_k(
     def work(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(candidates) and len(queries):
-            tables = [_table(x["v"]) for x in (candidates, queries)]
+            tables = [table_of(x["v"]) for x in (candidates, queries)]
             found = list(search(candidates["id"].to_numpy(), tables[0], queries["id"].to_numpy(), tables[1], k))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
@@ -92,7 +92,7 @@ def top_k(
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _table(column: pd.Series) -> np.ndarray:
+def table_of(column: pd.Series) -> np.ndarray:
     """One array of vectors; shorter ones end in zeros."""
     width = int(column.map(len).max())
     if (column.map(len) == width).all():
