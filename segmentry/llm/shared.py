@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +175,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans of one buffer; equal bytes hash alike wherever they stand."""
+    """64-bit hashes of byte spans of one buffer; equal bytes hash alike wherever they stand. For sieves and features: as sums of powers they can be made to collide."""
     forth, back = _power_tables(len(buffer))
     sums = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum(_BYTE[buffer] * forth[: len(buffer)], out=sums[1:])
@@ -193,15 +194,28 @@ def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's word shingles; a text of fewer words is one shingle, one without words has none."""
-    buffer, starts, ends, counts = word_spans(texts)
-    out, first = [], np.concatenate(([0], np.cumsum(counts)))
-    if not len(starts):
-        return [np.zeros(0, np.uint64)] * len(texts)
-    reach = np.minimum(np.arange(len(starts)) + width - 1, np.repeat(first[1:], counts) - 1)
-    hashes = span_hashes(buffer, starts, ends[reach])
-    for a, n in zip(first.tolist(), counts.tolist()):
-        out.append(np.unique(hashes[a : a + max(n - width + 1, min(n, 1))]))
+    """Sorted distinct 64-bit hashes of each text's word shingles; a text of fewer words is one shingle, one without words has none.
+
+    Words are hashed one by one (XXH3), and a shingle by its number of words and their hashes in turn, each scrambled before the next: no sum of powers, whose
+    collisions are known in advance.
+    """
+    import xxhash
+
+    words = [t.lower().split() for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(counts.sum()))
+    out, at = [], 0
+    step = np.uint64(0x9E3779B97F4A7C15)
+    for n in counts.tolist():
+        own, size = hashed[at : at + n], min(n, width)
+        at += n
+        if not n:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        whole = np.full(n - size + 1, size, np.uint64)
+        for i in range(size):
+            whole = mix64(whole * step + own[i : i + len(whole)])
+        out.append(np.unique(whole))
     return out
 
 

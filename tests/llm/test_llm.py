@@ -261,6 +261,29 @@ def test_chain_of_components(spark):
 def test_shingle_hashes_are_the_words(spark):
     one, two, three = shingles([b"A b  c d", b"x\na B\tC", b"q"], 3)
     assert len(one) == 2 and len(two) == 2 and len(np.intersect1d(one, two)) == 1 and len(three) == 1
+    assert len(set(map(int, np.concatenate(shingles([b"a b", b"b a", b"a", b"b", b"ab", b"a b a", b"", b"a a", b"a a a"], 3))))) == 8
+
+
+def hostile(n):
+    """Two different words whose sums of powers of any odd base agree modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hostile_words_are_no_duplicates(spark):
+    for size in (512, 4096):
+        x, y = hostile(size)
+        texts = [x, y, f"{x} {y}", f"{y} {x}", f"one {x} two three four", f"one {y} two three four", f"{x} p {y} q {x}", x, f"a b c {x} d {y} e", f"a b c {y} d {x} e"]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, texts), words=3, percent=85).collect()}
+        assert got == {i: (len(s := plain_shingles(t, 3)), next(j for j, u in enumerate(texts) if plain_shingles(u, 3) == s)) for i, t in enumerate(texts)}
+    rows = documents(spark, [f"{x} b c d e f", f"{y} b c d e f", f"{x} b c d e f"])
+    kept = corpus_pipeline.unique(spark, rows, "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 1]
+
+
+def plain_shingles(text, width):
+    words = text.lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
 # 4 quality
@@ -486,8 +509,15 @@ def test_token_files_round_trip(spark, odd, empty):
     files = tokenfiles.write_token_files(odd, folder)
     got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in tokenfiles.read_token_files(spark, folder, files).collect()]
     assert sorted(got, key=lambda r: r[1]) == want
-    again = tokenfiles.write_token_files(odd, folder)  # what the first run left isn't listed, and goes
-    assert len(list(Path(folder.removeprefix("file://")).iterdir())) == again.count() < files.count() + again.count()
+    there = Path(folder.removeprefix("file://"))
+    (there / "precious.txt").write_text("kept")
+    again = tokenfiles.write_token_files(odd, folder)  # the first run's files and what else is there stay
+    assert {p.name for p in there.iterdir()} == {"precious.txt"} | {r.file for r in files.union(again).collect()}
+    run = again.first()["file"].rsplit("-", 2)[0]
+    (there / f"{run}-000000-lost.zst").write_text("of an attempt that failed")
+    tokenfiles._remove_attempts(folder, run, {r.file for r in again.collect()})
+    assert {p.name for p in there.iterdir()} == {"precious.txt"} | {r.file for r in files.union(again).collect()}
+    assert tokenfiles.read_token_files(spark, folder, files).count() == len(want)
     repeated = spark.range(3000).selectExpr("cast(null as long) doc_id", "'the same text' text").repartition(6)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     many = tokenfiles.write_token_files(repeated, new_path(spark, "tokens")).collect()
@@ -496,6 +526,23 @@ def test_token_files_round_trip(spark, odd, empty):
     assert tokenfiles.read_token_files(spark, "file:///none", tokenfiles.write_token_files(empty, new_path(spark, "tokens"))).count() == 0
 
 
+def test_token_file_of_many_small_frames_reads_in_linear_time(monkeypatch):
+    import io
+    import time
+
+    monkeypatch.setattr(tokenfiles, "FRAME_BYTES", 8)
+    out = io.BytesIO()
+    writer = tokenfiles.TokenFileWriter(out, 2)
+    for i in range(80_000):
+        writer.add(i, np.array([i % 1000, 1], np.uint32))
+    writer.close()
+    file = tokenfiles.TokenFile(out, out.tell())
+    began = time.process_time()
+    assert len(file.frames) == 40_000 and [int(ids[0]) for _, ids in file.documents()] == [i % 1000 for i in range(80_000)]
+    assert time.process_time() - began < 4
+    assert [(p, ids.tolist()) for p, ids in file.documents([5, 79_999, 4])] == [(4, [4, 1]), (5, [5, 1]), (79_999, [999, 1])]
+
+
 def test_token_file_reads_only_the_frames_asked_for():
     import io
 
