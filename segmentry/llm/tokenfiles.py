@@ -10,7 +10,8 @@ A file holds documents in ascending id order:
 
 Any zstandard tool decompresses the whole file; `TokenFile` fetches the seek table and the index from the
 end and then only the frames that hold the documents asked for. Writers are Spark tasks, one file each, under a name of the attempt's own that the
-result lists: an attempt that fails, or loses to another, touches no file but its own, and what it leaves is removed when the job has ended.
+result lists: an attempt that fails, or loses to another, touches no file but its own, and what it leaves is removed when the job has ended. Names bear the run's own token:
+what else lies in the folder stays, files of earlier runs included.
 
 Null and empty texts give the end id alone. Documents without an id come first and keep a null id. Rows that
 repeat an id stay apart, in the order of a hash of their texts, and may be spread over files. Columns besides id and text are ignored.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,10 +55,14 @@ class TokenFileWriter:
         self.frames: list[tuple[int, int, int]] = []
         self.waiting: list[bytes] = []
         self.held = 0
-        self.index: list[tuple[int | None, int, int]] = []
+        self.ids, self.tokens, self.frame_of = array("q"), array("q"), array("q")
+        self.valid = bytearray()
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.index.append((doc_id, len(ids), len(self.frames)))
+        self.ids.append(doc_id or 0)
+        self.valid.append(doc_id is not None)
+        self.tokens.append(len(ids))
+        self.frame_of.append(len(self.frames))
         self.waiting.append(ids.astype(f"<u{self.width}").tobytes())
         self.held += len(self.waiting[-1])
         if self.held >= FRAME_BYTES:
@@ -74,13 +80,8 @@ class TokenFileWriter:
     def close(self) -> None:
         if self.waiting:
             self._frame()
-        n = len(self.index)
-        columns = (
-            np.array([d or 0 for d, _, _ in self.index], "<i8"),
-            np.array([d is not None for d, _, _ in self.index], "u1"),
-            np.array([k for _, k, _ in self.index], "<u4"),
-            np.array([f for _, _, f in self.index], "<u4"),
-        )
+        n = len(self.ids)
+        columns = (np.array(self.ids, "<i8"), np.frombuffer(bytes(self.valid), "u1"), np.array(self.tokens, "<u4"), np.array(self.frame_of, "<u4"))
         index = self.compress(struct.pack("<QB", n, self.width) + b"".join(c.tobytes() for c in columns))
         self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(index)) + index)
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), CHECKSUMS, SEEK_MAGIC)
@@ -126,10 +127,11 @@ class TokenFile:
     def documents(self, places: list[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
         """(place, ids) of the documents at these places in the file, or of all; frames without any are not read."""
         wanted = np.arange(len(self.tokens)) if places is None else np.array(sorted(places), np.int64)
-        for k in np.unique(self.frame_of[wanted]).tolist():
-            ids, first = self.frame(k), int(np.searchsorted(self.frame_of, k))
-            ends = np.cumsum(self.tokens[self.frame_of == k])
-            for place in wanted[self.frame_of[wanted] == k].tolist():
+        frames, begin = np.unique(self.frame_of[wanted], return_index=True)  # frames ascend with the places
+        edges = np.searchsorted(self.frame_of, [frames, frames + np.uint32(1)]).tolist()
+        for k, first, last, a, b in zip(frames.tolist(), *edges, begin.tolist(), [*begin[1:].tolist(), len(wanted)]):
+            ids, ends = self.frame(k), np.cumsum(self.tokens[first:last], dtype=np.int64)
+            for place in wanted[a:b].tolist():
                 end = int(ends[place - first])
                 yield place, ids[end - int(self.tokens[place]) : end]
 
@@ -142,6 +144,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     keys = ["id", "hash", "source"]
     ordered = rows.withColumn("hash", F.xxhash64("text")).withColumn("source", F.spark_partition_id()).repartitionByRange(*keys).sortWithinPartitions(*keys, "text").select("id", "text")
+    run = f"tokens-{uuid.uuid4().hex}"
     kinds = pa.schema([("part", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +155,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             if out is None:
                 context, (system, at) = TaskContext.get(), opened(folder)
                 system.create_dir(at, recursive=True)
-                name = f"tokens-{context.partitionId():06d}-{uuid.uuid4().hex}.zst"
+                name = f"{run}-{context.partitionId():06d}-{uuid.uuid4().hex}.zst"
                 enc = encoder(tokenizer)
                 out = system.open_output_stream(f"{at}/{name}", compression=None)  # else the name would have it compress once more
                 writer = TokenFileWriter(out, 2 if enc.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4)
@@ -161,22 +164,21 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         if out is not None:
             writer.close()
             out.close()
-            tokens = sum(k for _, k, _ in writer.index)
-            yield pa.RecordBatch.from_pylist([{"part": context.partitionId(), "file": name, "documents": len(writer.index), "tokens": tokens}], kinds)
+            yield pa.RecordBatch.from_pylist([{"part": context.partitionId(), "file": name, "documents": len(writer.ids), "tokens": sum(writer.tokens)}], kinds)
 
     files = cut(in_arrow(ordered, work, "part int, file string, documents long, tokens long"), "token-files")
-    _remove_others(folder, {r["file"] for r in files.select("file").collect()})  # a row for each file
+    _remove_attempts(folder, run, {r["file"] for r in files.select("file").collect()})  # a row for each file
     return files
 
 
-def _remove_others(folder: str, listed: set[str]) -> None:
-    """Delete the files of attempts that the job didn't take."""
+def _remove_attempts(folder: str, run: str, listed: set[str]) -> None:
+    """Delete what attempts of this run left that the job didn't take; files of other runs, and of others, bear other names."""
     from pyarrow import fs
 
     system, at = opened(folder)
     if system.get_file_info(at).type == fs.FileType.Directory:
         for found in system.get_file_info(fs.FileSelector(at)):
-            if found.is_file and found.base_name not in listed:
+            if found.is_file and found.base_name.startswith(f"{run}-") and found.base_name not in listed:
                 system.delete_file(found.path)
 
 
