@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmentry.sources.shared import sized
+from segmentry.operators.trajectory import numbered
+from segmentry.sources.shared import sized, written
 
 
 def episode_summary(steps: DataFrame, run: str = "run") -> DataFrame:
@@ -118,24 +117,68 @@ def normalised_performance(steps: DataFrame, best: Column, value: str = "perform
     return steps.withColumn("_start", start).withColumn("normalised", F.try_divide(F.col(value) - F.col("_start"), best - F.col("_start"))).drop("_start")
 
 
-def ema_normalise(steps: DataFrame, alpha: float, value: str = "value", order: str = "step", run: str = "run") -> DataFrame:
-    """(run, order, value, normalised): value less a moving mean over a moving deviation; each step moves the mean, then the variance.
+#: Rows of a chunk of a scan at most, and the powers of ten over which the weights inside a chunk may range.
+SCAN_ROWS, SCAN_POWERS = 10_000, 60
 
-    The state runs along a run, so that a run is one task; rows stream through it in constant memory.
-    """
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, mean, var = None, 0.0, 1.0
-        for batch in batches:
-            out = np.empty(len(batch))
-            for i, (key, x) in enumerate(zip(batch[run].to_numpy(), batch[value].to_numpy())):
-                if key != current:
-                    current, mean, var = key, 0.0, 1.0
-                mean += alpha * (x - mean)
-                var = (1 - alpha) * var + alpha * (x - mean) ** 2
-                out[i] = (x - mean) / (var**0.5 + 1e-8)
-            yield batch.assign(normalised=out)
-
-    kinds = {f.name: f.dataType.simpleString() for f in steps.schema}
-    rows = steps.select(run, order, F.col(value).cast("double").alias(value)).repartition(run).sortWithinPartitions(run, order)
-    return rows.mapInPandas(work, f"`{run}` {kinds[run]}, `{order}` {kinds[order]}, `{value}` double, normalised double")
+def affine_scan(rows: DataFrame, keys: list[str], place: str, add: Column, factor: float, name: str, longest: int, most: int = SCAN_ROWS) -> DataFrame:
+    """rows with `name`: y[i] = factor * y[i - 1] + add[i], from 0 before place 0; places number the rows of a key from 0, factor is from 0 to 1, longest is the largest place.
+
+    Affine maps compose, so a chunk of rows is one map, whose offset is a plain weighted sum; the value before a chunk comes from the maps of those before it, by the same scan over
+    chunks, or, where the factor of a chunk is next to nothing, from the last few. A task holds a chunk of a key, whatever the key's length.
+    """
+    if factor == 0:
+        return rows.withColumn(name, add)
+    held = most if factor == 1 else max(1, min(most, int(SCAN_POWERS / -math.log10(factor))))
+    inside = F.col(place) % held
+    local = rows.withColumn("_add", add).withColumn("_chunk", F.floor(F.col(place) / held)).withColumn("_inside", inside)
+    so_far = Window.partitionBy(*keys, "_chunk").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda n: F.pow(F.lit(float(factor)), n)
+    out = local.withColumn(name, power(F.col("_inside")) * F.sum(F.col("_add") * power(-F.col("_inside"))).over(so_far))
+    if longest >= held:
+        ends = local.groupBy(*keys, "_chunk").agg(F.sum(F.col("_add") * power(held - 1 - F.col("_inside"))).alias("_end"))
+        whole = factor**held
+        if whole < 1e-20:  # after so many chunks nothing is left of a number in doubles
+            reach = math.ceil(330 / -math.log10(whole))
+            terms = F.explode(F.array(*(F.struct((F.col("_chunk") + k).alias("at"), (F.col("_end") * whole ** (k - 1)).alias("term")) for k in range(1, reach + 1))))
+            before = ends.select(*keys, terms.alias("_t")).groupBy(*keys, F.col("_t.at").alias("_chunk")).agg(F.sum("_t.term").alias("_before"))
+        else:
+            scanned = _chunks_scanned(ends, keys, whole, longest // held, most)
+            before = scanned.select(*keys, (F.col("_chunk") + 1).alias("_chunk"), "_before")
+        out = out.join(before, [*keys, "_chunk"], "left").withColumn(name, F.col(name) + power(F.col("_inside") + 1) * F.coalesce("_before", F.lit(0.0))).drop("_before")
+    return out.drop("_add", "_chunk", "_inside")
+
+
+def _chunks_scanned(ends: DataFrame, keys: list[str], factor: float, longest: int, most: int) -> DataFrame:
+    rows = ends.select(*keys, F.col("_chunk").alias("_place"), F.col("_end").alias("_offset"))
+    return affine_scan(rows, keys, "_place", F.col("_offset"), factor, "_carried", longest, most).select(*keys, F.col("_place").alias("_chunk"), F.col("_carried").alias("_before"))
+
+
+def ema_normalise(steps: DataFrame, alpha: float, value: str = "value", order: str = "step", run: str = "run", centred: bool = True, most: int = SCAN_ROWS) -> DataFrame:
+    """(run, order, value, normalised): value less a moving mean, over a moving deviation; each step moves the mean, then the variance.
+
+    Observations are centred; rewards (centred false) are only divided by the deviation. A value may be an array, each of whose dimensions is normalised by itself.
+    The mean starts at 0, the variance at 1. Both are affine scans, the variance's once the means are known. A value that is null, empty or holds a null has a null
+    result and moves nothing; a dimension that shorter vectors lack goes on from the row before.
+    """
+    vector = steps.schema[value].dataType.typeName() == "array"
+    rows = steps.select(run, order, F.col(value).cast("array<double>" if vector else "double").alias("_value"))
+    usable = F.col("_value").isNotNull()
+    if vector:
+        usable = usable & (F.size("_value") > 0) & F.forall("_value", lambda x: x.isNotNull())
+    known = written(numbered(rows.where(usable), run, order, "_at"), "ema")
+    longest = known.agg(F.max("_at")).first()[0] or 0
+    each = known.select(run, order, "_at", F.posexplode("_value").alias("_dim", "_x")) if vector else known.select(run, order, "_at", F.lit(0).alias("_dim"), F.col("_value").alias("_x"))
+    keys, keep = [run, "_dim"], 1 - alpha
+    scan = lambda rows, add, name: affine_scan(rows, keys, "_at", add, keep, name, longest, most)
+    means = scan(each, alpha * F.col("_x"), "_mean")
+    spread = scan(means, alpha * F.pow(F.col("_x") - F.col("_mean"), 2), "_var").withColumn("_var", F.col("_var") + F.pow(F.lit(keep), F.col("_at") + 1))
+    top = F.col("_x") - F.col("_mean") if centred else F.col("_x")
+    out = spread.select(run, order, "_dim", "_x", (top / (F.sqrt("_var") + 1e-8)).alias("_y"))
+    if vector:
+        pairs = F.sort_array(F.collect_list(F.struct("_dim", "_x", "_y")))
+        out = out.groupBy(run, order).agg(pairs.alias("_p")).select(run, order, F.col("_p._x").alias(value), F.col("_p._y").alias("normalised"))
+    else:
+        out = out.select(run, order, F.col("_x").alias(value), F.col("_y").alias("normalised"))
+    nothing = rows.where(~usable).select(run, order, F.col("_value").alias(value), F.lit(None).cast(out.schema["normalised"].dataType).alias("normalised"))
+    return out.unionByName(nothing)

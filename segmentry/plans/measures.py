@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from segmentry.operators import metrics as M
 from segmentry.operators import particles as PT
+from segmentry.operators import trajectory as T
 from segmentry.plans import views as V
 from segmentry.plans.views import EMB, HORIZONS, PARTS, STEPS, query
 from segmentry.sources.shared import sized
@@ -118,12 +119,37 @@ r AS (SELECT run, i, x, 0.1 * x AS m, 0.9 + 0.1 * pow(x - 0.1 * x, 2) AS s FROM
 SELECT run, i AS step, round((x - m) / (sqrt(s) + 1e-8), 5) AS normalised FROM r"""
 
 
-@query("W10_ema_normaliser", EMA_SQL)
+def _ema_rows(spark, d):
+    k = F.get_json_object("props", "$.k").cast("double")
+    rows = T.numbered(V.table(spark, d, "events").select(F.col("user_id").alias("run"), "event_id", "value", k.alias("k")), "run", "event_id", "step")
+    return rows.withColumn("step", F.col("step").cast("long") + 1)
+
+
+def _ema(value: str, top: str, last: str = "") -> str:
+    """SQL of one dimension, step by step along each run."""
+    return f"""v{last} AS MATERIALIZED (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, {value} AS x FROM events),
+r{last} AS (SELECT run, i, x, 0.1 * x AS m, 0.9 + 0.1 * pow(x - 0.1 * x, 2) AS s FROM v{last} WHERE i = 1
+  UNION ALL SELECT v.run, v.i, v.x, r.m + 0.1 * (v.x - r.m), 0.9 * r.s + 0.1 * pow(v.x - (r.m + 0.1 * (v.x - r.m)), 2) FROM r{last} r JOIN v{last} v ON v.run = r.run AND v.i = r.i + 1),
+n{last} AS (SELECT run, i AS step, round({top} / (sqrt(s) + 1e-8), 5) AS normalised FROM r{last})"""
+
+
+EMA_K = "CAST(json_extract_string(props, '$.k') AS DOUBLE)"
+
+
+@query("W10_ema_rewards", f"WITH RECURSIVE {_ema('value', 'x')} SELECT * FROM n")
 def _(spark, d):
-    from pyspark.sql import Window
+    return M.ema_normalise(_ema_rows(spark, d), 0.1, centred=False).select("run", "step", F.round("normalised", 5).alias("normalised"))
 
-    rows = V.table(spark, d, "events").select(F.col("user_id").alias("run"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("step"), "value")
-    return M.ema_normalise(rows, 0.1).select("run", "step", F.round("normalised", 5).alias("normalised"))
+
+@query("W10_ema_vectors", f"WITH RECURSIVE {_ema('value', '(x - m)', '1')}, {_ema(EMA_K, '(x - m)', '2')} SELECT run, step, n1.normalised AS first, n2.normalised AS second FROM n1 JOIN n2 USING (run, step)")
+def _(spark, d):
+    rows = M.ema_normalise(_ema_rows(spark, d).withColumn("value", F.array("value", "k")), 0.1)
+    return rows.select("run", "step", F.round(F.col("normalised")[0], 5).alias("first"), F.round(F.col("normalised")[1], 5).alias("second"))
+
+
+@query("W10_ema_normaliser", EMA_SQL)
+def _(spark, d):
+    return M.ema_normalise(_ema_rows(spark, d), 0.1).select("run", "step", F.round("normalised", 5).alias("normalised"))
 
 
 @query("T3_session_windows", """WITH s AS (SELECT user_id AS run, event_id, ts, round(value * 100) AS reward, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from segmentry.functions import draws
@@ -215,14 +216,14 @@ def _(spark, d):
     return twice.select("id", "frame.h", "frame.w", F.hex("frame.data").alias("pixels"))
 
 
-def _streamed(spark, rows, build, mode: str = "append", files: int = 4):
-    """What a stream over rows wrote: they come to its folder in parts, in order of `order`, and the query resumes after each part."""
+def _streamed(spark, rows, build, mode: str = "append", files: int = 4, last=None):
+    """What a stream over rows wrote: they come to its folder in parts, in order of `order`, and the query resumes after each part; the rows of `last` come after all others."""
     source, out, state = (V.scratch(spark, f"stream-{x}") for x in ("in", "out", "state"))
     low, high = rows.agg(F.min("order"), F.max("order")).first()
     part = F.floor((F.col("order") - low) * files / (high - low + 1))
     append = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
-    for i in range(files):
-        rows.where(part == i).write.mode("append").parquet(source)
+    for some in [*(rows.where(part == i) for i in range(files)), *([last] if last is not None else [])]:
+        some.write.mode("append").parquet(source)
         stream = build(spark.readStream.schema(rows.schema).parquet(source).drop("order"))
         writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
         begun = writer.format("parquet").start(out) if mode == "append" else writer.outputMode(mode).foreachBatch(append).start()
@@ -230,10 +231,20 @@ def _streamed(spark, rows, build, mode: str = "append", files: int = 4):
     return spark.read.parquet(out)
 
 
-@query("T1_stream_episodes", f"WITH {STEPS}, e AS (SELECT run, episode, sum(reward) AS reward, count(*) AS length, bool_or(done) AS ended FROM steps GROUP BY run, episode) SELECT run, episode, reward, length FROM e WHERE ended")
+#: Days over which steps come late in T1's stream.
+LATE_DAYS = 5
+
+
+@query("T1_stream_episodes", f"WITH {STEPS}, e AS (SELECT run, episode, sum(reward) AS reward, count(*) AS length, bool_or(done) AS ended FROM steps GROUP BY run, episode) SELECT run, episode, reward, length, ended FROM e")
 def _(spark, d):
-    rows = V.raw_steps(spark, d).select("run", "step", F.col("ts").cast("timestamp").alias("ts"), "reward", "done", F.col("step").alias("order"))
-    return _streamed(spark, rows, lambda s: streams.stream_episodes(s, idle_ms=90 * 86_400_000)).where("ended").select("run", "episode", "reward", "length")
+    """Steps come in any order, up to five days late, over eight batches; a row of no run, years ahead, moves the watermark past the last of them."""
+    rows = V.raw_steps(spark, d).select("run", "step", F.col("ts").cast("timestamp").alias("ts"), "reward", "done")
+    late = draws.uniform("late", F.col("step")) * LATE_DAYS * 86_400_000
+    rows = rows.withColumn("order", F.unix_millis("ts") + late.cast("long"))
+    beat = rows.agg((F.max("ts") + F.expr("INTERVAL 3 YEARS")).alias("ts")).select(F.lit(-1).cast("long").alias("run"), F.lit(0).cast("long").alias("step"), "ts", F.lit(0.0).alias("reward"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("order"))
+    with streams.keyed_state(spark):
+        found = _streamed(spark, rows, lambda s: streams.stream_episodes(s, f"{LATE_DAYS} days 1 hour", 400 * 86_400_000), files=8, last=beat)
+    return found.where("run >= 0").select("run", "episode", "reward", "length", "ended")
 
 
 @query("T2_stream_meters", """WITH w AS (SELECT to_timestamp(floor(epoch(ts) / 21600) * 21600) AS start, event_type AS key, round(value * 100) AS value, max(ts) OVER () AS newest FROM events)
@@ -251,6 +262,44 @@ def _(spark, d):
     return _streamed(spark, rows.unionByName(rows), streams.stream_labels).select("pair_id", "label")
 
 
+class Crash(Exception):
+    pass
+
+
+@query("T4_exactly_once_labels", f"WITH {REPLIES}, {CLEAN}, p AS (SELECT pair_id, {PREFER} AS label FROM cl WHERE pair_id % 5 <> 0) SELECT pair_id, label FROM p WHERE label <> -1")
+def _(spark, d):
+    """Labels in a store, over a driver that dies in each batch twice: once before the batch is in the ledger, and once after it, before the stream knows."""
+    rows = reply_rows(spark, d).select("pair_id", F.timestamp_seconds(F.col("pair_id")).alias("ts"), "reply", (F.col("pair_id") % 5 != 0).alias("useful"))
+    source, state, folder = (V.scratch(spark, f"labels-{x}") for x in ("in", "state", "store"))
+    store = streams.LabelStore(spark, folder, "pair_id long, ts timestamp, label int")
+    rows.repartition(4).write.parquet(source)
+    tries: dict[int, int] = {}
+    deaths: list[int] = []
+
+    def sink(batch_rows, batch: int) -> None:
+        tries[batch] = tries.get(batch, 0) + 1
+
+        def crash(at: int) -> None:
+            if tries[batch] == at:
+                deaths.append(batch)
+                raise Crash
+
+        store.append(batch_rows, batch, lambda: crash(1))
+        crash(2)
+
+    while True:
+        before = len(deaths)
+        stream = streams.stream_labels(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source))
+        begun = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink).start()
+        try:
+            begun.awaitTermination()
+            break
+        except StreamingQueryException:
+            if len(deaths) == before:  # of something else
+                raise
+    return store.read().select("pair_id", "label")
+
+
 @query("T5_stream_moments", "SELECT event_type AS key, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS var FROM events GROUP BY event_type")
 def _(spark, d):
     rows = V.table(spark, d, "events").select(F.col("event_type").alias("key"), "value", F.col("event_id").alias("order"))

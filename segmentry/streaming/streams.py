@@ -5,51 +5,104 @@ Each takes a streaming DataFrame and gives one; on a batch DataFrame, where note
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from segmentry.functions.replies import parse_preference
 
 EPISODE = "run long, episode long, reward double, length long, ended boolean"
 
 
-def stream_episodes(steps: DataFrame, watermark: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
-    """(run, episode, reward, length, ended) as episodes close; steps are (run, step, ts, reward, done).
-
-    The state of a run is its open episode: number, sum, length. A run idle for so long past the watermark gives its open
-    episode with ended false. Within a batch a run's steps are taken in order of step, of which a task holds three numbers each: what a batch
-    brings is bounded by the source's options (maxFilesPerTrigger and the like). A step that comes in a later batch than steps after it joins the episode open then.
-    """
-
-    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        episode, total, length = state.get if state.exists else (0, 0.0, 0)
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """For the start of queries whose state is a processor's: the session's state store is RocksDB inside, and what it was afterwards. A query keeps what it was started with."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Episodes(StatefulProcessor):
+    """Of a run: its steps past the watermark, which wait, and the open episode of those before it."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "step long, at long, reward double, done boolean")
+        self.open = handle.getValueState("open", "episode long, reward double, length long, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            batch = batch[batch["ts"].notna()]
+            if not len(batch):
+                continue
+            at = batch["ts"].astype("datetime64[ms]").astype("int64")
+            self.waiting.appendList(list(zip(batch["step"].tolist(), at.tolist(), batch["reward"].fillna(0.0).astype(float).tolist(), batch["done"].fillna(False).astype(bool).tolist())))
+            first = int(at.min()) if first is None else min(first, int(at.min()))
+        if first is not None:
+            self.handle.registerTimer(first)
+        yield _episodes([])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = list(self.waiting.get())
+        episode, total, length, last = self.open.get() if self.open.exists() else (0, 0.0, 0, None)
         out = []
-        if state.hasTimedOut:
-            state.remove()
-            if length:
-                yield pd.DataFrame([(key[0], episode, total, length, False)], columns=["run", "episode", "reward", "length", "ended"])
-            return
-        parts, newest = [], 0
-        for batch in batches:
-            parts.append([batch[c].to_numpy() for c in ("step", "reward", "done")])
-            newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
-        step, reward, done = (np.concatenate(c) for c in zip(*parts))
-        for i in np.argsort(step, kind="stable").tolist():
-            total, length = total + float(reward[i]), length + 1
-            if done[i]:
+        for step, at, reward, done in sorted(w for w in waiting if w[1] <= now):
+            total, length, last = total + reward, length + 1, at if last is None else max(last, at)
+            if done:
                 out.append((key[0], episode, total, length, True))
                 episode, total, length = episode + 1, 0.0, 0
-        state.update((int(episode), float(total), int(length)))
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=["run", "episode", "reward", "length", "ended"])
+        left = [w for w in waiting if w[1] > now]
+        if len(left) < len(waiting):
+            if left:
+                self.waiting.put(left)
+            else:
+                self.waiting.clear()
+        if left:
+            self.handle.registerTimer(min(w[1] for w in left))
+        elif last is not None and last + self.idle_ms <= now:
+            if length:
+                out.append((key[0], episode, total, length, False))
+            self.open.clear()
+            yield _episodes(out)
+            return
+        elif last is not None:
+            self.handle.registerTimer(last + self.idle_ms)
+        if last is not None:
+            self.open.update((int(episode), float(total), int(length), int(last)))
+        yield _episodes(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _episodes(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["run", "episode", "reward", "length", "ended"])
 
-    rows = steps.withWatermark("ts", watermark).groupBy("run")
-    return rows.applyInPandasWithState(work, EPISODE, "episode long, reward double, length long", "append", GroupStateTimeout.EventTimeTimeout)
+
+def stream_episodes(steps: DataFrame, watermark: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+    """(run, episode, reward, length, ended) as episodes close; steps are (run, step, ts, reward, done).
+
+    A step waits in the run's state until the watermark has reached its time, and steps then join their episodes in order of step: those that come in any order, over
+    any batches, give the same episodes as long as none is later than the watermark allows (such steps are dropped, as by any operator with a watermark). Times must
+    not fall as steps rise. A run idle for so long past its last step gives its open episode with ended false, and counts from episode 0 if it goes on. State and memory of a
+    run are the steps between the watermark and now. A null reward is 0, a null done false; a step without a time is dropped. Start the query inside `keyed_state`.
+    """
+    rows = steps.withWatermark("ts", watermark).select("run", "step", "ts", "reward", "done")
+    return rows.groupBy("run").transformWithStateInPandas(Episodes(idle_ms), EPISODE, "Append", "EventTime")
 
 
 def stream_meters(metrics: DataFrame, window: str = "1 hour", slide: str | None = None, watermark: str = "10 minutes") -> DataFrame:
@@ -72,22 +125,70 @@ def stream_labels(replies: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return rows.select("pair_id", "ts", "useful", parse_preference(F.col("reply")).alias("label")).where("useful and label <> -1").drop("useful")
 
 
+class LabelStore:
+    """Labels in a folder that driver and executors share, each batch of a stream exactly once.
+
+    A batch is written into a folder of its own and attempt, and counts when the ledger has a row for it. The ledger is a folder of one small file a batch, whose name is the batch's
+    number; the file is put under its name at the end, by one rename, and says which attempt's rows are the batch's. A batch that runs again finds its row there and adds
+    nothing; one that died before leaves an attempt that nothing refers to. Numbers are those of one stream and its checkpoint: another stream needs another `stream`.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, stream: str = "labels"):
+        self.spark, self.folder, self.schema, self.stream = spark, folder.rstrip("/"), schema, stream
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.folder, self.stream, *parts)))
+
+    def _system(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def ledger(self) -> dict[int, str]:
+        """The attempt that counts, by batch."""
+        system, at = self._system(), self._path("ledger")
+        if not system.exists(at):
+            return {}
+        names = sorted((f.getPath().getName() for f in system.listStatus(at)), reverse=True)
+        return {int(batch): attempt for batch, attempt in (n.split("=") for n in names)}  # of two attempts at once, the lesser name
+
+    def append(self, rows: DataFrame, batch: int, before_commit: Callable[[], None] = lambda: None) -> bool:
+        """Add a batch, unless the ledger has it; whether it was added. before_commit runs between the rows and the ledger, for tests."""
+        if batch in self.ledger():
+            rows.write.format("noop").mode("overwrite").save()  # the states of the stream's operators are of this batch too
+            return False
+        attempt = uuid.uuid4().hex
+        rows.write.parquet(self._path("batches", attempt).toString())
+        before_commit()
+        system = self._system()
+        system.mkdirs(self._path("pending"))
+        system.mkdirs(self._path("ledger"))
+        waiting = self._path("pending", attempt)
+        system.create(waiting).close()
+        return bool(system.rename(waiting, self._path("ledger", f"{batch}={attempt}")))
+
+    def sink(self, rows: DataFrame, batch: int) -> None:
+        """For writeStream.foreachBatch."""
+        self.append(rows, batch)
+
+    def read(self) -> DataFrame:
+        paths = [self._path("batches", attempt).toString() for attempt in self.ledger().values()]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def clean(self) -> None:
+        """Remove attempts that no batch refers to; only while no stream writes."""
+        system, known = self._system(), set(self.ledger().values())
+        if system.exists(self._path("batches")):
+            for found in system.listStatus(self._path("batches")):
+                if found.getPath().getName() not in known:
+                    system.delete(found.getPath(), True)
+
+
 def stream_moments(values: DataFrame) -> DataFrame:
-    """(key, n, mean, m2) of (key, value) after each batch, carried across batches by Chan's rule."""
-
-    def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
-        for batch in batches:
-            x = batch["value"].to_numpy(float)
-            if len(x):
-                d, total = x.mean() - mean, n + len(x)
-                m2 += ((x - x.mean()) ** 2).sum() + d * d * n * len(x) / total
-                mean, n = mean + d * len(x) / total, total
-        state.update((int(n), float(mean), float(m2)))
-        yield pd.DataFrame({"key": [key[0]], "n": [n], "mean": [mean], "m2": [m2]})
-
-    kind = values.schema["key"].dataType.simpleString()
-    return values.groupBy("key").applyInPandasWithState(work, f"key {kind}, n long, mean double, m2 double", "n long, mean double, m2 double", "update", GroupStateTimeout.NoTimeout)
+    """(key, n, mean, m2) of (key, value) after each batch in update mode; null values don't count. Also for batches.
+
+    Spark's own moments are sums that merge: a task sends one row a key, whatever a key's rows, and the state holds one.
+    """
+    of = values.groupBy("key").agg(F.count("value").alias("n"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop("value") * F.count("value"), F.lit(0.0)).alias("m2"))
+    return of.select("key", "n", "mean", "m2")
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -148,7 +148,9 @@ def test_idle_runs_give_their_open_episode(spark):
         rows = spark.createDataFrame(part, "run long, step long, ts string, reward double, done boolean")
         rows.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
         stream = streams.stream_episodes(spark.readStream.schema(schema).parquet(folder), idle_ms=4 * 3_600_000)
-        stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+        with streams.keyed_state(spark):
+            begun = stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        begun.awaitTermination()
     got = sorted((r.run, r.episode, r.reward, r.length, r.ended) for r in spark.read.parquet(out).collect())
     assert (0, 0, 2.0, 2, True) in got and (1, 0, 1.0, 1, False) in got
 
@@ -281,3 +283,107 @@ def test_budget_runs_over_chunks_and_moments_keep_no_batches(spark):
     mean = (50 + x.sum()) / 1010
     var = (10 * (2 + (5 - mean) ** 2) + ((x - mean) ** 2).sum()) / 1010
     assert tuple(moments.first()) == pytest.approx((1010, mean, var))
+
+
+def plain_ema(x, alpha, centred=True):
+    mean, var, out = 0.0, 1.0, []
+    for v in x:
+        mean = (1 - alpha) * mean + alpha * v
+        var = (1 - alpha) * var + alpha * (v - mean) ** 2
+        out.append(((v - mean) if centred else v) / (var**0.5 + 1e-8))
+    return out
+
+
+@pytest.mark.parametrize("alpha, most", [(0.001, 7), (0.001, 10_000), (0.3, 10_000), (0.9, 10_000), (1.0, 5), (0.02, 50), (1e-9, 20)])
+def test_ema_as_a_scan_is_step_by_step(spark, alpha, most):
+    """Runs over many chunks, over chunks of chunks, with weights that vanish inside a chunk and with such that don't."""
+    rng = np.random.default_rng(3)
+    runs = {0: rng.normal(50, 3, 1500), 1: np.concatenate((rng.normal(-1e6, 1, 400), np.zeros(500), [1e-3])), 2: [4.0], 3: np.full(90, 2.0)}
+    rows = spark.createDataFrame([(r, 3 * i + 5, float(v)) for r, x in runs.items() for i, v in enumerate(x)] + [(3, 6, None), (4, 0, None)], "run long, step long, value double").repartition(5)
+    for centred in (True, False):
+        got = metrics.ema_normalise(rows, alpha, centred=centred, most=most).collect()
+        assert {(r.run, r.step) for r in got if r.normalised is None} == {(3, 6), (4, 0)} and len(got) == rows.count()
+        for run, x in runs.items():
+            own = [r.normalised for r in sorted(got, key=lambda r: r.step) if r.run == run and r.normalised is not None]
+            assert own == pytest.approx(plain_ema(x, alpha, centred), rel=1e-6, abs=1e-6)  # where a value is next to its mean, their difference is what rounding left
+
+
+def test_ema_of_vectors_is_by_dimension(spark):
+    x = np.random.default_rng(4).normal(2, 5, (300, 3))
+    rows = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)] + [(0, 1000, None), (0, 1001, []), (0, 1002, [1.0, None])], "run long, step long, value array<double>")
+    got = sorted(metrics.ema_normalise(rows, 0.05, most=11).collect(), key=lambda r: r.step)
+    assert [r.normalised for r in got[300:]] == [None] * 3
+    for k in range(3):
+        assert [r.normalised[k] for r in got[:300]] == pytest.approx(plain_ema(x[:, k], 0.05))
+    assert [r.value for r in got[:300]] == x.tolist()
+
+
+def test_no_run_of_the_normaliser_is_one_task(spark):
+    rows = spark.range(1).selectExpr("id run", "id step", "cast(id as double) value")
+    plan = metrics.ema_normalise(rows, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning(run" in line:
+            assert "_chunk" in line.partition("hashpartitioning")[2].partition(")")[0]
+
+
+def fed(spark, parts, watermark="1 hour", idle_ms=10**12, schema="run long, step long, ts timestamp, reward double, done boolean"):
+    """What stream_episodes wrote of parts (run, step, hour, reward, done), a batch each."""
+    folder, state, out = (scratch(spark, x) for x in ("in", "state", "out"))
+    for part in parts:
+        rows = spark.createDataFrame([(r, s, None if h is None else 3600.0 * h, x, d) for r, s, h, x, d in part], "run long, step long, at double, reward double, done boolean")
+        rows.select("run", "step", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("at")).alias("ts"), "reward", "done").coalesce(1).write.mode("append").parquet(folder)
+        stream = streams.stream_episodes(spark.readStream.schema(schema).parquet(folder), watermark, idle_ms)
+        with streams.keyed_state(spark):
+            begun = stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        begun.awaitTermination()
+    return sorted(tuple(r) for r in spark.read.parquet(out).collect())
+
+
+BEAT = [(-1, 0, 9_000.0, 0.0, False)]
+
+
+def test_late_steps_join_their_episodes(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    got = fed(spark, [[(0, 1, 0.1, 1.0, False)], [(0, 3, 0.3, 2.0, True)], [(0, 2, 0.2, 100.0, False), (0, 4, 0.4, 1.0, True)], BEAT])
+    assert got == [(0, 0, 103.0, 3, True), (0, 1, 1.0, 1, True)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_stream_of_shuffled_steps_is_the_batch(spark):
+    rng = np.random.default_rng(7)
+    steps = [(int(r), i, i / 60, float(rng.integers(0, 9)), bool(rng.random() < 0.1)) for i, r in enumerate(rng.integers(0, 4, 600))]
+    arrival = np.argsort([s[2] + rng.uniform(0, 3) for s in steps])
+    parts = [[steps[j] for j in arrival[k : k + 100]] for k in range(0, 600, 100)]
+    parts[2].append((0, 9_999, None, 5.0, True))  # without a time
+    parts[5] += [(1, 10_000, 11.0, None, None)]
+    parts[5].append((2, -1, -900.0, 7.0, True))  # later than the watermark allows
+    got = fed(spark, [*parts, BEAT], "3 hours", 10**9)
+    rows = spark.createDataFrame([*steps, (1, 10_000, 11.0, 0.0, False)], "run long, step long, ts double, reward double, done boolean")
+    whole = trajectory.assemble_episodes(rows).groupBy("run", "episode").agg(F.sum("reward").alias("reward"), F.count("*").alias("n"), F.bool_or("done").alias("ended"))
+    assert [g for g in got if g[0] >= 0] == sorted(tuple(r) for r in whole.collect())
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark):
+    store = streams.LabelStore(spark, scratch(spark, "store"), "pair_id long, label int")
+    assert store.read().count() == 0
+    rows = spark.createDataFrame([(1, 0), (2, 1)], "pair_id long, label int")
+
+    def die():
+        raise KeyError
+
+    with pytest.raises(KeyError):
+        store.append(rows, 0, die)
+    assert store.read().count() == 0 and store.append(rows, 0) and not store.append(rows, 0) and store.append(rows, 12)
+    other = streams.LabelStore(spark, store.folder, store.schema, "another stream")
+    assert other.append(rows, 0)
+    store.clean()
+    assert sorted(map(tuple, store.read().collect())) == [(1, 0), (1, 0), (2, 1), (2, 1)] and set(store.ledger()) == {0, 12}
+
+
+def test_moments_of_a_stream_stay_in_spark(spark):
+    values = spark.readStream.format("rate").load().selectExpr("value % 3 key", "value")
+    plan = streams.stream_moments(values)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Pandas" not in plan
+    rows = spark.createDataFrame([("a", 2.0), ("a", 4.0), ("b", None), (None, 3.0)], "key string, value double")
+    assert sorted(map(str, map(tuple, streams.stream_moments(rows).collect()))) == ["('a', 2, 3.0, 2.0)", "('b', 0, 0.0, 0.0)", "(None, 1, 3.0, 0.0)"]
