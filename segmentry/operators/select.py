@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmentry.functions.preference import bt_entropy, bt_probability
-from segmentry.operators.kernels import block_distances, smallest
+from segmentry.operators.kernels import block_distances
 from segmentry.operators.trajectory import dense_index
 from segmentry.sources.shared import written
 
@@ -21,51 +21,135 @@ FULL_BLOCK = 8_192
 PICKS = 8
 
 
-def _blocks(vectors: DataFrame, size: int, name: str, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    n = max(1, -(-vectors.count() // size))
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(name)), n
+#: Pivots of an index at most; their vectors, and four numbers a cell, are what tasks are given.
+PIVOTS = 256
+#: Distances are compared with this relative slack, so that rounding never drops a cell.
+SLACK = 1e-9
 
 
-def _paired(sample: DataFrame, full: DataFrame, id_col: str, vec_col: str, sizes: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Both sides with block numbers (s, f), each repeated for every block of the other: groups of bounded size."""
-    left, n_left = _blocks(sample, sizes[0], "s", id_col, vec_col)
-    right, n_right = _blocks(full, sizes[1], "f", id_col, vec_col)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return left.withColumn("f", every(n_right)), right.withColumn("s", every(n_left))
+class Index:
+    """Vectors (id, v, pivot, block, away), written, by their nearest pivot; cells of (pivot, block) with their numbers and the least and largest distance from the pivot."""
 
+    def __init__(self, rows: DataFrame, pivots: np.ndarray, cells: pd.DataFrame):
+        self.rows, self.pivots, self.cells = rows, pivots, cells.reset_index(drop=True)
 
-def knn_distance(sample: DataFrame, full: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] = (SAMPLE_BLOCK, FULL_BLOCK)) -> DataFrame:
-    """(id, distance): from each sample vector to the (k+1)-th nearest of all, itself being one of them.
 
-    Each pair of blocks gives k + 1 distances a sample vector; they are merged by vector.
+def metric_index(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", pivots: int = PIVOTS, block: int = FULL_BLOCK) -> Index:
+    """An index of vectors: each goes to its nearest pivot, a vector drawn by the hash of its id; a pivot of very many is dealt over several cells of some `block` vectors.
+
+    The driver gets the pivots and a row a cell, of which there are no more than pivots and vectors / block together.
     """
-    left, right = _paired(sample, full, id_col, vec_col, blocks)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    drawn = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]
+    points = np.unique(np.array(drawn, float), axis=0) if drawn else np.zeros((0, 0))
+    held = rows.sparkSession.sparkContext.broadcast(points)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                d = block_distances(np.stack(batch["v"]), held.value)
+                best = d.argmin(axis=1)
+                yield batch.assign(pivot=best.astype("int32"), away=d[np.arange(len(batch)), best])
+
+    near = written(rows.mapInPandas(work, "id long, v array<double>, pivot int, away double"), "near")
+    counts = near.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = near.join(F.broadcast(counts), "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    dealt = written(dealt, "cells")
+    cells = dealt.groupBy("pivot", "block").agg(F.count("*").alias("n"), F.min("away").alias("least"), F.max("away").alias("most")).toPandas()
+    return Index(dealt, points, cells)
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "near": pd.Series(dtype=object)})
-        near = smallest(block_distances(np.stack(a["v"]), np.stack(b["v"])), k + 1)
-        return pd.DataFrame({"id": a["id"], "near": list(near)})
 
-    near = left.groupBy("s", "f").cogroup(right.groupBy("s", "f")).applyInPandas(work, "id long, near array<double>")
-    return near.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near")).select("id", F.get("near", F.lit(k)).alias("distance"))
+def _visits(to_pivots: np.ndarray, cells: pd.DataFrame, reach: np.ndarray) -> np.ndarray:
+    """(vectors, cells): where a cell may hold something within reach. By the triangle inequality nothing in it is nearer than its ring is."""
+    d = to_pivots[:, cells["pivot"].to_numpy()] if len(cells) else np.zeros((len(to_pivots), 0))
+    nearest = np.maximum(d - cells["most"].to_numpy(), cells["least"].to_numpy() - d)
+    return nearest <= reach[:, None] + SLACK * (1 + d)
 
 
-def nearest_neighbour(points: DataFrame, targets: DataFrame, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] = (SAMPLE_BLOCK, FULL_BLOCK)) -> DataFrame:
-    """(id, neighbour, distance): the nearest target of each point, ties to the smaller id."""
-    left, right = _paired(points, targets, id_col, vec_col, blocks)
+def _bounds(to_pivots: np.ndarray, cells: pd.DataFrame, k: int) -> np.ndarray:
+    """For each vector a distance within which k of the index lie: whole cells lie within their farthest points."""
+    far = to_pivots[:, cells["pivot"].to_numpy()] + cells["most"].to_numpy()
+    order = np.argsort(far, axis=1)
+    enough = (np.cumsum(cells["n"].to_numpy()[order], axis=1) >= k).argmax(axis=1)
+    found = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], axis=1), axis=1)[:, 0]
+    return np.where(cells["n"].sum() >= k, found, np.inf)
+
+
+def _placed(asked: DataFrame, index: Index, k: int, home: bool) -> DataFrame:
+    """Rows (id, v, q, cell, reach) of asked (id, v, q, reach): for each cell to be visited one. With home, those of the nearest pivot; else the others within reach."""
+    held = asked.sparkSession.sparkContext.broadcast((index.pivots, index.cells))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pivots, cells = held.value
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                batch = whole.iloc[at : at + 1024]
+                to_pivots = block_distances(np.stack(batch["v"]), pivots)
+                inside = to_pivots.argmin(axis=1)[:, None] == cells["pivot"].to_numpy()
+                if not home:
+                    reach = np.minimum(batch["reach"].to_numpy(), _bounds(to_pivots, cells, k))
+                    inside = _visits(to_pivots, cells, reach) & ~inside
+                row, cell = np.nonzero(inside)
+                yield batch.iloc[row].assign(cell=cell.astype("int32"))
+
+    return asked.mapInPandas(work, "id long, v array<double>, q int, reach double, cell int")
+
+
+def _near(sample: DataFrame, index: Index, k: int, size: int, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, near: array of (distance, id) of the k nearest of the index), and the rows (id, cell) that were compared.
+
+    A vector first meets the cells of its nearest pivot. The k-th distance there, or that within which k must lie, is its reach, and only cells whose rings reach into
+    it are visited after that. Tasks hold a cell and some `size` vectors.
+    """
+    n = max(1, -(-sample.count() // size))
+    asked = sample.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("q"), F.lit(float("inf")).alias("reach"))
+    names = index.rows.sparkSession.createDataFrame([(i, int(c.pivot), int(c.block)) for i, c in enumerate(index.cells.itertuples())], "cell int, pivot int, block int")
+    stored = index.rows.join(F.broadcast(names), ["pivot", "block"]).select("cell", "id", "v")
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        b = b.sort_values("id")
-        d = block_distances(np.stack(a["v"]), np.stack(b["v"]))
-        best = d.argmin(axis=1)
-        return pd.DataFrame({"id": a["id"].to_numpy(), "neighbour": b["id"].to_numpy()[best], "distance": d[np.arange(len(a)), best]})
-
-    found = left.groupBy("s", "f").cogroup(right.groupBy("s", "f")).applyInPandas(work, "id long, neighbour long, distance double")
-    best = found.groupBy("id").agg(F.min(F.struct("distance", "neighbour")).alias("b"))
-    return best.select("id", "b.neighbour", "b.distance")
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64"), "other": pd.Series(dtype="int64")})
+        b = b.sort_values("other")
+        d = block_distances(np.stack(a["v"]), np.stack(b["w"]))
+        few = np.argsort(d, axis=1, kind="stable")[:, :k]  # ties to the smaller id
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), few.shape[1]), "distance": np.take_along_axis(d, few, axis=1).ravel(), "other": b["other"].to_numpy()[few].ravel()})
+
+    def met(rows: DataFrame) -> DataFrame:
+        wanted = rows.select(F.col("cell").alias("at_cell"), F.col("q").alias("at_q")).distinct()
+        held = stored.join(wanted, F.col("cell") == F.col("at_cell")).select(F.col("at_cell").alias("c"), F.col("at_q").alias("r"), F.col("id").alias("other"), F.col("v").alias("w"))
+        return rows.groupBy("cell", "q").cogroup(held.groupBy("c", "r")).applyInPandas(work, "id long, distance double, other long")
+
+    def merged(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("id").orderBy("distance", "other")
+        return rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
+
+    if not len(index.cells):
+        return asked.select("id", F.array().cast("array<struct<distance:double,other:long>>").alias("near")), asked.select("id", F.lit(0).alias("cell")).limit(0)
+    first = written(_placed(asked, index, k, True), "first")
+    begun = written(merged(met(first)), "begun")
+    reach = begun.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("reach"))
+    more = written(_placed(asked.drop("reach").join(reach, "id").select("id", "v", "q", "reach"), index, k, False), "more")
+    found = merged(begun.unionByName(met(more)))
+    near = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("distance", "other"))).alias("near"))
+    return near, first.select("id", "cell").unionByName(more.select("id", "cell"))
+
+
+def compared_pairs(visits: DataFrame, index: Index) -> int:
+    """Pairs of vectors whose distance was taken, of those that there are."""
+    sizes = visits.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(index.cells["n"])], "cell int, n long")
+    return visits.join(F.broadcast(sizes), "cell").agg(F.sum("n")).first()[0] or 0
+
+
+def knn_distance(sample: DataFrame, full: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] = (SAMPLE_BLOCK, FULL_BLOCK), pivots: int = PIVOTS) -> DataFrame:
+    """(id, distance): from each sample vector to the (k+1)-th nearest of all, itself being one of them; null if there are fewer. Ids are unique."""
+    near, _ = _near(sample, metric_index(full, id_col, vec_col, pivots, blocks[1]), k + 1, blocks[0], id_col, vec_col)
+    return near.select("id", F.get("near", F.lit(k))["distance"].alias("distance"))
+
+
+def nearest_neighbour(points: DataFrame, targets: DataFrame, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] = (SAMPLE_BLOCK, FULL_BLOCK), pivots: int = PIVOTS) -> DataFrame:
+    """(id, neighbour, distance): the nearest target of each point, ties to the smaller id; points without a target don't come back. Ids are unique."""
+    near, _ = _near(points, metric_index(targets, id_col, vec_col, pivots, blocks[1]), 1, blocks[0], id_col, vec_col)
+    return near.where(F.size("near") > 0).select("id", F.get("near", F.lit(0))["other"].alias("neighbour"), F.get("near", F.lit(0))["distance"].alias("distance"))
 
 
 def entropy_summary(distances: DataFrame, std: float) -> DataFrame:

@@ -387,3 +387,34 @@ def test_moments_of_a_stream_stay_in_spark(spark):
     assert "Aggregate" in plan and "Pandas" not in plan
     rows = spark.createDataFrame([("a", 2.0), ("a", 4.0), ("b", None), (None, 3.0)], "key string, value double")
     assert sorted(map(str, map(tuple, streams.stream_moments(rows).collect()))) == ["('a', 2, 3.0, 2.0)", "('b', 0, 0.0, 0.0)", "(None, 1, 3.0, 0.0)"]
+
+
+def clustered(rng, centres, n, spread):
+    return (rng.normal(0, 10, (centres, 6))[rng.integers(0, centres, n)] + rng.normal(0, spread, (n, 6))).round(3)
+
+
+@pytest.mark.parametrize("pivots, block, spread", [(16, 9000, 0.1), (16, 20, 0.1), (1, 7, 5.0), (64, 9000, 20.0)])
+def test_nearest_by_an_index_are_exact(spark, pivots, block, spread):
+    rng = np.random.default_rng(9)
+    v = clustered(rng, 12, 500, spread)
+    v[40:60] = v[3]  # ties
+    frame = lambda ids: spark.createDataFrame([(int(i), v[i].tolist()) for i in ids], "id long, vec array<double>")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    got = {r.id: r.distance for r in select.knn_distance(frame(range(90)), frame(range(500)), 6, blocks=(25, block), pivots=pivots).collect()}
+    assert got == {i: np.sort(d[i])[6] for i in range(90)}
+    near = {r.id: (r.neighbour, r.distance) for r in select.nearest_neighbour(frame(range(200, 500)), frame(range(200)), blocks=(25, block), pivots=pivots).collect()}
+    assert near == {i: (int(d[i, :200].argmin()), d[i, :200].min()) for i in range(200, 500)}
+
+
+def test_an_index_compares_few_pairs_of_clusters(spark):
+    v = clustered(np.random.default_rng(10), 20, 2000, 0.05)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    index = select.metric_index(rows, pivots=60)
+    _, visits = select._near(rows.where("id % 10 = 0"), index, 6, 1024, "id", "vec")
+    assert index.cells["n"].sum() == 2000 and select.compared_pairs(visits, index) < 0.15 * 200 * 2000
+
+
+def test_neighbours_where_there_are_few(spark):
+    points, none = vectors(spark, [0, 5]), vectors(spark, [0]).limit(0)
+    assert sorted((r.id, r.distance) for r in select.knn_distance(points, points, 5).collect()) == [(0, None), (1, None)]
+    assert select.nearest_neighbour(points, none).count() == 0 and select.nearest_neighbour(none, points).count() == 0
