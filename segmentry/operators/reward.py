@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import io
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from segmentry.functions import draws
 from segmentry.operators.kernels import Network
+from segmentry.sources.shared import scratch
 
 Batch = Callable[[np.ndarray], np.ndarray]
 
@@ -88,48 +92,118 @@ def fit_score(rows: DataFrame, features: str = "features", score: str = "score",
     return model.coefficients.toArray(), float(model.intercept)
 
 
-def fit_network(pairs: DataFrame, network: Network, steps: int = 50, rate: float = 1e-2, seg_1: str = "seg_1", seg_2: str = "seg_2") -> tuple[Network, list[float]]:
-    """A network on preferences by full-batch Adam: tasks sum gradients over their pairs, their sums are added by a shuffle, and the driver steps.
+class Held:
+    """The pairs of one task as arrays: the features of all steps of all first segments, then of all second ones, where each segment begins, and +1 or -1 by label."""
 
-    seg_1 and seg_2 are arrays of feature arrays, label is 0 or 1. Returns the network and the mean loss before each step.
+    def __init__(self, batches: Iterator[pd.DataFrame]):
+        first, second, labels = [], [], []
+        for batch in batches:
+            first += [np.stack([np.asarray(x, float) for x in s]) for s in batch["a"]]
+            second += [np.stack([np.asarray(x, float) for x in s]) for s in batch["b"]]
+            labels += batch["label"].tolist()
+        segments = first + second
+        self.n, self.sign = len(labels), np.where(np.array(labels) == 1, 1.0, -1.0)
+        self.x = np.concatenate(segments) if segments else np.zeros((0, 1))
+        self.sizes = np.array([len(s) for s in segments], int)
+        self.edges = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(int)
+
+    def sums(self, network: Network) -> np.ndarray:
+        """Number of pairs, sum of losses, and sums of gradients in the order of `flat`."""
+        if not self.n:
+            return np.zeros(2 + sum(p.size for p in network.flat()))
+        y, kept, slope = network.forward(self.x)
+        totals = np.add.reduceat(y[:, 0], self.edges)
+        z = self.sign * (totals[self.n :] - totals[: self.n])
+        out = -self.sign / (1 + np.exp(z))
+        grads = network.backward(kept, slope, np.repeat(np.concatenate((-out, out)), self.sizes))
+        return np.concatenate([[self.n, np.logaddexp(0, -z).sum()], *(g.ravel() for g in grads)])
+
+
+class Adam:
+    """A network's weights as one array, their moments, and the losses so far; what a fit goes on from."""
+
+    def __init__(self, weights: np.ndarray, rate: float):
+        self.weights, self.rate = weights, rate
+        self.first, self.second, self.losses = np.zeros_like(weights), np.zeros_like(weights), np.zeros(0)
+
+    def step(self, sums: np.ndarray) -> None:
+        self.losses = np.append(self.losses, sums[1] / sums[0])
+        g, n = sums[2:] / sums[0], len(self.losses)
+        self.first, self.second = 0.9 * self.first + 0.1 * g, 0.999 * self.second + 0.001 * g * g
+        self.weights = self.weights - self.rate * (self.first / (1 - 0.9**n)) / (np.sqrt(self.second / (1 - 0.999**n)) + 1e-8)
+
+    def save(self, folder: str) -> None:
+        """As the file of this step; it has its name only when it is whole."""
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(folder)
+        system.create_dir(at, recursive=True)
+        waiting = f"{at}/waiting-{uuid.uuid4().hex}"
+        with system.open_output_stream(waiting) as out:
+            held = io.BytesIO()
+            np.savez(held, weights=self.weights, first=self.first, second=self.second, losses=self.losses)
+            out.write(held.getvalue())
+        system.move(waiting, f"{at}/step-{len(self.losses):08d}")
+
+    def load(self, folder: str, most: int) -> None:
+        """The newest whole file of `most` steps or fewer, if there is one."""
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(folder)
+        there = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
+        names = sorted(f.base_name for f in there if f.base_name.startswith("step-") and int(f.base_name[5:]) <= most)
+        if names:
+            with system.open_input_file(f"{at}/{names[-1]}") as source, np.load(io.BytesIO(source.read())) as held:
+                self.weights, self.first, self.second, self.losses = (held[k] for k in ("weights", "first", "second", "losses"))
+
+
+def unflat(network: Network, weights: np.ndarray) -> Network:
+    values, at = [], 0
+    for p in network.flat():
+        values.append(weights[at : at + p.size].reshape(p.shape))
+        at += p.size
+    return Network([(values[i], values[i + 1]) for i in range(0, len(values), 2)], network.end, network.slope)
+
+
+def fit_network(
+    pairs: DataFrame, network: Network, steps: int = 50, rate: float = 1e-2, seg_1: str = "seg_1", seg_2: str = "seg_2", tasks: int | None = None, save_every: int = 10, folder: str | None = None
+) -> tuple[Network, list[float]]:
+    """A network on preferences by full-batch Adam, in one barrier stage: each task reads its pairs once and keeps them, and tasks give each other the sums of their gradients.
+
+    seg_1 and seg_2 are arrays of feature arrays, label is 0 or 1; pairs without a label or a segment are left out. Returns the network and the mean loss before each step.
+    Every `save_every` steps the state is written to `folder`, a URI that driver and executors share: a stage that runs again, after an executor is lost, goes on from there, and
+    so does a later call with the same pairs and folder. There must be as many slots as tasks, and their memory must hold all pairs; each step moves the weights once
+    to each task, and Spark's barrier looks for the others once a second, so that a step takes a second or so however few pairs there are.
     """
-    data = pairs.select(F.col(seg_1).alias("a"), F.col(seg_2).alias("b"), "label").persist()
-    first = [np.zeros_like(p) for p in network.flat()]
-    second = [np.zeros_like(p) for p in network.flat()]
-    losses = []
-    for step in range(1, steps + 1):
-        held = data.sparkSession.sparkContext.broadcast(network)
-
-        def work(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            net, grads, loss, n = held.value, None, 0.0, 0
-            for batch in batches:
-                segments = [np.stack([np.asarray(x, float) for x in s]) for s in (*batch["a"], *batch["b"])]
-                sizes, x = [len(s) for s in segments], np.concatenate(segments) if segments else np.zeros((0, 1))
-                if not len(x):
-                    continue
-                y, kept, slope = net.forward(x)
-                edges = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                sums = np.add.reduceat(y[:, 0], edges)
-                m = len(batch)
-                sign = np.where(batch["label"].to_numpy() == 1, 1.0, -1.0)
-                z = sign * (sums[m:] - sums[:m])
-                loss, n = loss + np.logaddexp(0, -z).sum(), n + m
-                out = -sign / (1 + np.exp(z))
-                part = net.backward(kept, slope, np.repeat(np.concatenate((-out, out)), sizes))
-                grads = part if grads is None else [g + p for g, p in zip(grads, part)]
-            if n:
-                values = np.concatenate([[n, loss], *(g.ravel() for g in grads)])
-                yield pd.DataFrame({"place": np.arange(len(values)), "value": values})
-
-        # Tasks' sums are added by place on the executors; the driver gets a row a parameter.
-        sums = data.mapInPandas(work, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")["value"].to_numpy()
-        losses.append(float(sums[1] / sums[0]))
-        whole = sums[2:] / sums[0]
-        at, values = 0, []
-        for i, p in enumerate(network.flat()):
-            g, at = whole[at : at + p.size].reshape(p.shape), at + p.size
-            first[i], second[i] = 0.9 * first[i] + 0.1 * g, 0.999 * second[i] + 0.001 * g * g
-            values.append(p - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8))
-        network = Network([(values[i], values[i + 1]) for i in range(0, len(values), 2)], network.end, network.slope)
-    data.unpersist()
-    return network, losses
+    spark = pairs.sparkSession
+    folder = scratch(spark, "fit") if folder is None else folder
+    data = pairs.select(F.col(seg_1).alias("a"), F.col(seg_2).alias("b"), "label").where(F.col("label").isin(0, 1) & (F.size("a") > 0) & (F.size("b") > 0))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import BarrierTaskContext
+
+        held, context = Held(batches), BarrierTaskContext.get()
+        adam = Adam(np.concatenate([p.ravel() for p in network.flat()]), rate)
+        adam.load(folder, steps)
+        if len(set(context.allGather(str(len(adam.losses))))) > 1:
+            raise RuntimeError("tasks found different states")
+        while len(adam.losses) < steps:
+            own = base64.b64encode(held.sums(unflat(network, adam.weights)).tobytes()).decode()
+            sums = sum(np.frombuffer(base64.b64decode(x)) for x in context.allGather(own))  # in order of the tasks, so that all get one result
+            if not sums[0]:
+                break
+            adam.step(sums)
+            if context.partitionId() == 0 and (len(adam.losses) % save_every == 0 or len(adam.losses) == steps):
+                adam.save(folder)
+        if context.partitionId() == 0:
+            yield pd.DataFrame({"kind": "weight", "place": np.arange(len(adam.weights)), "value": adam.weights})
+            yield pd.DataFrame({"kind": "loss", "place": np.arange(len(adam.losses)), "value": adam.losses})
+
+    dealt = data.repartition(tasks or spark.sparkContext.defaultParallelism)
+    found = dealt.mapInPandas(work, "kind string, place long, value double", barrier=True).toPandas().sort_values("place")
+    values = {k: found[found["kind"] == k]["value"].to_numpy() for k in ("weight", "loss")}
+    if not len(found):  # no task ran, as there were no pairs
+        adam = Adam(np.concatenate([p.ravel() for p in network.flat()]), rate)
+        adam.load(folder, steps)
+        values = {"weight": adam.weights, "loss": adam.losses}
+    return unflat(network, values["weight"]), values["loss"].tolist()

@@ -308,7 +308,13 @@ def _(spark, d):
     return newest.select("key", "s.n", F.round("s.mean", 6).alias("mean"), F.round(F.col("s.m2") / F.col("s.n"), 4).alias("var"))
 
 
-def network_accuracy(spark, d, steps: int = 30):
-    """For tests: a small network fitted on segments of one vector."""
-    pairs = preference_pairs(spark, d).select(F.array(F.transform("phi", lambda x: x * 0)).alias("seg_1"), F.array("phi").alias("seg_2"), "label")
-    return reward.fit_network(pairs, Network.random([64, 8, 1], 0), steps)
+@query("V4_fit_network")
+def _(spark, d):
+    """(step, loss) of a small network on pairs of segments of one step each."""
+    rows = V.embeddings(spark, d)
+    n = rows.count()
+    met = rows.withColumn("o", draws.index("fit", n, F.col("id"))).join(rows.select(F.col("id").alias("o"), F.col("vec").alias("other")), "o").where("id <> o")
+    hidden = F.array(*map(F.lit, _W.tolist()))
+    pairs = met.select(F.array("vec").alias("seg_1"), F.array("other").alias("seg_2"), (dot(F.col("other"), hidden) > dot(F.col("vec"), hidden)).cast("int").alias("label"))
+    _, losses = reward.fit_network(pairs, Network.random([64, 8, 1], 0), 10)
+    return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(losses)], "step int, loss double")

@@ -418,3 +418,40 @@ def test_neighbours_where_there_are_few(spark):
     points, none = vectors(spark, [0, 5]), vectors(spark, [0]).limit(0)
     assert sorted((r.id, r.distance) for r in select.knn_distance(points, points, 5).collect()) == [(0, None), (1, None)]
     assert select.nearest_neighbour(points, none).count() == 0 and select.nearest_neighbour(none, points).count() == 0
+
+
+def test_network_fit_is_that_of_numpy_step_by_step(spark):
+    rng = np.random.default_rng(12)
+    segments = [(rng.normal(size=(int(rng.integers(1, 4)), 3)), rng.normal(size=(int(rng.integers(1, 4)), 3))) for _ in range(70)]
+    labels = [int(b.sum() > a.sum()) for a, b in segments]
+    rows = spark.createDataFrame([(a.tolist(), b.tolist(), k) for (a, b), k in zip(segments, labels)] + [(None, [[1.0, 2.0, 3.0]], 1), ([[1.0, 2.0, 3.0]], [], 0), ([[1.0] * 3], [[2.0] * 3], -1)], "seg_1 array<array<double>>, seg_2 array<array<double>>, label int")
+    start = Network.random([3, 5, 1], 4)
+    net, losses = Network([(w.copy(), b.copy()) for w, b in start.layers], start.end, start.slope), []
+    m = [np.zeros_like(p) for p in net.flat()]
+    v = [np.zeros_like(p) for p in net.flat()]
+    for step in range(1, 13):
+        loss, grads = 0.0, [np.zeros_like(p) for p in net.flat()]
+        for (a, b), k in zip(segments, labels):
+            one, two = net(a).sum(), net(b).sum()
+            sign = 1 if k else -1
+            loss += np.log1p(np.exp(-sign * (two - one))) / len(labels)
+            out = -sign / (1 + np.exp(sign * (two - one))) / len(labels)
+            for x, g in ((a, -out), (b, out)):
+                _, held, slope = net.forward(x)
+                grads = [p + q for p, q in zip(grads, net.backward(held, slope, np.full(len(x), g)))]
+        losses.append(loss)
+        for i, (p, g) in enumerate(zip(net.flat(), grads)):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+            p -= 0.05 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+    for tasks in (1, 3):
+        got, found = reward.fit_network(rows, start, 12, 0.05, tasks=tasks)
+        assert found == pytest.approx(losses) and found[-1] < found[0]
+        for p, q in zip(got.flat(), net.flat()):
+            assert p == pytest.approx(q, rel=1e-6, abs=1e-9)
+    folder = scratch(spark, "state")
+    _, begun = reward.fit_network(rows, start, 7, 0.05, tasks=2, save_every=5, folder=folder)
+    got, found = reward.fit_network(rows.limit(0), start, 7, 0.05, tasks=2, folder=folder)  # nothing is left to do, and no pair is asked for
+    assert found == begun == pytest.approx(losses[:7])
+    got, found = reward.fit_network(rows, start, 12, 0.05, tasks=2, folder=folder)
+    assert found[:7] == begun and found == pytest.approx(losses) and got.flat()[0] == pytest.approx(net.flat()[0], rel=1e-6, abs=1e-9)
+    assert reward.fit_network(rows.limit(0), start, 3)[1] == []
