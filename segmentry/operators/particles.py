@@ -22,10 +22,11 @@ def goal_distance(particles: DataFrame, goal: DataFrame) -> DataFrame:
 
 
 def count_in_box(particles: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(step, n_inside, n): particles inside the step's box, of all. Bounds belong to the box; boxes are a row a step."""
+    """(step, box, n_inside, n): particles inside a step's box, of all. Bounds belong to the box. A step may have several boxes, told apart by a column `box`; without it boxes are a row a step."""
+    keys = [*STEP, *(["box"] if "box" in boxes.columns else [])]
     met = particles.join(boxes, STEP)
     inside = F.col("x").between(F.col("x_lo"), F.col("x_hi")) & F.col("y").between(F.col("y_lo"), F.col("y_hi")) & F.col("z").between(F.col("z_lo"), F.col("z_hi"))
-    return met.groupBy(*STEP).agg(F.count(F.when(inside, 1)).alias("n_inside"), F.count("*").alias("n"))
+    return met.groupBy(*keys).agg(F.count(F.when(inside, 1)).alias("n_inside"), F.count("*").alias("n"))
 
 
 def fill_share(particles: DataFrame, target: tuple[float, ...], excluded: tuple[float, ...], amount: float = 1.0) -> DataFrame:

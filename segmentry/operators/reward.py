@@ -9,12 +9,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmentry.functions import draws
 from segmentry.operators.kernels import Network
-from segmentry.sources.shared import scratch
+from segmentry.sources.shared import scratch, sized, written
 
 Batch = Callable[[np.ndarray], np.ndarray]
 
@@ -42,6 +42,33 @@ def relabel(steps: DataFrame, members: list[Batch], features: str = "sa", reward
     return score_rewards(steps, members, features, "_new").drop(reward).withColumnRenamed("_new", reward)
 
 
+#: Rows of a file of a store that is written again, about.
+FILE_ROWS = 1_000_000
+
+
+def relabel_store(spark: SparkSession, path: str, members: list[Batch], parts: list[str], features: str = "sa", reward: str = "reward", where: Column | None = None) -> DataFrame:
+    """Replace the rewards of a Parquet store, partitioned by `parts`, by the ensemble's; (parts, rows, changed) of the partitions that were written.
+
+    where, a condition on `parts`, names the partitions to look at. Their rows are scored from one snapshot and written aside; then those partitions in which a reward changed,
+    and no others, are overwritten. Rewards come from the features alone, so a job that died may run again: what it had written is the same, and what it had not is written.
+    Others must not write to the partitions meanwhile. A partition whose value is null is left as it is.
+    """
+    rows = spark.read.parquet(path)
+    rows = rows.where(F.concat(*(F.col(p).cast("string") for p in parts)).isNotNull())
+    rows = rows if where is None else rows.where(where)
+    scored = written(score_rewards(rows, members, features, "_new"), "relabelled")
+    differs = (~F.col("_new").eqNullSafe(F.col(reward))).cast("long")
+    totals = scored.groupBy(*parts).agg(F.count("*").alias("rows"), F.sum(differs).alias("changed"))
+    changed = written(totals.where("changed > 0"), "changed")
+    if not changed.isEmpty():
+        files = F.pmod(F.xxhash64(*scored.columns), F.ceil(F.col("rows") / FILE_ROWS))
+        fresh = scored.join(sized(changed.select(*parts, "rows")), parts).withColumn("_file", files).repartition(*parts, "_file")
+        kind = dict(rows.dtypes)[reward]
+        out = fresh.withColumn(reward, F.col("_new").cast(kind)).select(*rows.columns)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    return changed
+
+
 def ensemble_accuracy(preds: DataFrame) -> DataFrame:
     """(member, accuracy), and the mean over members with member null; label is 0 or 1 and ties prefer segment 1."""
     right = (F.when(F.col("r2") > F.col("r1"), 1).otherwise(0) == F.col("label")).cast("double")
@@ -78,8 +105,18 @@ def fit_preference(pairs: DataFrame, members: int = 3, seed: int = 0, margin: fl
     return weights
 
 
+class Linear:
+    """A linear member; it can be sent to tasks."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.weights
+
+
 def linear_member(weights: np.ndarray) -> Batch:
-    return lambda x: x @ weights
+    return Linear(weights)
 
 
 def fit_score(rows: DataFrame, features: str = "features", score: str = "score", reg: float = 1e-6) -> tuple[np.ndarray, float]:

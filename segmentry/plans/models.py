@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import PythonException, StreamingQueryException
 from pyspark.sql import functions as F
 
 from segmentry.functions import draws
@@ -130,6 +130,17 @@ class Half:
         return np.tanh(0.5 * x[:, 0])
 
 
+@query("V3_relabel_store", "WITH s AS (SELECT event_id AS step, user_id % 3 AS run, (value / 100) AS x FROM events) SELECT step, run, round(CASE WHEN run < 2 THEN tanh(0.5 * x) ELSE 100 * x END, 6) AS reward FROM s")
+def _(spark, d):
+    """A store by run and thousand of steps, two of whose three runs are relabelled where they are, and then once more."""
+    path = V.scratch(spark, "store")
+    rows = V.table(spark, d, "events").select(F.col("event_id").alias("step"), (F.col("user_id") % 3).alias("run"), F.floor(F.col("event_id") / 1000).alias("chunk"), F.col("value").alias("reward"), F.array(F.col("value") / 100).alias("sa"))
+    rows.write.partitionBy("run", "chunk").parquet(path)
+    for _ in range(2):
+        reward.relabel_store(spark, path, [Half()], ["run", "chunk"], where=F.col("run") < 2)
+    return spark.read.parquet(path).select("step", F.col("run").cast("long").alias("run"), F.round("reward", 6).alias("reward"))
+
+
 def preference_pairs(spark, d):
     """Pairs of vectors: phi is the second less the first, the label follows from hidden weights."""
     rows = V.embeddings(spark, d)
@@ -195,6 +206,32 @@ def _(spark, d):
     return label.label_pairs(pairs, Stub, 8, pause=0.0).select("pair_id", "label")
 
 
+class Dying:
+    """A client that is gone after so many pairs."""
+
+    def __init__(self, life: int):
+        self.life = life
+
+    def ask(self, prompt: str, images: list[bytes]) -> str:
+        self.life -= bool(images)
+        if self.life < 0:
+            raise RuntimeError("the client's host went away")
+        return images[0].decode() if images else prompt.rpartition(":")[2]
+
+
+@query("V1_label_with_ledger", """WITH r AS (SELECT conv_id * 100 + turn AS pair_id FROM conversations) SELECT pair_id, CAST(CASE pair_id % 3 WHEN 0 THEN -1 WHEN 1 THEN 0 ELSE 1 END AS INT) AS label FROM r""")
+def _(spark, d):
+    """The job dies when each of its clients has answered ten pairs, and goes on from the ledger: all pairs are labelled."""
+    answer = F.element_at(F.array(F.lit("-1"), F.lit("0"), F.lit("1")), (F.col("pair_id") % 3 + 1).cast("int"))
+    pairs = reply_rows(spark, d).select("pair_id", F.concat(F.lit("pair "), F.col("pair_id").cast("string")).alias("query"), F.lit("analysis:{reply}").alias("summary"), answer.cast("binary").alias("image_1"), F.lit(b"").alias("image_2"))
+    folder = V.scratch(spark, "ledger")
+    try:
+        label.label_with_ledger(pairs, lambda: Dying(10), folder, 4, pause=0.0)
+    except PythonException:
+        pass
+    return label.label_with_ledger(pairs, lambda: Dying(1 << 60), folder, 4, pause=0.0).select("pair_id", "label")
+
+
 # Pixel (k, l) of the result: the flipped and cropped frame is q(y, x) = px(6 - y, x + 1), y and x from 0 to 5; of its doubled size every other pixel
 # is kept, that at 2k, which lies a quarter before k.
 _NEAR = lambda k, l: f"px[(6 - {k}) * 8 + {l} + 2]"  # noqa: E731, E741

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from segmentry.operators import audit, metrics, pairs, particles, reward, select, trajectory
+from segmentry.operators import audit, label, metrics, pairs, particles, reward, select, trajectory
 from segmentry.operators.kernels import Network
 from segmentry.functions import preference, prompts
 from segmentry.sources import logs
@@ -455,3 +455,93 @@ def test_network_fit_is_that_of_numpy_step_by_step(spark):
     got, found = reward.fit_network(rows, start, 12, 0.05, tasks=2, folder=folder)
     assert found[:7] == begun and found == pytest.approx(losses) and got.flat()[0] == pytest.approx(net.flat()[0], rel=1e-6, abs=1e-9)
     assert reward.fit_network(rows.limit(0), start, 3)[1] == []
+
+
+class Counting:
+    """Answers with the pair's number, fails once on every third pair, and is gone after so many requests; each request leaves a file."""
+
+    def __init__(self, folder, life):
+        self.folder, self.life = folder, life
+
+    def ask(self, prompt, images):
+        import os
+        import uuid
+
+        self.life -= 1
+        if self.life < 0:
+            raise RuntimeError("gone")
+        first = not [x for x in os.listdir(self.folder) if x.startswith(f"{prompt}-")]
+        open(f"{self.folder}/{prompt}-{uuid.uuid4().hex}", "w").close()
+        if int(prompt) % 3 == 0 and first:
+            raise label.ClientError
+        return "1"
+
+
+def test_no_pair_is_asked_about_twice(spark, tmp_path):
+    pairs = spark.range(1, 41).selectExpr("id pair_id", "cast(id as string) query", "'' summary", "cast('' as binary) image_1", "cast('' as binary) image_2")
+    seen, folder = str(tmp_path), scratch(spark, "ledger")
+    how = {"two_step": False, "pause": 0.0}
+    with pytest.raises(Exception, match="gone"):
+        label.label_with_ledger(pairs, lambda: Counting(seen, 17), folder, 1, **how)
+    known = {r.pair_id for r in label.Ledger(folder).read(spark).collect()}
+    assert 10 < len(known) < 20
+    got = label.label_with_ledger(pairs, lambda: Counting(seen, 1000), folder, 3, every=4, **how).collect()
+    assert sorted((r.pair_id, r.reply, r.label) for r in got) == [(i, "1", 1) for i in range(1, 41)]
+    asked = [int(p.name.partition("-")[0]) for p in tmp_path.iterdir()]
+    assert all(asked.count(i) == (2 if i % 3 == 0 else 1) for i in range(1, 41))
+    assert {r.pair_id: r.tries for r in got} == {i: asked.count(i) for i in range(1, 41)}
+    label.label_with_ledger(pairs, lambda: Counting(seen, 0), folder, 2, **how).collect()  # nothing is left to ask
+
+
+def test_a_task_that_runs_again_knows_what_was_told(spark):
+    ledger = label.Ledger(scratch(spark, "ledger"))
+    ledger.write("run", 3, [(7, "0", 1), (8, None, 5)])
+    ledger.write("run", 3, [(9, "1\n", 2)])
+    ledger.write("run", 4, [(8, "é", 1)])
+    assert (ledger.told("run", 3), ledger.told("run", 5), ledger.told("other", 3)) == ({7, 8, 9}, set(), set())
+    assert sorted(map(tuple, ledger.read(spark).collect())) == [(7, "0", 1), (8, "é", 6), (9, "1\n", 2)]
+
+
+def test_requests_are_paced_and_faults_are_not_tried_again():
+    import time
+
+    class Once:
+        n = 0
+
+        def ask(self, prompt, images):
+            self.n += 1
+            if prompt == "fault":
+                raise TypeError
+            if prompt == "never":
+                raise TimeoutError
+            return "0"
+
+    client = Once()
+    asker = label.Asker(client, 3, 0.0, 0.05)
+    began = time.monotonic()
+    assert [asker.ask("x", []) for _ in range(4)] == [("0", 1)] * 4 and time.monotonic() - began >= 0.15
+    assert asker.ask("never", []) == (None, 3) and client.n == 7
+    with pytest.raises(TypeError):
+        asker.ask("fault", [])
+    assert client.n == 8
+
+
+def test_only_partitions_that_change_are_written_again(spark):
+    path = scratch(spark, "store")
+    rows = spark.createDataFrame([(i, i % 4, [float(i)], 2.0 * i if i % 4 < 2 else 0.0) for i in range(40)], "step long, run long, sa array<double>, reward double")
+    rows.write.partitionBy("run").parquet(path)
+    there = lambda: {str(p.relative_to(path.removeprefix("file:"))) for p in __import__("pathlib").Path(path.removeprefix("file:")).rglob("*.parquet")}
+    before, twice = there(), [reward.linear_member(np.array([2.0]))]
+    assert sorted(tuple(r) for r in reward.relabel_store(spark, path, twice, ["run"], where=F.col("run") < 3).collect()) == [(2, 10, 10)]
+    assert {n for n in before if not n.startswith("run=2")} == {n for n in there() if not n.startswith("run=2")} and before != there()
+    assert {(r.step, r.run, r.reward) for r in spark.read.parquet(path).collect()} == {(i, i % 4, 2.0 * i if i % 4 < 3 else 0.0) for i in range(40)}
+    again = there()
+    assert reward.relabel_store(spark, path, twice, ["run"], where=F.col("run") < 3).count() == 0 and there() == again
+
+
+def test_steps_with_several_boxes(spark):
+    points = spark.createDataFrame([(0, 0, 0, i, float(i), 0.0, 0.0) for i in range(10)], "run long, episode long, t int, particle_id long, x double, y double, z double")
+    bounds = [(0, 0, 0, b, 0.0, hi, -1.0, 1.0, -1.0, 1.0) for b, hi in (("small", 2.0), ("large", 7.0))]
+    boxes = spark.createDataFrame(bounds, "run long, episode long, t int, box string, x_lo double, x_hi double, y_lo double, y_hi double, z_lo double, z_hi double")
+    assert sorted((r.box, r.n_inside, r.n) for r in particles.count_in_box(points, boxes).collect()) == [("large", 8, 10), ("small", 3, 10)]
+    assert particles.count_in_box(points, boxes.where("box = 'small'").drop("box")).first()["n"] == 10
