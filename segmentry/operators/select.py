@@ -173,14 +173,37 @@ def mean_entropy(preds: DataFrame, key: str = "pair_id") -> DataFrame:
     return preds.groupBy(key).agg(F.round(F.avg(F.round(bt_entropy(F.col("r1"), F.col("r2")), 9)), 6).alias("entropy"))
 
 
+#: Half the width, in shares of all rows, of the border in which the n-th value is looked for.
+BORDER = 0.005
+
+
+def top_rows(rows: DataFrame, n: int, value: str, key: str) -> DataFrame:
+    """The n rows of the largest values, ties to the smaller key; rows without a value are never chosen. For any n: no task holds n rows.
+
+    A quantile sketch gives two values between which the n-th lies, whatever its errors. Rows above both are taken, and only those between them are ranked, over range partitions.
+    """
+    held = written(rows.where(F.col(value).isNotNull() & ~F.isnan(value)), "values")
+    total = held.count()
+    if n >= total:
+        return held
+    share = 1 - n / total
+    low, high = held.approxQuantile(value, [max(0.0, share - 2 * BORDER), min(1.0, share + 2 * BORDER)], BORDER)
+    low = float("-inf") if share <= 3 * BORDER else low
+    high = float("inf") if share >= 1 - 3 * BORDER else high
+    above = held.where(F.col(value) > high)
+    wanted = n - above.count()
+    border = dense_index(held.where(F.col(value).between(low, high)), [F.desc(value), F.col(key)], "_idx")
+    return above.unionByName(border.where(F.col("_idx") < wanted).drop("_idx"))
+
+
 def disagreement_topk(preds: DataFrame, n: int, key: str = "pair_id") -> DataFrame:
-    """The n pairs on whose preferred segment the members' probabilities differ most; ties to the smaller key. For n that one task holds."""
-    return disagreement(preds, key).orderBy(F.desc("std"), key).limit(n)
+    """The n pairs on whose preferred segment the members' probabilities differ most; ties to the smaller key."""
+    return top_rows(disagreement(preds, key), n, "std", key)
 
 
 def entropy_topk(preds: DataFrame, n: int, key: str = "pair_id") -> DataFrame:
-    """The n pairs of the largest mean entropy; ties to the smaller key. For n that one task holds."""
-    return mean_entropy(preds, key).orderBy(F.desc("entropy"), key).limit(n)
+    """The n pairs of the largest mean entropy; ties to the smaller key."""
+    return top_rows(mean_entropy(preds, key), n, "entropy", key)
 
 
 def k_center(candidates: DataFrame, labelled: DataFrame, n: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
@@ -233,10 +256,10 @@ def core_set(candidates: DataFrame, labelled: DataFrame, n: int, parts: int, id_
 def two_stage_select(preds: DataFrame, candidates: DataFrame, labelled: DataFrame, n: int, score: str = "disagreement", pool: int | None = None, key: str = "pair_id", vec_col: str = "vec") -> DataFrame:
     """The pool (half of the candidates unless given) by disagreement or entropy, then n of it by k-center. Predictions of others than candidates don't count.
 
-    The pool grows with the candidates, so it is taken by a dense index over range partitions, not by one task.
+    The pool grows with the candidates; no task holds it.
     """
     pool = candidates.count() // 2 if pool is None else pool
     own = preds.join(candidates.select(key), key, "left_semi")
     by, value = {"disagreement": (disagreement, "std"), "entropy": (mean_entropy, "entropy")}[score]
-    top = dense_index(by(own, key), [F.desc(value), F.col(key)], "_idx").where(F.col("_idx") < pool)
+    top = top_rows(by(own, key), pool, value, key)
     return k_center(candidates.join(top.select(key), key, "left_semi"), labelled, n, key, vec_col)

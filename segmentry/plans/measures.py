@@ -152,8 +152,11 @@ def _(spark, d):
     return M.ema_normalise(_ema_rows(spark, d), 0.1).select("run", "step", F.round("normalised", 5).alias("normalised"))
 
 
-@query("T3_session_windows", """WITH s AS (SELECT user_id AS run, event_id, ts, round(value * 100) AS reward, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events),
-g AS (SELECT *, sum(new) OVER (PARTITION BY run ORDER BY ts, event_id) AS s FROM s) SELECT run, epoch_us(min(ts)) AS start, sum(reward) AS reward, count(*) AS length FROM g GROUP BY run, s""")
+SESSIONS = """WITH s AS (SELECT user_id AS run, event_id, ts, round(value * 100) AS reward, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY run ORDER BY ts, event_id) AS s FROM s) SELECT run, epoch_us(min(ts)) AS start, sum(reward) AS reward, count(*) AS length FROM g GROUP BY run, s"""
+
+
+@query("T3_session_windows", SESSIONS)
 def _(spark, d):
     out = streams.stream_sessions(V.raw_steps(spark, d).withColumn("run", F.col("user_id")), "6 hours")
     return out.select("run", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', start)").alias("start"), "reward", "length")

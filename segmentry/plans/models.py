@@ -13,6 +13,7 @@ from segmentry.operators import label, reward, select
 from segmentry.operators.kernels import Network
 from segmentry.plans import views as V
 from segmentry.plans.labels import CLEAN, PREFER, REPLIES, reply_rows
+from segmentry.plans.measures import SESSIONS
 from segmentry.plans.views import EMB, PAIRS, STEPS, query, u
 from segmentry.streaming import streams
 
@@ -81,6 +82,13 @@ state AS (SELECT CAST(0 AS INT) AS rank, id, vec, d FROM near UNION ALL
 SELECT rank, arg_max(id, (d, -id)) AS id, round(max(d), 6) AS distance FROM state GROUP BY rank"""
 
 
+@query("K2_disagreement_half", f"WITH {PRED}, s AS (SELECT pair_id, round(stddev_pop(round(p, 9)), 6) AS std FROM pq GROUP BY pair_id) SELECT * FROM s ORDER BY std DESC, pair_id LIMIT (SELECT count(*) // 2 FROM s)")
+def _(spark, d):
+    """Half of all pairs."""
+    preds = predictions(spark, d)
+    return select.disagreement_topk(preds, preds.select("pair_id").distinct().count() // 2)
+
+
 @query("K4_k_center", f"WITH RECURSIVE {EMB}, pool AS (SELECT id, vec FROM emb WHERE id % 10 <> 0), {_greedy('pool', 10)}")
 def _(spark, d):
     few, rows = _sample(spark, d)
@@ -278,12 +286,26 @@ def _(spark, d):
     rows = V.raw_steps(spark, d).select("run", "step", F.col("ts").cast("timestamp").alias("ts"), "reward", "done")
     late = draws.uniform("late", F.col("step")) * LATE_DAYS * 86_400_000
     rows = rows.withColumn("order", F.unix_millis("ts") + late.cast("long"))
-    beat = rows.agg((F.max("ts") + F.expr("INTERVAL 3 YEARS")).alias("ts")).select(F.lit(-1).cast("long").alias("run"), F.lit(0).cast("long").alias("step"), "ts", F.lit(0.0).alias("reward"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("order"))
     with streams.keyed_state(spark):
-        found = _streamed(spark, rows, lambda s: streams.stream_episodes(s, f"{LATE_DAYS} days 1 hour", 400 * 86_400_000), files=8, last=beat)
+        found = _streamed(spark, rows, lambda s: streams.stream_episodes(s, f"{LATE_DAYS} days 1 hour", 400 * 86_400_000), files=8, last=_beat(rows))
     return found.where("run >= 0").select("run", "episode", "reward", "length", "ended")
 
 
+def _beat(rows):
+    """A row of no run, years after all others, that moves a stream's watermark past them."""
+    newest = rows.agg((F.max("ts") + F.expr("INTERVAL 3 YEARS")).alias("ts"))
+    return newest.select(*(F.col("ts") if f.name == "ts" else F.lit(-1 if f.name == "run" else 0).cast(f.dataType).alias(f.name) for f in rows.schema))
+
+
+@query("T3_stream_sessions", SESSIONS)
+def _(spark, d):
+    """Sessions of steps that come up to five days late, over eight batches, merged where a late step closes a gap."""
+    rows = V.raw_steps(spark, d).select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("ts"), "reward", F.col("step").alias("order"))
+    rows = rows.withColumn("order", F.unix_millis("ts") + (draws.uniform("late", F.col("order")) * LATE_DAYS * 86_400_000).cast("long"))
+    found = _streamed(spark, rows, lambda s: streams.stream_sessions(s, "6 hours", f"{LATE_DAYS} days 1 hour"), files=8, last=_beat(rows))
+    return found.where("run >= 0").select("run", F.unix_micros("start").alias("start"), "reward", "length")
+
+
 @query("T2_stream_meters", """WITH w AS (SELECT to_timestamp(floor(epoch(ts) / 21600) * 21600) AS start, event_type AS key, round(value * 100) AS value, max(ts) OVER () AS newest FROM events)
 SELECT CAST(epoch(start) AS BIGINT) AS start, key, round(sum(value) / count(*), 6) AS value FROM w WHERE epoch(start) + 21600 <= epoch(newest) - 600 GROUP BY start, key""")
 def _(spark, d):

@@ -545,3 +545,19 @@ def test_steps_with_several_boxes(spark):
     boxes = spark.createDataFrame(bounds, "run long, episode long, t int, box string, x_lo double, x_hi double, y_lo double, y_hi double, z_lo double, z_hi double")
     assert sorted((r.box, r.n_inside, r.n) for r in particles.count_in_box(points, boxes).collect()) == [("large", 8, 10), ("small", 3, 10)]
     assert particles.count_in_box(points, boxes.where("box = 'small'").drop("box")).first()["n"] == 10
+
+
+def test_top_rows_of_any_number(spark):
+    rng = np.random.default_rng(13)
+    values = np.concatenate((rng.normal(size=1500).round(3), np.full(2500, 0.5), rng.normal(size=500)))  # more than half are ties
+    rows = spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(values)] + [(9_000, None), (9_001, float("nan"))], "k long, v double")
+    want = sorted(range(len(values)), key=lambda i: (-values[i], i))
+    for n in (0, 1, 30, 700, 2250, 4400, 4499, 4500, 9000):
+        assert sorted(r.k for r in select.top_rows(rows, n, "v", "k").collect()) == sorted(want[:n])
+
+
+def test_top_rows_rank_the_border_alone(spark, monkeypatch):
+    rows = spark.range(100_000).selectExpr("id k", "cast(id * 7919 % 100003 as double) v")
+    ranked, index = [], select.dense_index
+    monkeypatch.setattr(select, "dense_index", lambda some, *how: ranked.append(some.count()) or index(some, *how))
+    assert select.top_rows(rows, 50_000, "v", "k").count() == 50_000 and 0 < ranked[0] < 4_000
