@@ -17,7 +17,7 @@ import numpy as np
 #: The tokenizer file's pre-tokenizer pattern (a fixed value of its format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Entries of a generation of either cache, and the bytes of the longest piece that is kept. When the young one is full it becomes the old one, and what is met again moves back.
-CACHE, LONGEST = 50_000, 40
+CACHE, LONGEST = 100_000, 40
 
 
 def vocabulary(name: str) -> str:
