@@ -175,14 +175,20 @@ def mean_entropy(preds: DataFrame, key: str = "pair_id") -> DataFrame:
 
 #: Half the width, in shares of all rows, of the border in which the n-th value is looked for.
 BORDER = 0.005
+#: Rows that a task may hold to find the first among them.
+ONE_TASK = 10_000
 
 
-def top_rows(rows: DataFrame, n: int, value: str, key: str) -> DataFrame:
-    """The n rows of the largest values, ties to the smaller key; rows without a value are never chosen. For any n: no task holds n rows.
+def top_rows(rows: DataFrame, n: int, value: str, key: str, one_task: int = ONE_TASK) -> DataFrame:
+    """The n rows of the largest values, ties to the smaller key; rows without a value are never chosen.
 
-    A quantile sketch gives two values between which the n-th lies, whatever its errors. Rows above both are taken, and only those between them are ranked, over range partitions.
+    Up to one_task rows each task keeps its first n, in one pass. For more, of which no task holds n, a quantile sketch gives two values between which the n-th lies, whatever its
+    errors. Rows above both are taken, and only those between them are ranked, over range partitions.
     """
-    held = written(rows.where(F.col(value).isNotNull() & ~F.isnan(value)), "values")
+    usable = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
+    if n <= one_task:
+        return usable.orderBy(F.desc(value), key).limit(n)
+    held = written(usable, "values")
     total = held.count()
     if n >= total:
         return held

@@ -553,7 +553,8 @@ def test_top_rows_of_any_number(spark):
     rows = spark.createDataFrame([(int(i), float(v)) for i, v in enumerate(values)] + [(9_000, None), (9_001, float("nan"))], "k long, v double")
     want = sorted(range(len(values)), key=lambda i: (-values[i], i))
     for n in (0, 1, 30, 700, 2250, 4400, 4499, 4500, 9000):
-        assert sorted(r.k for r in select.top_rows(rows, n, "v", "k").collect()) == sorted(want[:n])
+        for one_task in (0, 10_000):
+            assert sorted(r.k for r in select.top_rows(rows, n, "v", "k", one_task).collect()) == sorted(want[:n])
 
 
 def test_top_rows_rank_the_border_alone(spark, monkeypatch):
