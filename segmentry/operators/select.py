@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ FULL_BLOCK = 8_192
 PICKS = 8
 
 
-#: Pivots of an index at most; their vectors, and four numbers a cell, are what tasks are given.
+#: Pivots of an index at most, unless more are asked for; there are as many as the square root of the vectors. Their vectors, and four numbers a cell, are what tasks are given.
 PIVOTS = 256
 #: Distances are compared with this relative slack, so that rounding never drops a cell.
 SLACK = 1e-9
@@ -34,12 +35,13 @@ class Index:
         self.rows, self.pivots, self.cells = rows, pivots, cells.reset_index(drop=True)
 
 
-def metric_index(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", pivots: int = PIVOTS, block: int = FULL_BLOCK) -> Index:
+def metric_index(vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", pivots: int | None = None, block: int = FULL_BLOCK) -> Index:
     """An index of vectors: each goes to its nearest pivot, a vector drawn by the hash of its id; a pivot of very many is dealt over several cells of some `block` vectors.
 
     The driver gets the pivots and a row a cell, of which there are no more than pivots and vectors / block together.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    pivots = min(PIVOTS, math.isqrt(rows.count()) + 1) if pivots is None else pivots
     drawn = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]
     points = np.unique(np.array(drawn, float), axis=0) if drawn else np.zeros((0, 0))
     held = rows.sparkSession.sparkContext.broadcast(points)
@@ -140,13 +142,13 @@ def compared_pairs(visits: DataFrame, index: Index) -> int:
     return visits.join(F.broadcast(sizes), "cell").agg(F.sum("n")).first()[0] or 0
 
 
-def knn_distance(sample: DataFrame, full: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] = (SAMPLE_BLOCK, FULL_BLOCK), pivots: int = PIVOTS) -> DataFrame:
+def knn_distance(sample: DataFrame, full: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] = (SAMPLE_BLOCK, FULL_BLOCK), pivots: int | None = None) -> DataFrame:
     """(id, distance): from each sample vector to the (k+1)-th nearest of all, itself being one of them; null if there are fewer. Ids are unique."""
     near, _ = _near(sample, metric_index(full, id_col, vec_col, pivots, blocks[1]), k + 1, blocks[0], id_col, vec_col)
     return near.select("id", F.get("near", F.lit(k))["distance"].alias("distance"))
 
 
-def nearest_neighbour(points: DataFrame, targets: DataFrame, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] = (SAMPLE_BLOCK, FULL_BLOCK), pivots: int = PIVOTS) -> DataFrame:
+def nearest_neighbour(points: DataFrame, targets: DataFrame, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] = (SAMPLE_BLOCK, FULL_BLOCK), pivots: int | None = None) -> DataFrame:
     """(id, neighbour, distance): the nearest target of each point, ties to the smaller id; points without a target don't come back. Ids are unique."""
     near, _ = _near(points, metric_index(targets, id_col, vec_col, pivots, blocks[1]), 1, blocks[0], id_col, vec_col)
     return near.where(F.size("near") > 0).select("id", F.get("near", F.lit(0))["other"].alias("neighbour"), F.get("near", F.lit(0))["distance"].alias("distance"))
