@@ -1,9 +1,10 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Units are the lines of a text, the text as a whole, and windows of as many words as a template has, over lines and inside them, so that a
-notice wrapped over lines of a long document and one between other sentences of a line are found too. A window that touches lines
-which hold a licence by themselves is a unit only if it goes over several lines and its coefficient is above theirs; of windows that overlap
-the best is a unit, the others are none. Words are runs of a-z and 0-9 after lower-casing A-Z. The Dice coefficient of bigram sets A and B is
+Units are the lines of a text, the text as a whole, and windows of words, over lines and inside them, so that a notice wrapped over lines of a
+long document and one between other sentences of a line are found too. A template's windows have its own number of words and eight others, from the least to
+the largest that can reach the threshold, so that a notice with words put in or left out meets a window of about its size. A window that touches lines
+which hold a licence by themselves is a unit only if it goes over several lines, cuts none of those, and its coefficient is above theirs. Of windows that overlap
+the best is a unit, the others are none; ties go to the template first in order, then to the earlier and the shorter window. Words are runs of a-z and 0-9 after lower-casing A-Z. The Dice coefficient of bigram sets A and B is
 2|A n B| / (|A| + |B|); at threshold t only templates with |A| t / (2 - t) <= |B| <= |A| (2 - t) / t can reach it, which
 prunes templates by size, and units whose bigrams in common with any template are too few for their size are passed over. A window has to
 hold |B| t / (2 - t) bigrams of its template at least.
@@ -80,6 +81,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ),
 )
+#: Widths of windows on either side of a template's own.
+STEPS = 4
 WORD = re.compile(rb"[a-z0-9]+")
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1)]] = True
@@ -154,8 +157,14 @@ def hopeful(texts: list[bytes], known: np.ndarray, percent: int, least: int, lar
     return (text, few - first[text]), np.array(whole, np.int64), bits
 
 
-def hopeful_windows(bits: tuple[np.ndarray, ...], taken: list[tuple[int, int]], owns: np.ndarray, widths: list[int], needs: list[int]) -> list[tuple[int, int, int]]:
-    """(text, template, first word) of the windows with enough of the template's bigrams, away from the (text, line) taken, which no window can better.
+def widths_of(text: str, percent: int) -> list[int]:
+    """The numbers of words of a template's windows: its own, and this times powers of a step that lead in STEPS to the largest and least sizes of bigram sets which can reach the threshold."""
+    n, most = len(WORD.findall(text.lower().encode())), (200 - percent) / percent
+    return sorted({max(2, round(n * most ** (k / STEPS))) for k in range(-STEPS, STEPS + 1)})
+
+
+def hopeful_windows(bits: tuple[np.ndarray, ...], taken: list[tuple[int, int]], owns: np.ndarray, widest: list[int], needs: list[int]) -> dict[int, list[tuple[int, int, int]]]:
+    """Of each text that has some: (template, first and last place of its bigrams) of the templates with enough of their bigrams in some window, away from the (text, line) taken, which no window can better.
 
     owns has a row a template and a column a known bigram. Repeats count, so that no window that reaches the threshold is left out.
     """
@@ -165,41 +174,79 @@ def hopeful_windows(bits: tuple[np.ndarray, ...], taken: list[tuple[int, int]],
         used = np.array([t * span + x for t, x in taken if x < span])
         free = ~(np.isin(text * span + line, used) | np.isin(text * span + next_line, used))
         number, text, word = number[free], text[free], word[free]
-    found: set[tuple[int, int, int]] = set()
-    for i, (width, need) in enumerate(zip(widths, needs)):
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for i, (width, need) in enumerate(zip(widest, needs)):
         own = owns[i, number]
         t, w = text[own], word[own]
         low, high = np.arange(max(0, len(t) - need + 1)), np.arange(need - 1, len(t))
         near = (t[low] == t[high]) & (w[high] - w[low] <= width - 2)
-        for x, a, b in zip(t[low][near].tolist(), w[low][near].tolist(), w[high][near].tolist()):
-            found.update((x, i, start) for start in range(max(0, b + 2 - width), a + 1))
-    return sorted(found)
-
-
-def windows(text: bytes, held: dict[int, float], hopes: list[tuple[int, int]], sets: list[tuple[str, frozenset]], widths: list[int], percent: int) -> Iterator[tuple[int, int, int, int]]:
-    """(template, shared, sizes, line of the first word) of the best windows that don't overlap, ties to the template first in order, then to the earlier one. held: coefficients of lines."""
-    spans = [m.span() for m in WORD.finditer(text.lower())]
-    words = [text[a:b].lower() for a, b in spans]
-    ends = [m.start() for m in re.finditer(b"\n", text)]
-    lines = np.searchsorted(ends, [a for a, _ in spans])
-    bar = [held.get(x, 0.0) for x in lines.tolist()]
+        low, high = low[near], high[near]
+        new = np.flatnonzero(np.diff(t[low], prepend=-1))
+        for x, a, z in zip(t[low][new].tolist(), w[low][new].tolist(), w[high][np.append(new[1:], len(low))[: len(new)] - 1].tolist()):
+            found.setdefault(x, []).append((i, a, z))
+    return found
+
+
+def distinct_in_windows(before: np.ndarray, places: np.ndarray, begin: int, n: int, size: int) -> np.ndarray:
+    """Of the n windows of `size` bigrams that start at begin, begin + 1, ...: how many different bigrams of those at places each has. before: the place of the same bigram before each one, or -1.
+
+    A bigram counts in a window where it stands in it for the first time: for starts after the place before, as far back as the window reaches.
+    """
+    low = np.maximum(np.maximum(before[places] + 1, places - size + 1) - begin, 0)
+    high = np.minimum(places - begin, n - 1)
+    some = low <= high
+    steps = np.bincount(low[some], minlength=n + 1) - np.bincount(high[some] + 1, minlength=n + 1)
+    return np.cumsum(steps[:n])
+
+
+def windows(text: bytes, held: dict[int, float], hopes: list[tuple[int, int, int]], sets: list[tuple[str, frozenset]], widths: list[list[int]], percent: int) -> Iterator[tuple[int, int, int, int]]:
+    """(template, shared, sizes, line of the first word) of the best windows that don't overlap. held: coefficients of lines. Linear in the text for each hopeful template and width."""
+    found = [(m.group(), m.start()) for m in WORD.finditer(text.lower())]
+    numbers: dict[bytes, int] = {}
+    word = np.fromiter((numbers.setdefault(w, len(numbers)) for w, _ in found), np.int64, len(found))
+    breaks = np.array([m.start() for m in re.finditer(b"\n", text)], np.int64)
+    line = np.searchsorted(breaks, np.array([a for _, a in found], np.int64))
+    pair = word[:-1] * len(numbers) + word[1:]
+    order = np.argsort(pair, kind="stable")
+    same = pair[order[1:]] == pair[order[:-1]]
+    before = np.full(len(pair), -1, np.int64)
+    before[order[1:][same]] = order[:-1][same]
+    bar = np.zeros(len(word) + 1)  # the coefficient of each word's line, if it holds a licence by itself
+    if held:
+        lines, values = (np.array(x) for x in zip(*sorted(held.items())))
+        at = np.minimum(np.searchsorted(lines, line), len(lines) - 1)
+        bar[:-1] = np.where(lines[at] == line, values[at], 0)
+    inner = np.concatenate(([False], line[1:] == line[:-1], [False]))  # the word is on the line of the one before
     reached = []
-    for i, start in hopes:
-        stop = start + widths[i]
-        if stop > len(words):
-            continue
-        least = max(bar[start:stop])
-        if least and lines[start] == lines[stop - 1]:
-            continue
-        unit, other = frozenset(zip(words[start : stop - 1], words[start + 1 : stop])), sets[i][1]
-        shared, both = len(unit & other), len(unit) + len(other)
-        if 200 * shared >= percent * both and 2 * shared / both > least:
-            reached.append((-shared / both, i, start, stop, shared, both))
-    chosen: list[tuple[int, int]] = []
-    for _, i, start, stop, shared, both in sorted(reached):
-        if all(stop <= a or b <= start for a, b in chosen):
-            chosen.append((start, stop))
-            yield i, shared, both, int(lines[start])
+    for i, first, last in hopes:
+        other = sets[i][1]
+        known = np.array([numbers[a] * len(numbers) + numbers[b] for a, b in other if a in numbers and b in numbers], np.int64)
+        area = np.arange(max(0, first - widths[i][-1]), min(len(pair), last + widths[i][-1]))
+        own = area[np.isin(pair[area], known)]
+        for width in widths[i]:
+            begin, n = int(area[0]), len(area) - width + 2
+            if n < 1:
+                continue
+            shared = distinct_in_windows(before, own, begin, n, width - 1)
+            both = distinct_in_windows(before, area, begin, n, width - 1) + len(other)
+            start = np.flatnonzero(200 * shared >= percent * both)
+            if not len(start):
+                continue
+            shared, both, start = shared[start], both[start], start + begin
+            stop = start + width
+            least = np.maximum.reduceat(bar, np.column_stack((start, stop)).ravel())[::2] if held else np.zeros(len(start))
+            cuts = (bar[start] > 0) & inner[start] | (bar[stop - 1] > 0) & inner[stop]
+            good = (2 * shared / both > least) & ((least == 0) | (line[start] < line[stop - 1]) & ~cuts)
+            reached.append(np.column_stack((start, stop, np.full(len(start), i), shared, both))[good])
+    if not reached:
+        return
+    start, stop, template, shared, both = np.concatenate(reached).T
+    free = bytearray(len(word))
+    for k in np.lexsort((stop, start, template, -shared / both)).tolist():
+        a, z = int(start[k]), int(stop[k])
+        if free.find(1, a, z) < 0:
+            free[a:z] = b"\x01" * (z - a)
+            yield int(template[k]), int(shared[k]), int(both[k]), int(line[a])
 
 
 def scan(docs: DataFrame, percent: int = 80, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,20 +263,21 @@ def scan(docs: DataFrame, percent: int = 80, templates: tuple[tuple[str, str], .
         mixed = hashes[::2] * np.uint64(0x9E3779B97F4A7C15) + hashes[1::2]
         known = np.unique(mixed)
         owns = np.array([np.isin(known, mixed[[p in s for p in pairs]]) for _, s in sets])
-        widths = [len(WORD.findall(text.lower().encode())) for _, text in templates]
+        widths = [widths_of(text, percent) for _, text in templates]
         needs = [max(1, -(-percent * len(s) // (200 - percent))) for _, s in sets]
         least, largest = (f(len(s) for _, s in sets) for f in (min, max))
         for part, texts in pieces_of(batches):
             found: list[list[tuple]] = [[] for _ in texts]
             hopes, whole, bits = hopeful(texts, known, percent, least, largest)
-            for t, line in zip(*(x.tolist() for x in hopes)):
-                unit = bigrams(texts[t].split(b"\n")[line])
-                if hit := best_template(unit, sets, percent):
-                    found[t].append((*hit, line))
+            for t, group in groupby(zip(*(x.tolist() for x in hopes)), lambda x: x[0]):
+                lines = texts[t].split(b"\n")
+                for _, line in group:
+                    if hit := best_template(bigrams(lines[line]), sets, percent):
+                        found[t].append((*hit, line))
             held = [{line: 2 * shared / both for _, shared, both, line in f} for f in found]
             taken = [(t, line) for t, h in enumerate(held) for line, dice in h.items() if dice == 1]
-            for t, group in groupby(hopeful_windows(bits, taken, owns, widths, needs), lambda x: x[0]):
-                found[t].extend(windows(texts[t], held[t], [x[1:] for x in group], sets, widths, percent))
+            for t, hopes in hopeful_windows(bits, taken, owns, [w[-1] for w in widths], needs).items():
+                found[t].extend(windows(texts[t], held[t], hopes, sets, widths, percent))
             for t in whole.tolist():
                 if b"\n" in texts[t] and (hit := best_template(bigrams(texts[t]), sets, percent)):
                     found[t].append((*hit, -1))
