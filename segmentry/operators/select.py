@@ -18,8 +18,8 @@ from segmentry.sources.shared import written
 #: Vectors of a block of the sample. A block is what each task holds; the blocks are rows dealt to the tasks of the other side.
 SAMPLE_BLOCK = 1_024
 FULL_BLOCK = 8_192
-#: Picks of k_center between two writings of its table.
-PICKS = 8
+#: Candidates that k_center brings to the driver in a job.
+FRONT = 1_024
 
 
 #: Pivots of an index at most, unless more are asked for; there are as many as the square root of the vectors. Their vectors, and four numbers a cell, are what tasks are given.
@@ -214,12 +214,13 @@ def entropy_topk(preds: DataFrame, n: int, key: str = "pair_id") -> DataFrame:
     return top_rows(mean_entropy(preds, key), n, "entropy", key)
 
 
-def k_center(candidates: DataFrame, labelled: DataFrame, n: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+def k_center(candidates: DataFrame, labelled: DataFrame, n: int, id_col: str = "id", vec_col: str = "vec", front: int = FRONT) -> DataFrame:
     """(rank, id, distance) of n candidates, each the one furthest from all labelled and picked so far; ties to the smaller id.
 
-    One pass against the labelled set gives each candidate's distance to it. Each pick then takes the largest, one row, to the
-    driver and lowers the others' distances by their distance to it alone: n small jobs over a table that is written again every
-    few picks. With nothing labelled the first pick is the smallest id.
+    One pass against the labelled set gives each candidate's distance to it, which picks can only lower: it bounds the distance from above. A job brings the `front`
+    candidates of the largest bounds and the one after them. Their distances are kept exact as picks are made among them, and a pick is settled
+    as long as it comes before that next one, behind which all others stay. The new picks then lower the other bounds, in one pass, and the next job follows. The driver
+    holds front + 1 vectors. With nothing labelled the first pick is the smallest id.
     """
     from segmentry.functions.vectors import distance
 
@@ -227,18 +228,29 @@ def k_center(candidates: DataFrame, labelled: DataFrame, n: int, id_col: str = "
     first = nearest_neighbour(candidates, labelled, id_col, vec_col).select("id", F.col("distance").alias("d"))
     state = written(rows.join(first, "id", "left").withColumn("d", F.coalesce("d", F.lit(float("inf")))), "k-center")
     picked: list[tuple] = []
-    since: list[tuple] = []
     while len(picked) < n:
-        nearer = [distance(F.col("v"), F.array(*map(F.lit, v))) for _, v in since]
-        now = state.where(~F.col("id").isin([i for i, _ in since])).withColumn("d", F.least("d", *nearer)) if since else state
-        if len(since) == PICKS:
-            state, since = written(now, "k-center"), []
-            continue
-        best = now.orderBy(F.desc("d"), "id").limit(1).collect()
-        if not best:
+        held = state.orderBy(F.desc("d"), "id").limit(front + 1).collect()
+        if not held:
             break
-        picked.append((len(picked), best[0]["id"], best[0]["d"]))
-        since.append((best[0]["id"], best[0]["v"]))
+        border = (-held[front]["d"], held[front]["id"]) if len(held) > front else (float("inf"), 0)
+        held = held[:front]
+        ids, d, v = np.array([r["id"] for r in held]), np.array([r["d"] for r in held]), np.array([r["v"] for r in held], float)
+        new, left = [], np.ones(len(held), bool)
+        while len(picked) < n and left.any():
+            at = np.flatnonzero(left & (d == d[left].max()))
+            best = int(at[ids[at].argmin()])
+            if new and (-d[best], ids[best]) >= border:
+                break
+            picked.append((len(picked), int(ids[best]), float(d[best])))
+            new.append(best)
+            left &= ids != ids[best]
+            # Sums in the order of the elements, as the columns take them.
+            d = np.minimum(d, np.sqrt(np.add.accumulate((v - v[best]) ** 2, axis=1)[:, -1]))
+        if len(picked) < n:
+            one = candidates.sparkSession.createDataFrame([(ids[new].tolist(), v[new].tolist())], "_ids array<long>, _centres array<array<double>>")
+            nearer = F.array_min(F.transform("_centres", lambda c: distance(F.col("v"), c)))
+            others = state.crossJoin(F.broadcast(one)).where(~F.array_contains("_ids", F.col("id")))
+            state = written(others.select("id", "v", F.least("d", nearer).alias("d")), "k-center")
     return candidates.sparkSession.createDataFrame(picked, "rank int, id long, distance double")
 
 

@@ -38,6 +38,30 @@ def test_k_center_is_greedy(spark):
     assert [r.id for r in select.k_center(frame(many, 0), frame(few, 100), 20).orderBy("rank").collect()] == want
 
 
+def test_k_center_settles_many_picks_a_job(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    frame = lambda x, start: spark.createDataFrame([(start + i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    points = rng.integers(0, 6, size=(1500, 3)).astype(float)  # many ties and repeated vectors
+    few, many = frame(points[:5], 5000), frame(points[5:], 0)
+    d, want = np.sqrt(((points[5:, None] - points[None, :5]) ** 2).sum(2)).min(1), []
+    for k in range(10):
+        best = int(d.argmax())
+        want.append((k, best, float(d[best])))
+        d = np.minimum(d, np.sqrt(((points[5:] - points[5 + best]) ** 2).sum(1)))
+        d[best] = -1
+    tables = []
+    plain = select.written
+    monkeypatch.setattr(select, "written", lambda df, what: (tables.append(what), plain(df, what))[1])
+    for front, most in ((1, 10), (30, 10), (5000, 1)):
+        tables.clear()
+        assert [tuple(r) for r in select.k_center(many, few, 10, front=front).orderBy("rank").collect()] == want
+        assert tables.count("k-center") <= most
+    smooth = frame(rng.normal(size=(3000, 8)), 0)
+    tables.clear()
+    assert select.k_center(smooth, few.select("id", F.array_repeat(F.lit(0.0), 8).alias("vec")), 10).count() == 10
+    assert tables.count("k-center") <= 3
+
+
 def test_core_set_picks_from_the_candidates(spark):
     got = select.core_set(vectors(spark, range(50)), vectors(spark, [0], 100), 4, 3).collect()
     assert len({r.id for r in got}) == 4
