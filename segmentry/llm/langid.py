@@ -3,8 +3,8 @@
 Learning counts hashed letter trigrams by language over all rows to learn from, as Spark sums of what each task counted; the
 table of log probabilities (buckets x languages) is all that reaches the driver. So that it is bounded, at most `most` languages are learned, those of
 most documents, ties to the first in order. A text's words have a likelihood in each language, the
-product of their trigrams'; EM finds the proportions of languages that make the words likeliest. A few rounds over all languages leave those with a share
-that counts; their proportions are then followed until a round adds less than TOLERANCE to the log likelihood. The set of languages is
+product of their trigrams'; EM finds the proportions of languages that make the words likeliest. Equal words of a text are one with a count. Rounds over all languages,
+speeded by squared extrapolation, go on until they add less than TOLERANCE to the log likelihood, or can't add more by its slope. The set of languages is
 chosen among the m most frequent for m = 1, 2, ..., each fitted to the same tolerance and penalised for each language by half the log of the number of words;
 the search of a text ends where one more language gains nothing.
 The prediction is the language with the largest share in the chosen set, the score that share.
@@ -19,9 +19,11 @@ learned from. lang, source and doc_id are no inputs of a prediction. Other colum
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,10 @@ BUCKETS = 1 << 15
 SMOOTHING = 0.5
 #: Languages that a model knows at most.
 LANGUAGES = 256
-#: Rounds over all languages, and the share of the words that a language must have after them to be followed further.
-WARM, LEAST_SHARE = 3, 1e-3
-#: A fit ends where a round adds less to the log likelihood of the whole text.
+#: A fit ends where rounds add less to the log likelihood of the whole text, or are proved to.
 TOLERANCE = 1e-2
+#: Numbers (words or trigrams by languages) that are held at a time for texts together, and words of a long text in a block.
+CELLS, BLOCK = 1 << 22, 1 << 14
 
 
 @lru_cache(1)
@@ -82,81 +84,125 @@ class LanguageModel:
     def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """shares, and whether each text, its words each in the language likeliest for it, is likely enough to be in known languages."""
         out, known = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool)
-        buckets, word, text = trigrams([t.lower() for t in texts])
-        if not len(buckets) or not self.languages:
+        if not self.languages:
             return out, known
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        like = np.add.reduceat(self.table[buckets], first, axis=0)
-        top = like.max(axis=1, keepdims=True)
-        letters = np.bincount(text, np.diff(np.append(first, len(buckets))), len(texts))
         least, slack = self.floor()
-        known = (letters > 0) & (np.bincount(text, top[:, 0], len(texts)) >= letters * least - slack * np.sqrt(letters))
-        like = np.exp(like - top)
-        begin = np.flatnonzero(np.diff(text, prepend=-1))  # the first word of each text that has any
-        out[text[begin]] = mixtures(like, np.diff(np.append(begin, len(text))))
+        counted = distinct_words([t.lower() for t in texts])
+        sizes = np.fromiter(map(len, counted), np.int64, len(counted))
+        group = np.cumsum(sizes) * len(self.languages) // CELLS
+        full = np.flatnonzero(sizes > 0)
+        for own in np.split(full, np.flatnonzero(np.diff(group[full])) + 1):
+            if not len(own):
+                continue
+            buckets, word, _ = trigrams([" ".join(counted[i]) for i in own])
+            words = sizes[own]
+            times = np.fromiter(chain.from_iterable(counted[i].values() for i in own), float, int(words.sum()))
+            like = self.likelihoods(buckets, word, len(times))
+            top = like.max(axis=1, keepdims=True)
+            letters = run_sums(times * np.bincount(word, minlength=len(times)), words)
+            known[own] = run_sums(times * top[:, 0], words) >= letters * least - slack * np.sqrt(letters)
+            like -= top
+            out[own] = mixtures(np.exp(like, out=like), words, times)
         return out, known
 
+    def likelihoods(self, buckets: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+        """(n, languages): log likelihood of each word, summed over so many of its trigrams at a time that memory is bounded."""
+        out, step = np.zeros((n, len(self.languages)), np.float32), max(1, CELLS // len(self.languages))
+        for a in range(0, len(buckets), step):
+            part = word[a : a + step]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            out[part[first]] += np.add.reduceat(self.table[buckets[a : a + step]], first, axis=0)
+        return out
 
-def run_sums(x: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(x, np.concatenate(([0], np.cumsum(words)[:-1])), axis=0)
 
+def distinct_words(texts: list[str]) -> list[Counter]:
+    """Of texts in lower case: how often each word occurs. Words end at non-letters."""
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    shown = np.where(_is_letter()[codes], codes, 32).astype(np.uint32)
+    shown[np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64) - 1] = 10
+    return [Counter(x.split()) for x in shown.tobytes().decode("utf-32-le").split("\n")]
 
-def rounds(like: np.ndarray, words: np.ndarray, shares: np.ndarray, n: int) -> np.ndarray:
-    """Shares after n rounds of EM. like: (words, languages) of texts one after the other; words: their numbers."""
-    for _ in range(n):
-        part = like * np.repeat(shares, words, axis=0)
-        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-        shares = run_sums(part, words) / words[:, None]
-    return shares
 
+def run_sums(x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, np.concatenate(([0], np.cumsum(words)[:-1])), axis=0)
 
-def converged(like: np.ndarray, words: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shares, log likelihood) of each text when a round of EM adds less than TOLERANCE; texts that are done leave."""
+
+def em_round(like: np.ndarray, words: np.ndarray, times: np.ndarray, size: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shares after a round of EM, log likelihood before it, bound on what all further rounds can add) of each text.
+
+    like: (words, languages) of texts one after the other; words: their numbers of distinct words; times: how often each occurs; size: the sums of times.
+    The log likelihood is concave, so its slope towards the steepest language bounds the rest.
+    """
+    if len(words) == 1:  # a text alone, which may be very long, in blocks
+        pull, score = np.zeros((1, like.shape[1])), np.zeros(1)
+        for i in range(0, len(like), BLOCK):
+            part, n = like[i : i + BLOCK].astype(float), times[i : i + BLOCK]
+            total = np.maximum(part @ shares[0], 1e-300)
+            score += n @ np.log(total)
+            pull += (n / total) @ part
+    else:
+        total = np.maximum(np.einsum("ij,ij->i", like, np.repeat(shares, words, axis=0)), 1e-300)
+        score = run_sums(times * np.log(total), words)
+        pull = run_sums(like * (times / total)[:, None], words)
+    pull /= size[:, None]
+    left = size * (np.where(shares > 0, pull, 0).max(axis=1) - 1)
+    now = shares * pull
+    return now / np.maximum(now.sum(axis=1, keepdims=True), 1e-300), score, left
+
+
+def converged(like: np.ndarray, words: np.ndarray, times: np.ndarray, size: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shares, log likelihood) of each text when rounds of EM add less than TOLERANCE; texts that are done leave.
+
+    Two rounds show where a text's shares are heading; they leap as far as squared extrapolation says, and a third round follows. A leap that loses is not taken.
+    """
     shares, score = shares.copy(), np.full(len(words), -np.inf)
-    at, own, count = np.arange(len(words)), like, words
+    at = np.arange(len(words))
     while len(at):
-        part = own * np.repeat(shares[at], count, axis=0)
-        total = np.maximum(part.sum(axis=1), 1e-300)
-        now = run_sums(np.log(total), count)
-        gain, score[at] = now - score[at], now
-        moving = gain >= TOLERANCE
+        start = shares[at]
+        one, now, left = em_round(like, words, times, size, start)
+        moving = (left >= TOLERANCE) & (now - score[at] >= TOLERANCE)
+        score[at] = now
         if not moving.all():
-            rows = np.repeat(moving, count)
-            at, own, part, total, count = at[moving], own[rows], part[rows], total[rows], count[moving]
+            rows = np.repeat(moving, words)
+            at, like, words, times, size, start, one = at[moving], like[rows], words[moving], times[rows], size[moving], start[moving], one[moving]
             if not len(at):
                 break
-        shares[at] = run_sums(part / total[:, None], count) / count[:, None]
+        two, least, _ = em_round(like, words, times, size, one)
+        step, bend = one - start, two - 2 * one + start
+        length = np.maximum(1, np.linalg.norm(step, axis=1) / np.maximum(np.linalg.norm(bend, axis=1), 1e-300))[:, None]
+        length = np.minimum(length, 1e6)
+        leap = start + 2 * length * step + length**2 * bend
+        leap = np.where(leap > 0, leap, two / 10)
+        leap /= leap.sum(axis=1, keepdims=True)
+        three, reached, _ = em_round(like, words, times, size, leap)
+        shares[at] = np.where((reached >= least)[:, None], three, two)
     return shares, score
 
 
-def mixtures(like: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """(texts, languages): proportions in the chosen set of each text, 0 elsewhere."""
+def mixtures(like: np.ndarray, words: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """(texts, languages): proportions in the chosen set of each text, 0 elsewhere. Arguments as in em_round; without times each word occurs once."""
     n, languages = len(words), like.shape[1]
-    shares = rounds(like, words, np.full((n, languages), 1 / languages), WARM)
+    times = np.ones(len(like)) if times is None else times
+    size = run_sums(times, words)
+    shares, _ = converged(like, words, times, size, np.full((n, languages), 1 / languages))
     order = np.argsort(-shares, axis=1, kind="stable")
-    wide = max(1, int((shares >= LEAST_SHARE).sum(axis=1).max()))
-    order = order[:, :wide]
-    own = np.take_along_axis(like, np.repeat(order, words, axis=0), axis=1)
     shares = np.take_along_axis(shares, order, axis=1)
-    shares[shares < LEAST_SHARE] = 0
-    shares[:, 0] += shares.sum(axis=1) == 0
-    shares, _ = converged(own, words, shares / shares.sum(axis=1, keepdims=True))
-    again = np.argsort(-shares, axis=1, kind="stable")
-    order, shares = np.take_along_axis(order, again, axis=1), np.take_along_axis(shares, again, axis=1)
-    own = np.take_along_axis(own, np.repeat(again, words, axis=0), axis=1)
-    best, best_score = np.zeros_like(shares), np.full(n, -np.inf)
-    at, count = np.arange(n), words
-    for m in range(1, wide + 1):
-        some = shares[at, :m]
-        tried, score = converged(own[:, :m], count, some / some.sum(axis=1, keepdims=True))
-        score -= 0.5 * (m - 1) * np.log(count)
-        better = (score > best_score[at]) & (some[:, -1] > 0)
+    best, best_score, at = np.zeros_like(shares), np.full(n, -np.inf), np.arange(n)
+    own = np.zeros((0, 0))
+    for m in range(1, languages + 1):
+        if own.shape[1] < m:  # the likelihoods of twice as many languages, in order of their shares
+            own = np.take_along_axis(like, np.repeat(order[at, : 2 * m], words, axis=0), axis=1)
+        some = np.maximum(shares[at, :m], 1e-12)
+        tried, score = converged(own[:, :m], words, times, size, some / some.sum(axis=1, keepdims=True))
+        score -= 0.5 * (m - 1) * np.log(size)
+        better = score > best_score[at]
         won = at[better]
-        best[won], best_score[won] = 0, score[better]
-        best[won, :m] = tried[better]
-        at, own, count = won, own[np.repeat(better, count)], count[better]
-        if not len(at):
-            break
+        best[won, :m], best_score[won] = tried[better], score[better]
+        if not better.all():
+            rows = np.repeat(better, words)
+            at, like, own, words, times, size = won, like[rows], own[rows], words[better], times[rows], size[better]
+            if not len(at):
+                break
     out = np.zeros((n, languages))
     np.put_along_axis(out, order, best, axis=1)
     return out
@@ -180,12 +226,13 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most:
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], names=["lang", "bucket", "n"])
 
-    counts = in_arrow(rows, work, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # buckets x languages at most
-    languages = tuple(sorted(counts["lang"].unique()))
+    counts = in_arrow(rows, work, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).selectExpr("lang", "c.bucket as bucket", "c.n as n").toArrow()  # a row a language, of BUCKETS numbers at most
+    each = sorted(zip(found.column("lang").to_pylist(), found.column("bucket"), found.column("n")), key=lambda x: x[0])
+    languages = tuple(lang for lang, _, _ in each)
     table = np.full((BUCKETS, len(languages)), SMOOTHING)
-    for k, lang in enumerate(languages):
-        own = counts[counts["lang"] == lang]
-        table[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
+    for k, (_, bucket, n) in enumerate(each):
+        table[bucket.values.to_numpy(), k] += n.values.to_numpy()
     return LanguageModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
 
 

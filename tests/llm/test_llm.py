@@ -523,6 +523,46 @@ def test_languages_are_bounded_and_many_are_followed():
     assert np.allclose(shares.sum(axis=1), 1) and shares[0].argmax() == 7 and shares[2, 30] > 0.4 and shares[2, 31] > 0.4
 
 
+def test_mixtures_reach_the_best_fit_and_end_soon():
+    """Many languages that are hard to tell apart: a long text alone, in blocks, and among others; equal words are one with a count."""
+    rng = np.random.default_rng(8)
+    like = np.exp(rng.normal(0, 0.3, (40_000, 24)))
+    like[:, 5] *= 1.3
+    words, times = np.array([40_000]), rng.integers(1, 4, 40_000).astype(float)
+    full, score = langid.converged(like, words, times, np.array([times.sum()]), np.full((1, 24), 1 / 24))
+    _, plain, left = langid.em_round(like, words, times, np.array([times.sum()]), full)
+    slow = np.full((1, 24), 1 / 24)
+    for _ in range(300):
+        slow = langid.em_round(like, words, times, np.array([times.sum()]), slow)[0]
+    best = langid.em_round(like, words, times, np.array([times.sum()]), slow)[1]
+    assert score[0] == pytest.approx(plain[0]) and score[0] > best[0] - 0.1
+    alone = langid.mixtures(like, words, times)
+    among = langid.mixtures(np.concatenate((like, like[:50])), np.array([40_000, 50]), np.concatenate((times, times[:50])))
+    assert np.allclose(alone[0], among[0], atol=1e-6)
+    small, n = like[:60], np.arange(60) % 3 + 1
+    repeated = langid.mixtures(np.repeat(small, n, axis=0), np.array([n.sum()]))
+    assert np.allclose(langid.mixtures(small, np.array([60]), n.astype(float)), repeated, atol=1e-6)
+
+
+def test_long_texts_of_many_close_languages():
+    rng = np.random.default_rng(9)
+    table = rng.normal(0, 0.02, (langid.BUCKETS, 64))
+    model = langid.LanguageModel(tuple(f"l{i:02}" for i in range(64)), (table - np.log(np.exp(table).sum(axis=0))).astype(np.float32))
+    letters, ends = rng.integers(97, 123, 900_000), np.sort(rng.choice(900_000, 150_000, replace=False))
+    letters[ends] = 32
+    text = "".join(map(chr, letters.tolist()))
+    begun = time.perf_counter()
+    shares = model.shares([text, "", text[:400], "12"])
+    assert time.perf_counter() - begun < 30  # more than two minutes before rounds were speeded
+    assert np.allclose(shares.sum(axis=1), [1, 0, 1, 0])
+    assert np.allclose(shares[2], model.shares([text[:400]])[0], atol=1e-6)
+
+
+def test_words_are_counted_by_text():
+    assert langid.distinct_words(["ab cd\nab-ab", "", "1 2", "\u00e9t\u00e9 x"]) == [{"ab": 3, "cd": 1}, {}, {}, {"\u00e9t\u00e9": 1, "x": 1}]
+    assert langid.distinct_words([""]) == [{}]
+
+
 def test_most_frequent_languages_are_learned(spark):
     docs = documents(spark, ["ab cd"] * 9, langs=["x", "x", "x", "y", "y", "z", "w", "v", "u"])
     assert langid.learn(docs, most=3).languages == ("u", "x", "y")
