@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from segmentry.operators.trajectory import numbered
@@ -90,25 +91,41 @@ def split_by_task(rows: DataFrame, test: DataFrame, env: str = "env") -> tuple[D
     return rows.join(names, env, "left_anti"), rows.join(names, env, "left_semi")
 
 
-def moving_average(curve: DataFrame, w: int, value: str = "value", order: str = "step", run: str = "run") -> DataFrame:
-    """curve with `smooth`: the trailing mean of w, raw for the first w - 1 and where w is 1 or more than there are."""
-    own = Window.partitionBy(run)
-    full = (F.row_number().over(own.orderBy(order)) >= w) & (F.count("*").over(own) >= w)
-    trailing = F.avg(value).over(own.orderBy(order).rowsBetween(-(w - 1), 0)) if w > 1 else F.col(value)
-    return curve.withColumn("smooth", F.when(full & F.lit(w > 1), trailing).otherwise(F.col(value)))
+def trailing(rows: DataFrame, run: str, order: str, w: int, chunk: int, **aggregates: Callable[[WindowSpec], Column]) -> DataFrame:
+    """rows with `_at`, the place of each in its run (from 0), and the named aggregates over the w rows that end with it.
+
+    Chunks of max(chunk, w) places get the last w - 1 rows of the chunk before as well, so that a run of any length is many tasks, each of two chunks at most.
+    """
+    held = max(chunk, w)
+    placed = numbered(rows, run, order, "_at").withColumn("_chunk", F.floor(F.col("_at") / held))
+    lent = F.col("_at") % held > held - w
+    both = placed.withColumn("_for", F.explode(F.when(lent, F.array(F.col("_chunk"), F.col("_chunk") + 1)).otherwise(F.array("_chunk"))))
+    frame = Window.partitionBy(run, "_for").orderBy("_at").rowsBetween(1 - w, 0)
+    out = both.select("*", *(f(frame).alias(name) for name, f in aggregates.items()))
+    return out.where(F.col("_for") == F.col("_chunk")).drop("_for", "_chunk")
+
+
+def moving_average(curve: DataFrame, w: int, value: str = "value", order: str = "step", run: str = "run", chunk: int = 100_000) -> DataFrame:
+    """curve with `smooth`: the trailing mean of w, raw for the first w - 1 and where w is 1 or more than there are.
+
+    A run is cut into chunks of places (see trailing); rows without an order come first, rows of equal order in any.
+    """
+    if w <= 1:
+        return curve.withColumn("smooth", F.col(value))
+    rows = trailing(curve, run, order, w, chunk, smooth=lambda frame: F.avg(value).over(frame))
+    return rows.withColumn("smooth", F.when(F.col("_at") >= w - 1, F.col("smooth")).otherwise(F.col(value))).drop("_at")
 
 
-def teacher_thresholds(episodes: DataFrame, seg_len: int, horizon: int, eps: float, n: int = 10, squared: bool = False, initial_zero: bool = True, run: str = "run", value: str = "true_reward") -> DataFrame:
+def teacher_thresholds(
+    episodes: DataFrame, seg_len: int, horizon: int, eps: float, n: int = 10, squared: bool = False, initial_zero: bool = True, run: str = "run", value: str = "true_reward", chunk: int = 100_000
+) -> DataFrame:
     """episodes with `threshold`: the mean return of the last n, by the segment's share of the horizon, times eps (or its square).
 
-    With initial_zero the list of returns starts with one more 0.
+    With initial_zero the list of returns starts with one more 0. A run is cut into chunks of places (see trailing).
     """
-    own = Window.partitionBy(run).orderBy("episode")
-    last = own.rowsBetween(-(n - 1), 0)
-    have = F.row_number().over(own)
-    n_used = F.least(have + (1 if initial_zero else 0), F.lit(n))
-    mean = F.sum(value).over(last) / n_used
-    return episodes.withColumn("threshold", mean * seg_len / horizon * (eps * eps if squared else eps))
+    rows = trailing(episodes, run, "episode", n, chunk, threshold=lambda frame: F.sum(value).over(frame))
+    n_used = F.least(F.col("_at") + (2 if initial_zero else 1), F.lit(n))
+    return rows.withColumn("threshold", F.col("threshold") / n_used * seg_len / horizon * (eps * eps if squared else eps)).drop("_at")
 
 
 def normalised_performance(steps: DataFrame, best: Column, value: str = "performance", first: Column | None = None, run: str = "run") -> DataFrame:

@@ -12,13 +12,14 @@ def numbered(rows: DataFrame, key: str, order: str, name: str = "t", chunk: int
     """rows with `name`: the place (from 0) of each among those of its key, in a unique order.
 
     Places are taken inside chunks of `chunk` values of the order column, and chunks start from the sizes of those before, so that a key of any
-    number of rows is many tasks.
+    number of rows is many tasks. A null key is a key; rows without an order, which is a number, come first.
     """
     rows = rows.withColumn("_chunk", F.floor(F.col(order) / chunk))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(key, "_chunk").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    ranked = rows.withColumn(name, F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(order)) - 1).join(sizes, [key, "_chunk"])
-    return ranked.withColumn(name, F.col(name) + F.col("_before")).drop("_chunk", "_before")
+    sizes = rows.groupBy(key, "_chunk").agg(F.count("*").alias("_n")).select(F.col(key).alias("_key"), F.col("_chunk").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = rows.withColumn(name, F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(order)) - 1)
+    met = ranked.join(sizes, ranked[key].eqNullSafe(sizes["_key"]) & ranked["_chunk"].eqNullSafe(sizes["_of"]))
+    return met.withColumn(name, F.col(name) + F.col("_before")).drop("_chunk", "_before", "_key", "_of")
 
 
 def assemble_episodes(steps: DataFrame, run: str = "run", order: str = "step", done: str = "done", chunk: int = 100_000) -> DataFrame:

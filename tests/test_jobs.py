@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -226,6 +228,31 @@ def test_moving_average(spark):
     curve = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate([0, 1, 1, 0, 1])], "run long, step long, value double")
     assert [r.smooth for r in metrics.moving_average(curve, 3).orderBy("step").collect()] == pytest.approx([0, 1, 2 / 3, 2 / 3, 2 / 3])
     assert [r.smooth for r in metrics.moving_average(curve, 9).orderBy("step").collect()] == [0, 1, 1, 0, 1]
+    assert [r.smooth for r in metrics.moving_average(curve, 1).orderBy("step").collect()] == [0, 1, 1, 0, 1]
+
+
+def test_trailing_windows_cross_chunks(spark):
+    """Chunks of any length, nulls and runs without a name give what one window over each run gives."""
+    rng = random.Random(5)
+    runs = {0: 37, 1: 1, 2: 12, None: 9}
+    rows = [(run, step * 3, None if rng.random() < 0.1 else float(rng.randrange(50))) for run, n in runs.items() for step in range(n)] + [(4, None, 1.0), (4, 0, 3.0)]
+    curve = spark.createDataFrame(rows, "run long, episode long, true_reward double")
+
+    def plain(w, value):
+        out = {}
+        for run in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == run), key=lambda r: -1 if r[1] is None else r[1])
+            for i, (_, at, x) in enumerate(own):
+                out[run, at] = value(i, x, [y for _, _, y in own[max(0, i - w + 1) : i + 1] if y is not None])
+        return out
+
+    for w in (2, 5, 10):
+        for chunk in (1, 4, 7, 100):
+            smooth = {(r.run, r.episode): r.smooth for r in metrics.moving_average(curve, w, "true_reward", "episode", chunk=chunk).collect()}
+            assert smooth == pytest.approx(plain(w, lambda i, x, seen: x if i < w - 1 else sum(seen) / len(seen) if seen else None))
+            limits = {(r.run, r.episode): r.threshold for r in metrics.teacher_thresholds(curve, 5, 50, 0.5, n=w, chunk=chunk).collect()}
+            assert limits == pytest.approx(plain(w, lambda i, x, seen: sum(seen) / min(i + 2, w) * 0.05 if seen else None))
+    assert metrics.moving_average(curve.limit(0), 3, "true_reward", "episode").count() == 0
 
 
 def test_ema(spark):
