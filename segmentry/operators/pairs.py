@@ -9,19 +9,25 @@ from segmentry.functions import draws
 from segmentry.operators.trajectory import dense_index, last_rows
 
 
+def trajectory_lengths(steps: DataFrame, run: str = "run") -> DataFrame:
+    """(run, episode, length) of each episode."""
+    return steps.groupBy(run, "episode").agg(F.count("*").alias("length"))
+
+
 def trajectory_index(steps: DataFrame, run: str = "run") -> DataFrame:
     """(traj, run, episode, length): a dense number for each episode, in order of run and episode."""
-    return dense_index(steps.groupBy(run, "episode").agg(F.count("*").alias("length")), [run, "episode"], "traj")
+    return dense_index(trajectory_lengths(steps, run), [run, "episode"], "traj")
 
 
 def sample_pairs(trajectories: DataFrame, n: int, seg_len: int, seed: int, run: str = "run", from_start: bool = False) -> DataFrame:
     """(pair_id, run_1, episode_1, start_1, ..._2): two draws with replacement of a trajectory, and of a start before length - seg_len.
 
-    Draws are among the trajectories that are longer than seg_len, numbered in order of traj, so that n pairs come back if there is one. With from_start
+    Draws are among the trajectories that are longer than seg_len, numbered in order of traj, or of run and episode where they have no number yet (one index
+    instead of two), so that n pairs come back if there is one. With from_start
     segments begin with their trajectory, and those of seg_len steps or more are drawn from. Draws meet trajectories by equi-joins on their numbers.
     """
     spark: SparkSession = trajectories.sparkSession
-    usable = dense_index(trajectories.where(F.col("length") >= seg_len + (not from_start)), ["traj"], "_traj")
+    usable = dense_index(trajectories.where(F.col("length") >= seg_len + (not from_start)), ["traj"] if "traj" in trajectories.columns else [run, "episode"], "_traj")
     total = usable.count()
     out = spark.range(n if total else 0).select(F.col("id").alias("pair_id"))
     for side in ("1", "2"):

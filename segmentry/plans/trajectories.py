@@ -141,7 +141,7 @@ d AS (SELECT pair_id, floor({u(f'{SEED}|traj1', 'pair_id')} * (SELECT count(*) F
 SELECT pair_id, a.run AS run_1, a.episode AS episode_1, CAST(0 AS BIGINT) AS start_1, b.run AS run_2, b.episode AS episode_2, CAST(0 AS BIGINT) AS start_2 FROM d JOIN room a ON d.i1 = a.i JOIN room b ON d.i2 = b.i""")
 def _(spark, d):
     rows = V.horizon(spark, d)
-    return P.sample_pairs(P.trajectory_index(rows), V.table(spark, d, "events").count() // 20, SEG, SEED, from_start=True)
+    return P.sample_pairs(P.trajectory_lengths(rows), V.table(spark, d, "events").count() // 20, SEG, SEED, from_start=True)
 
 
 @query("J2_attach_frames", f"""WITH {PAIRS} SELECT s.pair_id AS segment_id, string_agg(CAST(h.step AS VARCHAR), ',' ORDER BY h.t) AS frames FROM sides s

@@ -58,7 +58,7 @@ def drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pairs, and the steps that they draw from."""
     rows = horizon(spark, sf_dir)
     n = table(spark, sf_dir, "events").count() // 20
-    return P.sample_pairs(P.trajectory_index(rows), n, SEG, SEED), rows
+    return P.sample_pairs(P.trajectory_lengths(rows), n, SEG, SEED), rows
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,7 @@ def test_pairs_are_all_drawn_where_some_trajectories_are_short(spark):
     begun = pairs.sample_pairs(index, 200, 8, 1, from_start=True).collect()
     assert len(begun) == 200 and {r.episode_1 for r in begun} == {11, 12, 13} and {r.start_1 for r in begun} == {0}
     assert pairs.sample_pairs(index.where("length < 8"), 20, 8, 1).count() == 0
+    assert sorted(pairs.sample_pairs(index.drop("traj"), 200, 8, 1).collect()) == sorted(got)
 
 
 def test_numbers_and_versions_do_not_depend_on_chunks(spark):
