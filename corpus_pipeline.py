@@ -4,13 +4,17 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 documents. `run` writes each stage's result as Parquet in the shared folder and reads it again.
 
 Texts that are null or empty have no language and go in the first stage. Of the rows of a group of near duplicates, repeats of a row included, that of the
-smallest doc_id stays, rows without doc_id last, then the first in the table. Rows without doc_id are sifted like any other.
+smallest doc_id stays, rows without doc_id last, then the first in the table (files in order of their paths, if docs is
+a table as it was read). Rows without doc_id are sifted like any other.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmentry.llm import decontam, langid, minhash, packing, quality
@@ -20,6 +24,8 @@ from segmentry.llm.shared import cut, filtered, fresh, hinted, scratch
 LEAST_SHARE = 1 / 3
 #: Least probability of the best grade.
 LEAST_QUALITY = 0.5
+#: Files whose names are broadcast at most, and a bound of the rows of one.
+FILES, ROWS_OF_FILE = 100_000, 1 << 40
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +45,30 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filtered(docs, lambda texts: model.value.tails(texts)[:, -1] >= LEAST_QUALITY)
 
 
+def is_table(docs: DataFrame) -> bool:
+    """Whether docs is a file or a folder of Parquet files as it was read, nothing done to it; where that isn't sure, it is not."""
+    files = [unquote(x) for x in docs.inputFiles()[:1]]
+    paths = [y for x in files for y in (x.rsplit("/", 1)[0], x)]
+    read = docs.sparkSession.read.schema(docs.schema)
+    try:
+        return any(docs.sameSemantics(read.parquet(x)) for path in paths for x in dict.fromkeys((path, path.removeprefix("file://"))))
+    except PySparkException:
+        return False
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number for each row, written so that it stays the row's, and the name of the number."""
-    name = fresh(docs, "_row")
-    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    """docs with a number for each row that stays the row's, and the name of the number.
+
+    Rows of a table have one without being written again: their file's number, in order of its path, and their place in it. All others are written with a number.
+    """
+    name, file, at = (fresh(docs, x) for x in ("_row", "_file", "_file_number"))
+    if not is_table(docs):
+        return cut(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    meta = docs.metadataColumn("_metadata")
+    placed = docs.withColumns({file: meta["file_path"], name: meta["row_index"]})
+    files = placed.select(file).distinct().withColumn(at, F.row_number().over(Window.orderBy(file)).cast("long"))  # a row a file
+    files = cut(files, "files", keep=True)
+    return placed.join(hinted(files, FILES), file).withColumn(name, F.col(at) * F.lit(ROWS_OF_FILE) + F.col(name)).select(*docs.columns, name), name
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
