@@ -14,6 +14,62 @@ def block_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Rows of b whose least bound stands for all of them, numbers of a block of bounds, and pairs whose distances are taken at once.
+GROUP, BOUNDS, PAIRS = 128, 1 << 23, 1 << 16
+
+
+def nearest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, places in b) of the k rows of b nearest to each row of a, or of all if there are fewer, in order; ties to the first place. Distances are those of block_distances.
+
+    One matrix product in single precision gives |b|^2 - 2ab around the mean of b, within an error that is bounded. The k-th least of the groups' least bounds the k-th distance, and
+    only pairs within twice the error of it have their distances taken. Rows that are not finite, or too large for squares in single precision, are compared one by one.
+    """
+    k = min(k, len(b))
+    found = np.empty((len(a), k)), np.empty((len(a), k), dtype=np.int64)
+    usable = k and len(a) and len(b) > GROUP * k
+    if usable:
+        with np.errstate(invalid="ignore", over="ignore"):
+            centre = b.mean(axis=0)
+            x, y = (a - centre).astype(np.float32), (b - centre).astype(np.float32)
+            norms = [np.einsum("ij,ij->i", v, v, dtype=np.float64) for v in (x, y)]
+        usable = all(np.isfinite(n).all() and n.max() < 1e30 for n in norms)
+    step = max(1, BOUNDS // max(1, len(b)))
+    if not usable:
+        for at in range(0, len(a), step):
+            d = block_distances(a[at : at + step], b)
+            few = np.argsort(d, axis=1, kind="stable")[:, :k]
+            found[0][at : at + step], found[1][at : at + step] = np.take_along_axis(d, few, axis=1), few
+        return found
+    groups = -(-len(b) // GROUP)
+    held = np.zeros((x.shape[1] + 1, groups * GROUP), dtype=np.float32)
+    held[:-1, : len(b)], held[-1] = y.T, np.finfo(np.float32).max
+    held[-1, : len(b)] = norms[1]
+    # Of the product and its rounded terms, of the shift by the centre, of distances that are equal only as roots, and of underflow.
+    reach = np.sqrt(norms[0]) + np.sqrt(norms[1].max())
+    shift = 2.0**-51 * (reach + np.abs(centre).max(initial=0.0) * x.shape[1] ** 0.5)
+    error = (x.shape[1] + 16) * 2.0**-23 * reach**2 + 4 * shift * (reach + shift) + x.shape[1] * 1e-37
+    for at in range(0, len(a), step):
+        rows = x[at : at + step]
+        bounds = np.hstack([-2 * rows, np.ones((len(rows), 1), np.float32)]) @ held
+        bounds = bounds.reshape(len(rows), groups, GROUP)
+        least = bounds.min(axis=2)
+        limit = (np.partition(least, k - 1, axis=1)[:, k - 1] + 2 * error[at : at + step]).astype(np.float32)
+        limit = np.nextafter(limit, np.float32(np.inf))
+        row, group = np.nonzero(least <= limit[:, None])
+        one, place = np.nonzero(bounds[row, group] <= limit[row][:, None])
+        row, place = row[one], group[one] * GROUP + place
+        row, place = row[place < len(b)], place[place < len(b)]
+        d = np.empty(len(row))
+        for i in range(0, len(row), PAIRS):
+            d[i : i + PAIRS] = np.sqrt(((a[at + row[i : i + PAIRS]] - b[place[i : i + PAIRS]]) ** 2).sum(axis=1))
+        order = np.lexsort((place, d, row))
+        row, place, d = row[order], place[order], d[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        few = first[:, None] + np.arange(k)
+        found[0][at : at + step], found[1][at : at + step] = d[few], place[few]
+    return found
+
+
 def smallest(x: np.ndarray, n: int) -> np.ndarray:
     """The n smallest values of each row, in order."""
     return np.sort(np.partition(x, n - 1, axis=1)[:, :n] if n < x.shape[1] else x, axis=1)

@@ -7,17 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segmentry.functions.preference import bt_entropy, bt_probability
-from segmentry.operators.kernels import block_distances
+from segmentry.operators.kernels import block_distances, nearest
 from segmentry.operators.trajectory import dense_index
 from segmentry.sources.shared import written
 
 #: Vectors of a block of the sample. A block is what each task holds; the blocks are rows dealt to the tasks of the other side.
 SAMPLE_BLOCK = 1_024
 FULL_BLOCK = 8_192
+#: The same where all pairs of blocks are compared, and pairs of blocks at least that there are, of some LEAST_BLOCK vectors of all.
+SAMPLE_TILE, FULL_TILE, LEAST_TILES, LEAST_BLOCK = 16_384, 32_768, 16, 1_024
+#: An index is used where it leaves at most this share of the pairs, judged by PROBES vectors; else all pairs are compared, by matrix products.
+INDEX_SHARE, PROBES = 0.1, 1_024
 #: Candidates that k_center brings to the driver in a job.
 FRONT = 1_024
 
@@ -97,6 +102,77 @@ def _placed(asked: DataFrame, index: Index, k: int, home: bool) -> DataFrame:
     return asked.mapInPandas(work, "id long, v array<double>, q int, reach double, cell int")
 
 
+def _first(rows: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each id among rows (id, distance, other)."""
+    order = Window.partitionBy("id").orderBy("distance", "other")
+    return rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
+
+
+def _lists(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("distance", "other"))).alias("near"))
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column, which have one length, as rows."""
+    whole = pa.concat_arrays(vectors.chunks)
+    sizes = whole.value_lengths().to_numpy(zero_copy_only=False)
+    if len(set(sizes.tolist())) > 1:
+        raise ValueError("vectors of several lengths")
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), sizes[0])
+
+
+def _tiles(sample: DataFrame, full: DataFrame, k: int, blocks: tuple[int, int] | None, id_col: str, vec_col: str) -> DataFrame:
+    """(id, near) as by `_near`, where each block of the sample meets each of all vectors: nothing is left out, and a task holds a block of either. A row of the sample is sent
+    once for each block of all vectors, and the other way round."""
+    n, m = sample.count(), full.count()
+    p, q = -(-n // (blocks or (SAMPLE_TILE, 0))[0]), -(-m // (blocks or (0, FULL_TILE))[1])
+    if blocks is None and 0 < p * q < LEAST_TILES:
+        q = max(q, min(-(-LEAST_TILES // p), -(-m // LEAST_BLOCK)))
+    rows = lambda df, name: df.select(F.col(id_col).cast("long").alias(name), F.col(vec_col).cast("array<double>").alias("v"))
+    asked, stored = rows(sample, "id"), rows(full, "other")
+    if not m or not n:
+        return asked.select("id", F.array().cast("array<struct<distance:double,other:long>>").alias("near"))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    dealt = lambda name, count: F.pmod(F.xxhash64(name), F.lit(count)).cast("int")
+    left = asked.select(dealt("id", p).alias("p"), every(q).alias("q"), "id", "v").groupBy("p", "q")
+    right = stored.select(every(p).alias("p"), dealt("other", q).alias("q"), "other", "v").groupBy("p", "q")
+    schema = pa.schema([("id", pa.int64()), ("distance", pa.float64()), ("other", pa.int64())])
+
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        b = b.sort_by("other")  # ties to the smaller id
+        d, few = nearest(_matrix(a["v"]), _matrix(b["v"]), k)
+        return pa.table([np.repeat(a["id"].to_numpy(), few.shape[1]), d.ravel(), b["other"].to_numpy()[few].ravel()], schema)
+
+    return _lists(_first(left.cogroup(right).applyInArrow(work, "id long, distance double, other long"), k))
+
+
+def _indexable(full: DataFrame, k: int, id_col: str, vec_col: str) -> bool:
+    """Whether an index would leave few pairs to compare, judged by vectors drawn by the hash of their ids, some of which are the pivots. Fewer vectors have farther neighbours, so
+    it errs towards comparing all pairs, which is as right."""
+    pivots = min(PIVOTS, math.isqrt(full.count()) + 1)
+    drawn = full.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).orderBy(F.xxhash64("id"), "id").limit(pivots + PROBES).collect()
+    points = np.array([r["v"] for r in drawn[:pivots]], float)
+    probes = np.array([r["v"] for r in drawn[pivots:]], float)
+    if len(probes) <= k:
+        return False
+    to_pivots = block_distances(probes, points)
+    own, away = to_pivots.argmin(axis=1), to_pivots.min(axis=1)
+    cells = pd.DataFrame({"pivot": own, "away": away}).groupby("pivot")["away"].agg(n="count", least="min", most="max").reset_index()
+    reach = nearest(probes, probes, k)[0][:, -1]
+    return float((_visits(to_pivots, cells, reach) @ cells["n"].to_numpy()).mean()) <= INDEX_SHARE * len(probes)
+
+
+def _neighbours(sample: DataFrame, full: DataFrame, k: int, id_col: str, vec_col: str, blocks: tuple[int, int] | None, pivots: int | None) -> DataFrame:
+    """(id, near) by an index, if its pivots are asked for or it would leave few pairs, or by all pairs of blocks. Null vectors take no part."""
+    sample, full = (x.where(F.col(vec_col).isNotNull()) for x in (sample, full))
+    if pivots is None and not _indexable(full, k, id_col, vec_col):
+        return _tiles(sample, full, k, blocks, id_col, vec_col)
+    size, block = blocks or (SAMPLE_BLOCK, FULL_BLOCK)
+    return _near(sample, metric_index(full, id_col, vec_col, pivots, block), k, size, id_col, vec_col)[0]
+
+
 def _near(sample: DataFrame, index: Index, k: int, size: int, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, near: array of (distance, id) of the k nearest of the index), and the rows (id, cell) that were compared.
 
@@ -112,28 +188,21 @@ def _near(sample: DataFrame, index: Index, k: int, size: int, id_col: str, vec_c
         if not len(a) or not len(b):
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64"), "other": pd.Series(dtype="int64")})
         b = b.sort_values("other")
-        d = block_distances(np.stack(a["v"]), np.stack(b["w"]))
-        few = np.argsort(d, axis=1, kind="stable")[:, :k]  # ties to the smaller id
-        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), few.shape[1]), "distance": np.take_along_axis(d, few, axis=1).ravel(), "other": b["other"].to_numpy()[few].ravel()})
+        d, few = nearest(np.stack(a["v"]), np.stack(b["w"]), k)  # ties to the smaller id
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), few.shape[1]), "distance": d.ravel(), "other": b["other"].to_numpy()[few].ravel()})
 
     def met(rows: DataFrame) -> DataFrame:
         wanted = rows.select(F.col("cell").alias("at_cell"), F.col("q").alias("at_q")).distinct()
         held = stored.join(wanted, F.col("cell") == F.col("at_cell")).select(F.col("at_cell").alias("c"), F.col("at_q").alias("r"), F.col("id").alias("other"), F.col("v").alias("w"))
         return rows.groupBy("cell", "q").cogroup(held.groupBy("c", "r")).applyInPandas(work, "id long, distance double, other long")
 
-    def merged(rows: DataFrame) -> DataFrame:
-        order = Window.partitionBy("id").orderBy("distance", "other")
-        return rows.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
-
     if not len(index.cells):
         return asked.select("id", F.array().cast("array<struct<distance:double,other:long>>").alias("near")), asked.select("id", F.lit(0).alias("cell")).limit(0)
     first = written(_placed(asked, index, k, True), "first")
-    begun = written(merged(met(first)), "begun")
+    begun = written(_first(met(first), k), "begun")
     reach = begun.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("reach"))
     more = written(_placed(asked.drop("reach").join(reach, "id").select("id", "v", "q", "reach"), index, k, False), "more")
-    found = merged(begun.unionByName(met(more)))
-    near = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("distance", "other"))).alias("near"))
-    return near, first.select("id", "cell").unionByName(more.select("id", "cell"))
+    return _lists(_first(begun.unionByName(met(more)), k)), first.select("id", "cell").unionByName(more.select("id", "cell"))
 
 
 def compared_pairs(visits: DataFrame, index: Index) -> int:
@@ -142,15 +211,16 @@ def compared_pairs(visits: DataFrame, index: Index) -> int:
     return visits.join(F.broadcast(sizes), "cell").agg(F.sum("n")).first()[0] or 0
 
 
-def knn_distance(sample: DataFrame, full: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] = (SAMPLE_BLOCK, FULL_BLOCK), pivots: int | None = None) -> DataFrame:
-    """(id, distance): from each sample vector to the (k+1)-th nearest of all, itself being one of them; null if there are fewer. Ids are unique."""
-    near, _ = _near(sample, metric_index(full, id_col, vec_col, pivots, blocks[1]), k + 1, blocks[0], id_col, vec_col)
-    return near.select("id", F.get("near", F.lit(k))["distance"].alias("distance"))
+def knn_distance(sample: DataFrame, full: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] | None = None, pivots: int | None = None) -> DataFrame:
+    """(id, distance): from each sample vector to the (k+1)-th nearest of all, itself being one of them; null if there are fewer or it is null. Ids are unique."""
+    near = _neighbours(sample, full, k + 1, id_col, vec_col, blocks, pivots)
+    none = sample.where(F.col(vec_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.lit(None).cast("double").alias("distance"))
+    return near.select("id", F.get("near", F.lit(k))["distance"].alias("distance")).unionByName(none)
 
 
-def nearest_neighbour(points: DataFrame, targets: DataFrame, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] = (SAMPLE_BLOCK, FULL_BLOCK), pivots: int | None = None) -> DataFrame:
+def nearest_neighbour(points: DataFrame, targets: DataFrame, id_col: str = "id", vec_col: str = "vec", blocks: tuple[int, int] | None = None, pivots: int | None = None) -> DataFrame:
     """(id, neighbour, distance): the nearest target of each point, ties to the smaller id; points without a target don't come back. Ids are unique."""
-    near, _ = _near(points, metric_index(targets, id_col, vec_col, pivots, blocks[1]), 1, blocks[0], id_col, vec_col)
+    near = _neighbours(points, targets, 1, id_col, vec_col, blocks, pivots)
     return near.where(F.size("near") > 0).select("id", F.get("near", F.lit(0))["other"].alias("neighbour"), F.get("near", F.lit(0))["distance"].alias("distance"))
 
 
