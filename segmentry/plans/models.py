@@ -262,14 +262,23 @@ def _(spark, d):
 
 
 def _streamed(spark, rows, build, mode: str = "append", files: int = 4, last=None):
-    """What a stream over rows wrote: they come to its folder in parts, in order of `order`, and the query resumes after each part; the rows of `last` come after all others."""
-    source, out, state = (V.scratch(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    """What a stream over rows wrote: they come to its folder in parts, in order of `order`, and the query resumes after each part; the rows of `last` come after all others.
+
+    All parts are written at once, and each is moved to the stream's folder when it is due."""
+    staged, source, out, state = (V.scratch(spark, f"stream-{x}") for x in ("parts", "in", "out", "state"))
     low, high = rows.agg(F.min("order"), F.max("order")).first()
     part = F.floor((F.col("order") - low) * files / (high - low + 1))
+    rows.withColumn("part", part).where("part IS NOT NULL").write.partitionBy("part").parquet(staged)
+    if last is not None:
+        last.write.parquet(f"{staged}/part={files}")
+    path = lambda *x: spark._jvm.org.apache.hadoop.fs.Path("/".join(x))
+    system = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(source))
     append = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
-    for some in [*(rows.where(part == i) for i in range(files)), *([last] if last is not None else [])]:
-        some.write.mode("append").parquet(source)
-        stream = build(spark.readStream.schema(rows.schema).parquet(source).drop("order"))
+    for i in range(files + (last is not None)):
+        if system.exists(path(staged, f"part={i}")) and not system.rename(path(staged, f"part={i}"), path(source, f"part-{i}")):
+            raise OSError(f"part {i} of {staged} was not moved")
+        stream = build(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(source).drop("order"))
         writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
         begun = writer.format("parquet").start(out) if mode == "append" else writer.outputMode(mode).foreachBatch(append).start()
         begun.awaitTermination()

@@ -9,80 +9,112 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from segmentry.functions.replies import parse_preference
 
-EPISODE = "run long, episode long, reward double, length long, ended boolean"
+#: Of a run's steps in a chunk of time, in order: parts of episodes, each but the last with its end, which the last lacks if open.
+PARTS = "run long, at long, last long, rewards array<double>, lengths array<long>, open boolean"
+#: Episodes in a row, the number of the first, and whether they have their ends.
+EPISODES = "run long, first long, rewards array<double>, lengths array<long>, ended boolean"
+
+
+#: MB of blocks and unwritten rows that the stores of an executor hold.
+STATE_MB = 256
 
 
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """For the start of queries whose state is a processor's: the session's state store is RocksDB inside, and what it was afterwards. A query keeps what it was started with."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """For the start of queries whose state is a processor's: the session's state store is RocksDB inside, and what it was afterwards. A query keeps what it was started with.
+
+    Every batch commits every partition's stores, those without rows too, so there are two partitions a core at most, and commits write changes, not whole stores. The stores of an
+    executor, those of ended runs too, share STATE_MB for blocks and unwritten rows.
+    """
+    conf = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
+        "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)),
+    }
+    before = {name: spark.conf.get(name, None) for name in conf}
     try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PARTS of chunks (run, at, last, steps); a task holds a batch of chunks, as numbers."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("steps")
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        step, reward, done = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+        order = np.lexsort((done, reward, step, row))
+        row, reward, done = row[order], reward[order], done[order]
+        starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | done[:-1]])
+        lengths = np.diff(np.r_[starts, len(row)])
+        ends = np.cumsum(np.bincount(row[starts], minlength=len(lists)))
+        offsets = pa.array(np.r_[0, ends].astype(np.int32))
+        totals = pa.array(np.add.reduceat(reward, starts))
+        is_open = ~done[starts + lengths - 1][ends - 1]
+        columns = [batch.column("run"), batch.column("at"), batch.column("last"), pa.ListArray.from_arrays(offsets, totals), pa.ListArray.from_arrays(offsets, pa.array(lengths.astype(np.int64))), pa.array(is_open)]
+        yield pa.RecordBatch.from_arrays(columns, ["run", "at", "last", "rewards", "lengths", "open"])
 
 
 class Episodes(StatefulProcessor):
-    """Of a run: its steps past the watermark, which wait, and the open episode of those before it."""
+    """Of a run: the number and the sums of its open episode, which goes on through its chunks in their order."""
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "step long, at long, reward double, done boolean")
         self.open = handle.getValueState("open", "episode long, reward double, length long, last long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            batch = batch[batch["ts"].notna()]
-            if not len(batch):
-                continue
-            at = batch["ts"].astype("datetime64[ms]").astype("int64")
-            self.waiting.appendList(list(zip(batch["step"].tolist(), at.tolist(), batch["reward"].fillna(0.0).astype(float).tolist(), batch["done"].fillna(False).astype(bool).tolist())))
-            first = int(at.min()) if first is None else min(first, int(at.min()))
-        if first is not None:
-            self.handle.registerTimer(first)
-        yield _episodes([])
+        chunks = sorted((c for batch in rows for c in batch[["at", "last", "rewards", "lengths", "open"]].itertuples(index=False)), key=lambda c: c[0])
+        begun = self.open.exists()
+        episode, total, length, last = self.open.get() if begun else (0, 0.0, 0, None)
+        out = []
+        for _, newest, rewards, lengths, is_open in chunks:
+            rewards, lengths = np.array(rewards, float), np.array(lengths, np.int64)
+            rewards[0] += total
+            lengths[0] += length
+            n = len(rewards) - bool(is_open)
+            total, length = (float(rewards[-1]), int(lengths[-1])) if is_open else (0.0, 0)
+            if n:
+                out.append((key[0], episode, rewards[:n], lengths[:n], True))
+            episode, last = episode + n, int(newest) if last is None else max(last, int(newest))
+        if last is not None:
+            self.open.update((int(episode), float(total), int(length), int(last)))
+            if not begun:
+                self.handle.registerTimer(last + self.idle_ms)
+        yield _episodes(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        waiting = list(self.waiting.get())
-        episode, total, length, last = self.open.get() if self.open.exists() else (0, 0.0, 0, None)
         out = []
-        for step, at, reward, done in sorted(w for w in waiting if w[1] <= now):
-            total, length, last = total + reward, length + 1, at if last is None else max(last, at)
-            if done:
-                out.append((key[0], episode, total, length, True))
-                episode, total, length = episode + 1, 0.0, 0
-        left = [w for w in waiting if w[1] > now]
-        if len(left) < len(waiting):
-            if left:
-                self.waiting.put(left)
+        if self.open.exists():
+            episode, total, length, last = self.open.get()
+            if last + self.idle_ms > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(last + self.idle_ms)
             else:
-                self.waiting.clear()
-        if left:
-            self.handle.registerTimer(min(w[1] for w in left))
-        elif last is not None and last + self.idle_ms <= now:
-            if length:
-                out.append((key[0], episode, total, length, False))
-            self.open.clear()
-            yield _episodes(out)
-            return
-        elif last is not None:
-            self.handle.registerTimer(last + self.idle_ms)
-        if last is not None:
-            self.open.update((int(episode), float(total), int(length), int(last)))
+                if length:
+                    out.append((key[0], episode, np.array([total]), np.array([length]), False))
+                self.open.clear()
         yield _episodes(out)
 
     def close(self) -> None:
@@ -90,19 +122,26 @@ class Episodes(StatefulProcessor):
 
 
 def _episodes(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["run", "episode", "reward", "length", "ended"])
+    return pd.DataFrame(rows, columns=["run", "first", "rewards", "lengths", "ended"])
 
 
-def stream_episodes(steps: DataFrame, watermark: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+def stream_episodes(steps: DataFrame, watermark: str = "1 hour", idle_ms: int = 3_600_000, chunk_ms: int = 3_600_000) -> DataFrame:
     """(run, episode, reward, length, ended) as episodes close; steps are (run, step, ts, reward, done).
 
-    A step waits in the run's state until the watermark has reached its time, and steps then join their episodes in order of step: those that come in any order, over
-    any batches, give the same episodes as long as none is later than the watermark allows (such steps are dropped, as by any operator with a watermark). Times must
-    not fall as steps rise. A run idle for so long past its last step gives its open episode with ended false, and counts from episode 0 if it goes on. State and memory of a
-    run are the steps between the watermark and now. A null reward is 0, a null done false; a step without a time is dropped. Start the query inside `keyed_state`.
+    Steps wait, by run and chunk of time, until the watermark has passed the chunk, and then join their episodes in order of step: those that come in any order, over any
+    batches, give the same episodes as long as none is later than the watermark allows (such steps are dropped, as by any operator with a watermark). Times must
+    not fall as steps rise. A run idle for so long past its last step, and a chunk more, gives its open episode with ended false, and counts from episode 0 if it goes on. A null
+    reward is 0, a null done false; a step without a time is dropped. Start the query inside `keyed_state`.
+
+    Chunks are grouped by Spark and cut at the ends of episodes in tasks of their own, so that a run of any length is many tasks. Only sums go to the run's own task, which numbers
+    its episodes. The state is the steps of chunks that the watermark hasn't passed, and four numbers a run.
     """
-    rows = steps.withWatermark("ts", watermark).select("run", "step", "ts", "reward", "done")
-    return rows.groupBy("run").transformWithStateInPandas(Episodes(idle_ms), EPISODE, "Append", "EventTime")
+    reward, done = F.coalesce(F.nanvl(F.col("reward").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("reward"), F.coalesce("done", F.lit(False)).alias("done")
+    chunks = steps.withWatermark("ts", watermark).groupBy("run", F.window("ts", f"{chunk_ms} milliseconds").alias("w")).agg(F.max("ts").alias("last"), F.collect_list(F.struct("step", reward, done)).alias("steps"))
+    parts = chunks.select("run", F.unix_millis("w.start").alias("at"), F.unix_millis("last").alias("last"), "steps").mapInArrow(_parts, PARTS)
+    rows = parts.groupBy("run").transformWithStateInPandas(Episodes(idle_ms + chunk_ms), EPISODES, "Append", "EventTime")
+    each = rows.select("run", "first", "ended", F.posexplode(F.arrays_zip("rewards", "lengths")).alias("i", "e"))
+    return each.select("run", (F.col("first") + F.col("i")).alias("episode"), F.col("e.rewards").alias("reward"), F.col("e.lengths").alias("length"), "ended")
 
 
 def stream_meters(metrics: DataFrame, window: str = "1 hour", slide: str | None = None, watermark: str = "10 minutes") -> DataFrame:
