@@ -24,23 +24,24 @@ PARTS = "run long, at long, last long, rewards array<double>, lengths array<long
 EPISODES = "run long, first long, rewards array<double>, lengths array<long>, ended boolean"
 
 
-#: MB of blocks and unwritten rows that the stores of an executor hold.
-STATE_MB = 256
+#: MB of blocks and unwritten rows that the stores of an executor hold, and partitions of a state where there are fewer cores.
+STATE_MB, LEAST_TASKS = 256, 8
 
 
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
     """For the start of queries whose state is a processor's: the session's state store is RocksDB inside, and what it was afterwards. A query keeps what it was started with.
 
-    Every batch commits every partition's stores, those without rows too, so there are two partitions a core at most, and commits write changes, not whole stores. The stores of an
-    executor, those of ended runs too, share STATE_MB for blocks and unwritten rows.
+    Every batch commits every partition's stores, those without rows too, so there are no more partitions than cores, or LEAST_TASKS, and commits write changes, not whole stores. The stores of an
+    executor, those of ended runs too, share STATE_MB for blocks and unwritten rows, and don't take 4 MB of disk each beforehand.
     """
     conf = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
-        "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)),
+        "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(LEAST_TASKS, spark.sparkContext.defaultParallelism))),
     }
     before = {name: spark.conf.get(name, None) for name in conf}
     try:

@@ -38,7 +38,7 @@ def test_settings_of_keyed_state_come_back(spark):
     spark.conf.set(names[0], "5000")
     try:
         with streams.keyed_state(spark):
-            assert int(spark.conf.get(names[0])) <= 2 * spark.sparkContext.defaultParallelism
+            assert int(spark.conf.get(names[0])) <= max(8, spark.sparkContext.defaultParallelism)
         assert spark.conf.get(names[0]) == "5000"
     finally:
         spark.conf.set(names[0], kept)
